@@ -15,9 +15,12 @@ from ..session import materialize
 from . import records
 
 
-def criteria(games: DataFrame, teams: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """One row per side with every tie-break value, and the head-to-head pair table."""
-    pairs = materialize(records.pair_table(games, keys))  # sides squared per key; everything below reads only this
+def criteria(pairs: DataFrame, teams: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """One row per side with every tie-break value, and the head-to-head pair table.
+
+    ``pairs`` comes from ``records.pair_table``: sides squared per key, and all that is read from here on.
+    """
+    pairs = materialize(pairs)
     stats = records.with_division_winner(records.tiebreak_stats(pairs, teams, keys), keys)
     top = records.conference_top(stats, keys).select(*keys, F.col("team").alias("rival"),
                                                      F.col("conference").alias("rival_conference"))
@@ -60,7 +63,7 @@ def _two_way(table: DataFrame, pairs: DataFrame, keys: Sequence[str]) -> DataFra
 
 def two_way_ties(games: DataFrame, teams: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Better side of every two-way tie; null where only a coin could settle it."""
-    table, pairs = criteria(games, teams, keys)
+    table, pairs = criteria(records.pair_table(games, keys), teams, keys)
     out = _two_way(table, pairs, keys)
     return out.select(*keys, "conference", "wins", F.when(F.col("decided"), F.col("first_team")).alias("first_team"))
 
@@ -127,9 +130,13 @@ def _multi_way(table: DataFrame, pairs: DataFrame, keys: Sequence[str]) -> DataF
 
 def standings(games: DataFrame, teams: DataFrame, keys: Sequence[str] = ("sim_id",)) -> DataFrame:
     """Seed of every side in its conference, for every key at once."""
+    return standings_from_pairs(records.pair_table(games, keys), teams, keys)
+
+
+def standings_from_pairs(pairs: DataFrame, teams: DataFrame, keys: Sequence[str] = ("sim_id",)) -> DataFrame:
     keys = list(keys)
     level = [*keys, "conference", "wins"]
-    table, pairs = criteria(games, teams, keys)
+    table, pairs = criteria(pairs, teams, keys)
     two = _two_way(table, pairs, keys)
     placed = two.select(*level, F.explode(F.array("team", "rival")).alias("team"), "first_team")
     placed = placed.select(*level, "team", F.when(F.col("team") == F.col("first_team"), 1).otherwise(2).alias("place"))
