@@ -9,12 +9,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.stats import error_metrics
+from ..session import spread
 from .perspective import all_teams, both_sides
 from .scan import blocked_scan
 
 FILTER_DEFAULTS = {"rho": 0.999, "q": 0.005, "r": 190.0, "init_var": 3.0}
 GRID = {"rho": (1.0, 0.999, 0.995), "q": (0.01, 0.05, 0.1, 0.25), "r": (50.0, 100.0, 150.0), "init_var": (5.0, 10.0, 25.0)}
 BLOCK_GAMES = 100_000
+PARAMS_PER_TASK = 12
 
 
 def residual_sides(games: DataFrame, pred: str = "pred", keep: Sequence[str] = ("year", "date", "game_id")) -> DataFrame:
@@ -78,171 +80,192 @@ def correct_prediction(games: DataFrame, biases: DataFrame, pred: str = "pred",
 # is summarised by the linear-Gaussian map from its starting state to its end and the information it gives
 # about that start (the associative element of parallel Kalman filtering, Sarkka and Garcia-Fernandez 2021),
 # so that blocks run in parallel, their summaries are chained in order, and each block then filters its own
-# games from the right start.
+# games from the right start.  Parameter sets travel in batches that one task steps through together.
 
 
 class _Filter:
-    """State of one filter and, when asked, the block summary that goes with it."""
-
-    def __init__(self, sides: int, rho: float, q: float, r: float, mean=None, cov=None, summarise=False):
-        self.rho, self.q, self.r = rho, q, r
-        self.mean = np.zeros(sides) if mean is None else mean
-        self.cov = np.zeros((sides, sides)) if cov is None else cov
+    """States of a batch of filters that differ in parameters and, when asked, the block summary of each."""
+
+    def __init__(self, params: Sequence[dict], sides: int, mean=None, cov=None, summarise=False):
+        column = lambda k: np.array([p[k] for p in params], dtype=float)
+        self.rho, self.q, self.r = column("rho"), column("q"), column("r")
+        p = len(params)
+        self.mean = np.zeros((p, sides)) if mean is None else mean
+        self.cov = np.zeros((p, sides, sides)) if cov is None else cov
+        self.at = np.arange(sides)
         self.summarise = summarise
         if summarise:
-            self.gain = np.eye(sides)
-            self.info, self.eta = np.zeros((sides, sides)), np.zeros(sides)
+            self.gain = np.tile(np.eye(sides), (p, 1, 1))
+            self.info, self.eta = np.zeros((p, sides, sides)), np.zeros((p, sides))
 
     def predict(self):
-        self.mean = self.rho * self.mean
-        self.cov = self.rho ** 2 * self.cov
-        self.cov[np.diag_indices_from(self.cov)] += self.q
+        self.mean *= self.rho[:, None]
+        self.cov *= (self.rho ** 2)[:, None, None]
+        self.cov[:, self.at, self.at] += self.q[:, None]
         if self.summarise:
-            self.gain = self.rho * self.gain
+            self.gain *= self.rho[:, None, None]
 
-    def update(self, home: int, away: int, z: float) -> tuple[float, float]:
-        row = self.cov[home] - self.cov[away]
-        s = row[home] - row[away] + self.r
-        k = row / s
-        nu = z - (self.mean[home] - self.mean[away])
+    def update(self, home: int, away: int, z: float):
+        row = self.cov[:, home] - self.cov[:, away]
+        s = row[:, home] - row[:, away] + self.r
+        k = row / s[:, None]
+        nu = z - (self.mean[:, home] - self.mean[:, away])
         if self.summarise:
-            seen = self.gain[home] - self.gain[away]
-            self.info += np.outer(seen, seen) / s
-            self.eta += seen * nu / s
-            self.gain = self.gain - np.outer(k, seen)
-        self.mean = self.mean + k * nu
-        self.cov = self.cov - np.outer(k, row)
+            seen = self.gain[:, home] - self.gain[:, away]
+            self.info += seen[:, :, None] * (seen / s[:, None])[:, None, :]
+            self.eta += seen * (nu / s)[:, None]
+            self.gain -= k[:, :, None] * seen[:, None, :]
+        self.mean += k * nu[:, None]
+        self.cov -= k[:, :, None] * row[:, None, :]
         return nu, s
 
 
-def _indexed(games: DataFrame, pred: str, params: Sequence[dict], block_games: int) -> tuple[DataFrame, DataFrame]:
-    """Games with dense side numbers, their block, and one copy per parameter set; and the number table."""
+def _initial(params: Sequence[dict], sides: int) -> np.ndarray:
+    return np.eye(sides) * np.array([p["init_var"] for p in params])[:, None, None]
+
+
+def _indexed(games: DataFrame, pred: str, batches: int, block_games: int) -> tuple[DataFrame, DataFrame]:
+    """Games with dense side numbers and their block, one copy per parameter batch; and the number table."""
     names = all_teams(games)
     numbers = names.withColumn("idx", F.row_number().over(W.orderBy("team")) - 1)  # one row per side
     sides = numbers.agg(F.count(F.lit(1)).alias("sides"))
     placed = blocked_scan(games.select("year", "date", "game_id", "team", "opponent", "margin", F.col(pred).alias("pred")),
                           ["year"], "date", ["game_id"], position="seq")
-    grid = F.array(*[F.struct(F.lit(i).alias("param_id"), *[F.lit(float(p[k])).alias(k) for k in FILTER_DEFAULTS])
-                     for i, p in enumerate(params)])
     home = numbers.select("team", F.col("idx").alias("h"))
     away = numbers.select(F.col("team").alias("opponent"), F.col("idx").alias("a"))
     out = (placed.join(home, "team").join(away, "opponent").join(F.broadcast(sides))  # one row
-           .withColumn("p", F.explode(grid))
-           .select("year", "p.*", F.expr(f"(seq - 1) div {block_games}").alias("block"), "seq", "game_id", "h", "a",
-                   "sides", "pred", F.col("margin").cast("double").alias("margin")))
+           .select("year", F.explode(F.array(*[F.lit(i) for i in range(batches)])).alias("batch"),
+                   F.expr(f"(seq - 1) div {block_games}").alias("block"), "seq", "game_id", "h", "a", "sides", "pred",
+                   F.col("margin").cast("double").alias("margin")))
     return out, numbers
 
 
-_KEYS = ["year", "param_id"]
-_STATE = "year int, param_id int, block bigint, mean array<double>, cov array<double>"
+_KEYS = ["year", "batch"]
+_STATE = "year int, batch int, block bigint, mean array<double>, cov array<double>"
+
+
+def _split(params: Sequence[dict]) -> list[list[dict]]:
+    return [list(params[i:i + PARAMS_PER_TASK]) for i in range(0, len(params), PARAMS_PER_TASK)]
 
 
-def _chain_starts(games: DataFrame) -> DataFrame:
+def _steps(pdf: pd.DataFrame):
+    return zip(pdf["h"].to_numpy(), pdf["a"].to_numpy(), pdf["pred"].to_numpy(), pdf["margin"].to_numpy())
+
+
+def _chain_starts(games: DataFrame, batches: list[list[dict]]) -> DataFrame:
     """Starting state of every block but the first."""
     last = games.groupBy(*_KEYS).agg(F.max("block").alias("last_block"))
     inner = games.join(last, _KEYS).filter(F.col("block") < F.col("last_block")).drop("last_block")
-    fields = "gain array<double>, shift array<double>, cov array<double>, info array<double>, eta array<double>"
+    fields = "sides int, gain array<double>, shift array<double>, cov array<double>, info array<double>, eta array<double>"
 
     def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("seq")
         first = pdf.iloc[0]
-        f = _Filter(int(first.sides), first.rho, first.q, first.r, summarise=True)
-        for h, a, z in zip(pdf["h"].to_numpy(), pdf["a"].to_numpy(), (pdf["margin"] - pdf["pred"]).to_numpy()):
+        f = _Filter(batches[int(first.batch)], int(first.sides), summarise=True)
+        for h, a, guess, actual in _steps(pdf):
             f.predict()
-            if not np.isnan(z):
-                f.update(h, a, z)
-        return pd.DataFrame([{"year": first.year, "param_id": first.param_id, "block": first.block,
-                              "init_var": first.init_var, "gain": f.gain.ravel(), "shift": f.mean,
-                              "cov": f.cov.ravel(), "info": f.info.ravel(), "eta": f.eta}])
+            if not np.isnan(actual):
+                f.update(h, a, actual - guess)
+        return pd.DataFrame([{"year": first.year, "batch": first.batch, "block": first.block, "sides": first.sides,
+                              "gain": f.gain.ravel(), "shift": f.mean.ravel(), "cov": f.cov.ravel(),
+                              "info": f.info.ravel(), "eta": f.eta.ravel()}])
 
-    def chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def chain(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, mean, cov = None, None, None
-        for batch in batches:
+        for part in parts:
             rows = []
-            for b in batch.itertuples():
-                t = len(b.shift)
-                if current != (b.year, b.param_id):
-                    current, mean, cov = (b.year, b.param_id), np.zeros(t), np.eye(t) * b.init_var
-                gain, info = np.reshape(b.gain, (t, t)), np.reshape(b.info, (t, t))
+            for b in part.itertuples():
+                t = b.sides
+                sets = batches[b.batch]
+                square, flat = (len(sets), t, t), (len(sets), t)
+                if current != (b.year, b.batch):
+                    current, mean, cov = (b.year, b.batch), np.zeros(flat), _initial(sets, t)
+                gain, info = np.reshape(b.gain, square), np.reshape(b.info, square)
                 # posterior of the start given the block, then through the block's map
-                weight = np.linalg.solve(np.eye(t) + cov @ info, np.eye(t))
-                start = weight @ (mean + cov @ np.asarray(b.eta))
-                spread = weight @ cov
-                mean = gain @ start + np.asarray(b.shift)
-                cov = gain @ spread @ gain.T + np.reshape(b.cov, (t, t))
-                cov = (cov + cov.T) / 2
-                rows.append((b.year, b.param_id, b.block + 1, mean.copy(), cov.ravel().copy()))
-            yield pd.DataFrame(rows, columns=["year", "param_id", "block", "mean", "cov"])
-
-    summaries = inner.groupBy(*_KEYS, "block").applyInPandas(
-        summarise, f"year int, param_id int, block bigint, init_var double, {fields}")
+                weight = np.linalg.inv(np.eye(t) + cov @ info)
+                start = (weight @ (mean[..., None] + cov @ np.reshape(b.eta, flat)[..., None]))
+                mean = (gain @ start)[..., 0] + np.reshape(b.shift, flat)
+                cov = gain @ (weight @ cov) @ gain.swapaxes(1, 2) + np.reshape(b.cov, square)
+                cov = (cov + cov.swapaxes(1, 2)) / 2
+                rows.append((b.year, b.batch, b.block + 1, mean.ravel().copy(), cov.ravel().copy()))
+            yield pd.DataFrame(rows, columns=["year", "batch", "block", "mean", "cov"])
+
+    summaries = spread(inner, *_KEYS, "block").groupBy(*_KEYS, "block").applyInPandas(summarise, f"year int, batch int, block bigint, {fields}")
     # streamed in order: one state in memory, however many blocks a season has
-    return (summaries.repartition(*_KEYS).sortWithinPartitions(*_KEYS, "block").mapInPandas(chain, _STATE))
+    return (summaries.repartition(*_KEYS).sortWithinPartitions(*_KEYS, "block").mapInPandas(chain, _STATE)
+            .toDF("year", "batch", "block", "mean", "cov"))
 
 
-def _start(pdf: pd.DataFrame, state: pd.DataFrame) -> _Filter:
+def _start(pdf: pd.DataFrame, state: pd.DataFrame, batches: list[list[dict]]) -> _Filter:
     first = pdf.iloc[0]
-    t = int(first.sides)
+    t, sets = int(first.sides), batches[int(first.batch)]
     if state.empty:
-        return _Filter(t, first.rho, first.q, first.r, np.zeros(t), np.eye(t) * first.init_var)
+        return _Filter(sets, t, np.zeros((len(sets), t)), _initial(sets, t))
     row = state.iloc[0]
-    return _Filter(t, first.rho, first.q, first.r, np.array(row["mean"]), np.reshape(row["cov"], (t, t)).copy())
+    return _Filter(sets, t, np.reshape(row["mean"], (len(sets), t)).copy(), np.reshape(row["cov"], (len(sets), t, t)).copy())
 
 
 def kalman_pass(games: DataFrame, pred: str = "pred", params: Sequence[dict] = (FILTER_DEFAULTS,),
                 block_games: int = BLOCK_GAMES) -> DataFrame:
-    """Per game: biases known before it, corrected prediction, and the innovation once the result is in.
+    """Per game and parameter set: biases known before it, corrected prediction, and the innovation afterwards.
 
     Seasons start anew; games without a margin only advance the state.
     """
-    indexed, _ = _indexed(games, pred, params, block_games)
-    starts = _chain_starts(indexed).toDF("year", "param_id", "block", "mean", "cov")
+    batches = _split(params)
+    indexed, _ = _indexed(games, pred, len(batches), block_games)
+    starts = _chain_starts(indexed, batches)
     values = ["home_bias", "away_bias", "bias_diff", "bias_diff_var", "pred_final", "innovation", "innovation_var"]
-    schema = ("year int, param_id int, game_id bigint, seq bigint, pred double, margin double, "
+    base = ["year", "game_id", "seq", "pred", "margin"]
+    schema = ("year int, game_id bigint, seq bigint, pred double, margin double, param_id int, "
               + ", ".join(f"{v} double" for v in values))
 
     def run(pdf: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
         if pdf.empty:
-            return pd.DataFrame(columns=["year", "param_id", "game_id", "seq", "pred", "margin", *values])
+            return pd.DataFrame(columns=[*base, "param_id", *values])
         pdf = pdf.sort_values("seq")
-        f = _start(pdf, state)
-        out = np.zeros((len(pdf), len(values)))
-        rows = zip(pdf["h"].to_numpy(), pdf["a"].to_numpy(), pdf["pred"].to_numpy(), pdf["margin"].to_numpy())
-        for i, (h, a, guess, actual) in enumerate(rows):
+        f = _start(pdf, state, batches)
+        sets = len(f.rho)
+        out = np.zeros((len(pdf), sets, len(values)))
+        for i, (h, a, guess, actual) in enumerate(_steps(pdf)):
             f.predict()
-            diff = f.mean[h] - f.mean[a]
-            out[i, :5] = f.mean[h], f.mean[a], diff, f.cov[h, h] + f.cov[a, a] - 2 * f.cov[h, a], guess + diff
+            mh, ma = f.mean[:, h], f.mean[:, a]
+            row = out[i]
+            row[:, 0], row[:, 1], row[:, 2], row[:, 4] = mh, ma, mh - ma, guess + mh - ma
+            row[:, 3] = f.cov[:, h, h] + f.cov[:, a, a] - 2 * f.cov[:, h, a]
             if not np.isnan(actual):
-                out[i, 5:] = f.update(h, a, actual - guess)
-        res = pdf[["year", "param_id", "game_id", "seq", "pred", "margin"]].reset_index(drop=True)
-        return pd.concat([res, pd.DataFrame(out, columns=values)], axis=1)
+                row[:, 5], row[:, 6] = f.update(h, a, actual - guess)
+        res = pdf[base].loc[pdf.index.repeat(sets)].reset_index(drop=True)
+        first_id = int(pdf["batch"].iloc[0]) * PARAMS_PER_TASK
+        res["param_id"] = np.tile(np.arange(first_id, first_id + sets), len(pdf))
+        return pd.concat([res, pd.DataFrame(out.reshape(-1, len(values)), columns=values)], axis=1)
 
-    result = (indexed.groupBy(*_KEYS, "block").cogroup(starts.groupBy(*_KEYS, "block")).applyInPandas(run, schema))
-    return result.withColumns({"margin": F.nanvl("margin", F.lit(None).cast("double"))})
+    result = spread(indexed, *_KEYS, "block").groupBy(*_KEYS, "block").cogroup(starts.groupBy(*_KEYS, "block")).applyInPandas(run, schema)
+    return result.withColumn("margin", F.nanvl("margin", F.lit(None).cast("double")))
 
 
 def kalman_state(games: DataFrame, pred: str = "pred", params: dict = FILTER_DEFAULTS,
                  block_games: int = BLOCK_GAMES) -> tuple[DataFrame, DataFrame]:
     """State after each season's completed games, and the side numbers its arrays follow."""
-    indexed, numbers = _indexed(games, pred, [params], block_games)
+    batches = [[params]]
+    indexed, numbers = _indexed(games, pred, 1, block_games)
     played = indexed.filter(F.col("margin").isNotNull())
-    starts = _chain_starts(played).toDF("year", "param_id", "block", "mean", "cov")
+    starts = _chain_starts(played, batches)
     last = played.groupBy(*_KEYS).agg(F.max("block").alias("last_block"))
     tail = played.join(last, _KEYS).filter(F.col("block") == F.col("last_block")).drop("last_block")
 
     def finish(pdf: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
         if pdf.empty:
-            return pd.DataFrame(columns=["year", "param_id", "block", "mean", "cov"])
+            return pd.DataFrame(columns=["year", "batch", "block", "mean", "cov"])
         pdf = pdf.sort_values("seq")
-        f = _start(pdf, state)
-        for h, a, z in zip(pdf["h"].to_numpy(), pdf["a"].to_numpy(), (pdf["margin"] - pdf["pred"]).to_numpy()):
+        f = _start(pdf, state, batches)
+        for h, a, guess, actual in _steps(pdf):
             f.predict()
-            f.update(h, a, z)
+            f.update(h, a, actual - guess)
         first = pdf.iloc[0]
-        return pd.DataFrame([{"year": first.year, "param_id": first.param_id, "block": first.block, "mean": f.mean,
+        return pd.DataFrame([{"year": first.year, "batch": first.batch, "block": first.block, "mean": f.mean.ravel(),
                               "cov": f.cov.ravel()}])
 
-    state = (tail.groupBy(*_KEYS, "block").cogroup(starts.groupBy(*_KEYS, "block")).applyInPandas(finish, _STATE))
+    state = spread(tail, *_KEYS, "block").groupBy(*_KEYS, "block").cogroup(starts.groupBy(*_KEYS, "block")).applyInPandas(finish, _STATE)
     return state.select("year", "mean", "cov"), numbers
 
 

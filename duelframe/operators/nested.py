@@ -68,7 +68,9 @@ def series_metrics(series: DataFrame) -> DataFrame:
 def flatten_games(series: DataFrame, year: int | Column) -> DataFrame:
     """One row per game, seventeen columns."""
     when = year if isinstance(year, Column) else F.lit(year)
-    return series.withColumn("g", F.explode("games")).select(
+    # the outer form keeps Spark from copying the whole games expression into an inferred size filter
+    rows = series.withColumn("g", F.explode_outer("games")).filter("g IS NOT NULL")
+    return rows.select(
         "sim_id", when.cast("int").alias("year"), "round", "conference", "series_label", "high_seed", "low_seed", "high_seed_num",
         "low_seed_num", "series_winner", "series_loser", "series_length", *[F.col(f"g.{c}").alias(c) for c in _GAME])
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import scalar as S
 from ..schema import HCA_PRIOR, RATING_DAY_CAP
-from ..session import materialize
+from ..session import materialize, spread
 from .perspective import all_teams
 from .records import efficiencies
 
@@ -82,7 +82,7 @@ def _solve_grouped(pairs: DataFrame, keys: list[str], cap, epochs) -> DataFrame:
             out[k] = pdf[k].iloc[0]
         return out[[*keys, "team", "rating"]]
 
-    return pairs.groupBy(*keys).applyInPandas(solve, schema)
+    return spread(pairs, *keys).groupBy(*keys).applyInPandas(solve, schema)
 
 
 def _solve_joined(pairs: DataFrame, keys: list[str], cap, epochs: int, cut_every: int = 5) -> DataFrame:
@@ -224,7 +224,8 @@ def _solve_chunks(seen: DataFrame, solvable: DataFrame, day_cap: int) -> DataFra
         return pd.DataFrame({"year": asks["year"].iloc[0], "as_of": np.repeat(asks["as_of"].to_numpy(), len(names)),
                              "team": np.tile(names, len(asks)), "rating": rating.ravel()})[columns]
 
-    return (seen.select("year", "chunk", "date", "team", "opponent", "n", "s", "usable_after").groupBy("year", "chunk")
+    rows = spread(seen.select("year", "chunk", "date", "team", "opponent", "n", "s", "usable_after"), "year", "chunk")
+    return (rows.groupBy("year", "chunk")
             .cogroup(solvable.select("year", "chunk", "as_of", "last_day", "hca")
                      .toDF("year", "chunk", "as_of", "last_day", "hca").groupBy("year", "chunk"))
             .applyInPandas(solve, f"year int, as_of date, team {kind}, rating double"))
@@ -279,7 +280,7 @@ def _efficiency_grouped(pairs: DataFrame, keys: list[str], steps: int) -> DataFr
             out[k] = pdf[k].iloc[0]
         return out[[*keys, "team", "adj_off", "adj_def"]]
 
-    return pairs.groupBy(*keys).applyInPandas(solve, schema)
+    return spread(pairs, *keys).groupBy(*keys).applyInPandas(solve, schema)
 
 
 def _efficiency_joined(pairs: DataFrame, start: DataFrame, keys: list[str], steps: int, cut_every: int = 5) -> DataFrame:

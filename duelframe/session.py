@@ -47,3 +47,12 @@ def materialize(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: the result survives executor loss and its lineage is cut."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash rows by ``keys`` over the session's shuffle partitions.
+
+    For grouped Python work: a fixed partition count is not merged by adaptive execution, which judges
+    partitions by bytes and would put small but slow groups into one task.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
