@@ -85,8 +85,12 @@ def _solve_grouped(pairs: DataFrame, keys: list[str], cap, epochs) -> DataFrame:
     return spread(pairs, *keys).groupBy(*keys).applyInPandas(solve, schema)
 
 
-def _solve_joined(pairs: DataFrame, keys: list[str], cap, epochs: int, cut_every: int = 5) -> DataFrame:
-    """The same iteration with joins and sums; lineage is cut every few rounds."""
+def _solve_joined(pairs: DataFrame, keys: list[str], cap, epochs: int) -> DataFrame:
+    """The same iteration with joins and sums.
+
+    A round reads the state several times, so its lineage is cut every round; a longer plan would double
+    with each one.
+    """
     pairs = materialize(pairs)
     ends = F.explode(F.array(F.col("team"), F.col("opponent"))).alias("side")
     state = materialize(pairs.select(*keys, ends, "n").groupBy(*keys, "side").agg(
@@ -107,11 +111,10 @@ def _solve_joined(pairs: DataFrame, keys: list[str], cap, epochs: int, cut_every
             moved = moved.join(largest, keys)
         else:
             still = F.col("active")
-        state = moved.select(*keys, "side", "games", (F.col("r") + F.col("change")).alias("r"), still.alias("active"))
-        if (epoch + 1) % cut_every == 0:
-            state = materialize(state)
-            if state.filter("active").limit(1).count() == 0:
-                break
+        state = materialize(
+            moved.select(*keys, "side", "games", (F.col("r") + F.col("change")).alias("r"), still.alias("active")))
+        if epoch % 10 == 9 and state.filter("active").limit(1).count() == 0:
+            break
     return state.select(*keys, F.col("side").alias("team"), F.col("r").alias("rating"))
 
 
@@ -283,10 +286,10 @@ def _efficiency_grouped(pairs: DataFrame, keys: list[str], steps: int) -> DataFr
     return spread(pairs, *keys).groupBy(*keys).applyInPandas(solve, schema)
 
 
-def _efficiency_joined(pairs: DataFrame, start: DataFrame, keys: list[str], steps: int, cut_every: int = 5) -> DataFrame:
+def _efficiency_joined(pairs: DataFrame, start: DataFrame, keys: list[str], steps: int) -> DataFrame:
     n, avg = F.col("n"), F.col("avg")
     state = materialize(start.select(*keys, "team", "off_eff", "def_eff"))
-    for step in range(steps):
+    for _ in range(steps):
         home = state.select(*keys, "team", F.col("off_eff").alias("ho"), F.col("def_eff").alias("hd"))
         away = state.select(*keys, F.col("team").alias("opponent"), F.col("off_eff").alias("ao"), F.col("def_eff").alias("ad"))
         joined = pairs.join(home, [*keys, "team"]).join(away, [*keys, "opponent"])
@@ -297,8 +300,7 @@ def _efficiency_joined(pairs: DataFrame, start: DataFrame, keys: list[str], step
                      (n * avg - F.col("own") + n * F.col("ho")).alias("d")))
         state = (joined.select(*keys, "n", F.explode(rows).alias("x")).groupBy(*keys, F.col("x.side").alias("team"))
                  .agg((F.sum("x.o") / F.sum("n")).alias("off_eff"), (F.sum("x.d") / F.sum("n")).alias("def_eff")))
-        if (step + 1) % cut_every == 0:
-            state = materialize(state)
+        state = materialize(state)
     mean = state.groupBy(*keys).agg(F.avg("off_eff").alias("mo"), F.avg("def_eff").alias("md"))
     return state.join(mean, keys).select(*keys, "team", (100 * (F.col("off_eff") - F.col("mo"))).alias("adj_off"),
                                          (100 * (F.col("def_eff") - F.col("md"))).alias("adj_def"))

@@ -17,8 +17,12 @@ _STATE = "held bigint, home bigint, away bigint, changes bigint, fired boolean"
 EXPIRE_MS = 6 * 3600 * 1000
 
 
-def live_safe_leads(actions: DataFrame, max_minutes: float = MAX_MINUTES, expire_ms: int = EXPIRE_MS) -> DataFrame:
-    """Emits one row when a game's lead first becomes safe.  Actions of a game must arrive in order."""
+def live_safe_leads(actions: DataFrame, max_minutes: float = MAX_MINUTES, expire_ms: int | None = EXPIRE_MS) -> DataFrame:
+    """Emits one row when a game's lead first becomes safe.  Actions of a game must arrive in order.
+
+    State goes away after ``expire_ms`` without actions.  Pass None for a replay that should stop by itself:
+    a processing-time expiry keeps the query alive.
+    """
     clock = S.clock_seconds(F.col("clock"))
     ready = actions.select(
         F.col("game").cast("bigint"), F.col("action_number").cast("bigint"), F.col("period").cast("int"), "clock",
@@ -50,8 +54,10 @@ def live_safe_leads(actions: DataFrame, max_minutes: float = MAX_MINUTES, expire
                 fired = True
                 hit = (key[0], r.action_number, r.period, r.clock, changes, abs(r.lead))
         state.update((held, home, away, changes, fired))
-        state.setTimeoutDuration(expire_ms)
+        if expire_ms is not None:
+            state.setTimeoutDuration(expire_ms)
         columns = ["game", "cutoff_action_number", "cutoff_period", "cutoff_clock", "possessions_before_cutoff", "lead"]
         yield pd.DataFrame([hit] if hit else [], columns=columns)
 
-    return ready.groupBy("game").applyInPandasWithState(step, OUTPUT, _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    expiry = GroupStateTimeout.NoTimeout if expire_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    return ready.groupBy("game").applyInPandasWithState(step, OUTPUT, _STATE, "append", expiry)
