@@ -39,16 +39,19 @@ READ_SQL = LOG_SQL + """, rd AS (SELECT *, coalesce(TRY_CAST(nullif(score_home,
  cut AS (SELECT game, min(action_number) AS cut FROM ef WHERE eff * eff > remaining AND elapsed <= 45 GROUP BY game)"""
 
 
-@query("safe_lead_detection", "M18 P19 P20 P21 P22 W11", READ_SQL + """ SELECT ef.game, cut.cut IS NOT NULL AS safe_lead,
+LEADS_SQL = """ SELECT ef.game, cut.cut IS NOT NULL AS safe_lead,
  max(CASE WHEN action_number = cut THEN period END) AS cutoff_period, max(CASE WHEN action_number = cut THEN clock END) AS cutoff_clock,
  cut.cut AS cutoff_action_number, count(*) FILTER (changed AND (cut IS NULL OR action_number <= cut)) AS possessions_before_cutoff,
  CAST(coalesce(max(CASE WHEN action_number = cut THEN abs(lead) END), abs(max_by(lead, action_number))) AS INT) AS final_score_diff
- FROM ef LEFT JOIN cut ON ef.game = cut.game GROUP BY ef.game, cut.cut""")
+ FROM ef LEFT JOIN cut ON ef.game = cut.game GROUP BY ef.game, cut.cut"""
+
+
+@query("safe_lead_detection", "M18 P19 P20 P21 P22 W11", READ_SQL + LEADS_SQL)
 def safe_lead_detection(spark, sf_dir):
     return events.safe_leads(log(spark, sf_dir))
 
 
-@query("safe_lead_either_side", "M18")
+@query("safe_lead_either_side", "M18", READ_SQL.replace("greatest(0, lead + CASE", "greatest(0, abs(lead) + CASE") + LEADS_SQL)
 def safe_lead_either_side(spark, sf_dir):
     return events.safe_leads(log(spark, sf_dir), symmetric=True)
 

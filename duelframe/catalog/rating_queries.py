@@ -1,29 +1,63 @@
-"""Iterative rating jobs.  Not expressible as plain SQL; tests check them against per-game loops."""
+"""Iterative rating jobs, checked by recursive SQL; tests also check them against per-game loops."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from ..operators import history, ratings, records
-from .contest import rated
+from .contest import RATED_SQL, r6, rated, rnd
 from .registry import query
 
 
-@query("season_em_ratings", "M1 M3")
+def _em_sql(edge: str, cap: float | None, final: str) -> str:
+    """The damped iteration, with the same stopping rule per season."""
+    clip = (lambda e: f"({e})") if cap is None else (lambda e: f"greatest(least({e}, {cap}), -{cap})")
+    return (RATED_SQL.replace("games AS (", "RECURSIVE games AS (", 1) + f""", done AS (SELECT * FROM rated WHERE completed),
+ lastd AS (SELECT year, max(date) AS d, {edge} AS hca FROM done GROUP BY year),
+ homes AS (SELECT DISTINCT year, team FROM done),
+ p AS (SELECT g.year, g.team AS h, g.opponent AS a, any_value(hca) AS hca, count(*) AS n, sum({clip('margin')}) AS s FROM done g JOIN lastd l ON l.year = g.year
+  WHERE date > d - 200 AND EXISTS (SELECT 1 FROM homes x WHERE x.year = g.year AND x.team = g.opponent) GROUP BY ALL),
+ gm AS (SELECT year, team, sum(n) AS games FROM (SELECT year, h AS team, n FROM p UNION ALL SELECT year, a, n FROM p) GROUP BY ALL),
+ it AS (SELECT 0 AS step, year, team, CAST(0 AS DOUBLE) AS r, TRUE AS active FROM gm UNION ALL
+  SELECT step + 1, year, team, r + ch, active AND (step = 0 OR max(abs(ch)) OVER (PARTITION BY year) >= 1e-7) FROM (
+   SELECT i.step, i.year, i.team, i.r, i.active, CASE WHEN i.active THEN 0.1 * e.e / gm.games ELSE 0 END AS ch FROM it i JOIN gm ON gm.year = i.year AND gm.team = i.team
+   JOIN (SELECT year, team, sum(e) AS e FROM (
+     SELECT p.year, p.h AS team, s - n * {clip('x.r - y.r + hca')} AS e FROM p JOIN it x ON x.year = p.year AND x.team = p.h JOIN it y ON y.year = p.year AND y.team = p.a
+     UNION ALL SELECT p.year, p.a, n * {clip('x.r - y.r + hca')} - s FROM p JOIN it x ON x.year = p.year AND x.team = p.h JOIN it y ON y.year = p.year AND y.team = p.a) GROUP BY ALL) e
+    ON e.year = i.year AND e.team = i.team WHERE i.step < 1000 AND (SELECT bool_or(active) FROM it))),
+ em AS (SELECT h.year, h.team, coalesce(r, 0) AS rating FROM homes h LEFT JOIN (SELECT * FROM it WHERE step = (SELECT max(step) FROM it)) z ON z.year = h.year AND z.team = h.team)
+ """ + final)
+
+
+_EDGE = "(2.5 * 20 + avg(margin - (team_rating - opponent_rating)) * count(*)) / (20 + count(*))"
+_PLAIN = f"SELECT year, team, {rnd('rating')} AS rating FROM em"
+EFFICIENCY_SQL = (RATED_SQL.replace("games AS (", "RECURSIVE games AS (", 1) + f""", g AS (SELECT year, team AS h, opponent AS a, team_score AS sh, opponent_score AS sa, coalesce(pace, 100.0) AS p FROM rated WHERE completed),
+ av AS (SELECT year, avg(sh / p) AS avg FROM g GROUP BY year),
+ pr AS (SELECT g.year, h, a, any_value(avg) AS avg, count(*) AS n, sum((sh + 1.25) / p) AS x, sum((sa - 1.25) / p) AS y FROM g JOIN av ON av.year = g.year GROUP BY ALL),
+ it AS (SELECT 0 AS step, year, team, avg(o) AS o, avg(d) AS d FROM (SELECT year, h AS team, sh / p AS o, sa / p AS d FROM g UNION ALL SELECT year, a, sa / p, sh / p FROM g) GROUP BY ALL
+  UNION ALL SELECT step + 1, year, team, sum(o) / sum(n), sum(d) / sum(n) FROM (
+   SELECT m.step, pr.year, h AS team, n, x - n * avg + n * v.d AS o, n * avg - y + n * v.o AS d FROM pr JOIN it m ON m.year = pr.year AND m.team = pr.h JOIN it v ON v.year = pr.year AND v.team = pr.a WHERE m.step < 100
+   UNION ALL SELECT m.step, pr.year, a, n, y - n * avg + n * m.d, n * avg - x + n * m.o FROM pr JOIN it m ON m.year = pr.year AND m.team = pr.h JOIN it v ON v.year = pr.year AND v.team = pr.a WHERE m.step < 100) GROUP BY ALL)
+ SELECT year, team, {rnd('100 * (o - avg(o) OVER (PARTITION BY year))')} AS adj_off, {rnd('100 * (d - avg(d) OVER (PARTITION BY year))')} AS adj_def FROM it WHERE step = 100""")
+
+
+@query("season_em_ratings", "M1 M3", _em_sql(_EDGE, None, _PLAIN))
 def season_em_ratings(spark, sf_dir):
     g = rated(spark, sf_dir).filter("completed")
-    return ratings.em_ratings(g, ["year"], edges=history.home_edge(g, ["year"]))
+    out = ratings.em_ratings(g, ["year"], edges=history.home_edge(g, ["year"]))
+    return out.select("year", "team", r6(F.col("rating")).alias("rating"))
 
 
-@query("season_em_ratings_capped", "M1")
+@query("season_em_ratings_capped", "M1", _em_sql("2.5", 15.0, _PLAIN))
 def season_em_ratings_capped(spark, sf_dir):
-    return ratings.em_ratings(rated(spark, sf_dir).filter("completed"), ["year"], cap=15.0)
+    out = ratings.em_ratings(rated(spark, sf_dir).filter("completed"), ["year"], cap=15.0)
+    return out.select("year", "team", r6(F.col("rating")).alias("rating"))
 
 
-@query("season_rating_ranking", "M3 K5 W12")
+@query("season_rating_ranking", "M3 K5 W12", _em_sql("2.5", None, f"SELECT year, CAST(row_number() OVER (PARTITION BY year ORDER BY rating DESC, team) AS INT) AS rank, team, {rnd('rating', 2)} AS rating FROM em"))
 def season_rating_ranking(spark, sf_dir):
     rated_sides = ratings.season_end_ratings(rated(spark, sf_dir))
-    return records.ranked(rated_sides, "rating", ["year"]).select("year", "rank", "team", F.round("rating", 2).alias("rating"))
+    return records.ranked(rated_sides, "rating", ["year"]).select("year", "rank", "team", r6(F.col("rating"), 2).alias("rating"))
 
 
 @query("point_in_time_ratings", "M2 J12")
@@ -31,6 +65,7 @@ def point_in_time_ratings(spark, sf_dir):
     return ratings.point_in_time_ratings(rated(spark, sf_dir))
 
 
-@query("schedule_adjusted_efficiencies", "M4")
+@query("schedule_adjusted_efficiencies", "M4", EFFICIENCY_SQL)
 def schedule_adjusted_efficiencies(spark, sf_dir):
-    return ratings.adjusted_efficiencies(rated(spark, sf_dir).filter("completed"), ["year"])
+    out = ratings.adjusted_efficiencies(rated(spark, sf_dir).filter("completed"), ["year"])
+    return out.select("year", "team", r6(F.col("adj_off")).alias("adj_off"), r6(F.col("adj_def")).alias("adj_def"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators import history, simstats
+from ..operators import clean, history
 from ..plans.ingest import ingest_games
 from ..sinks import writers
 from ..sources import readers
@@ -151,12 +151,18 @@ def season_rating_rows(spark, sf_dir):
     return mean.select("year", "team", r6(F.col("rating")).alias("rating"))
 
 
-@query("ingested_games", "M28 J6 J7 J8 K1")
+_INGEST_SQL = NAMED_SQL + f""", one AS (SELECT * FROM named QUALIFY row_number() OVER (PARTITION BY text_id ORDER BY game_id) = 1)
+ SELECT text_id AS game_id, CASE WHEN game_id % 3 = 0 THEN {_CANON.format(c='abbr')} ELSE abbr END AS team, CASE WHEN game_id % 3 = 0 THEN {_CANON.format(c='opp_abbr')} ELSE opp_abbr END AS opponent,
+ CAST(margin AS DOUBLE) AS margin, completed, text_id NOT LIKE '006__00001' AS counts_toward_record FROM one WHERE completed OR game_id % 3 <> 0"""
+
+
+@query("ingested_games", "M28 J6 J7 J8 K1", _INGEST_SQL)
 def ingested_games(spark, sf_dir):
     """Two thirds of the table arrive as a feed on top of the stored third."""
     g = abbreviated(spark, sf_dir).withColumns({"key": F.col("game_id"), "margin": F.col("margin").cast("double")})
-    g = g.withColumns({"game_id": F.col("text_id"), "text_id": F.col("text_id")}).dropDuplicates(["game_id"])
+    g = clean.distinct_first(g.withColumn("game_id", F.col("text_id")), ["game_id"], ["key"])
     old = g.filter(F.col("key") % 3 == 0).select("game_id", "date", "team", "opponent", "team_score", "opponent_score", "pace", "completed", "year")
     fed = g.filter(F.col("key") % 3 != 0).select("game_id", "date", "team", "opponent", "team_score", "opponent_score", "margin", "pace", "completed", "year")
     dim = spark.createDataFrame([(a, f"Team {a}") for a in ABBRS], "abbr string, name string")
-    return ingest_games(old, fed, readers.team_dimension(dim))
+    out = ingest_games(old, fed, readers.team_dimension(dim))
+    return out.select("game_id", "team", "opponent", "margin", "completed", "counts_toward_record")

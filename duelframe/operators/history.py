@@ -50,6 +50,7 @@ def side_history(games: DataFrame, windows: Sequence[int] = WINDOWS, hca: float
 def _history_of_sides(side: DataFrame, windows: Sequence[int], prior_weight: float, rest_cap: int) -> DataFrame:
     depth = max(windows)
     cell = ["year", "club", "date"]
+    side = side.dropna(subset=cell)  # on both branches below, so that they share one exchange
     order = ["game_id", "is_home"]
     day = W.partitionBy(*cell).orderBy(*order)
     entry = F.struct(F.col("adj").alias("v"))
@@ -70,8 +71,8 @@ def _history_of_sides(side: DataFrame, windows: Sequence[int], prior_weight: flo
         (F.col("n_in") + F.col("score").isNotNull().cast("int")).alias("n_day"))
     season = W.partitionBy("year", "club").orderBy("date")
     before = season.rowsBetween(W.unboundedPreceding, -1)
-    past = F.flatten(F.collect_list("tail").over(season.rowsBetween(-depth, -1)))
-    carry = days.select(
+    past = F.flatten("__tails")
+    carry = days.withColumn("__tails", F.collect_list("tail").over(season.rowsBetween(-depth, -1))).select(
         *[F.col(c).alias(f"d_{c}") for c in cell],
         F.lag("date").over(season).alias("prev_date"),
         F.coalesce(F.sum("s_day").over(before), F.lit(0.0)).alias("s_prev"),
