@@ -42,8 +42,8 @@ def feature_archive_rows(spark, sf_dir):
     return out.select("game_id", "counts_toward_record", "playoff") if "Unnamed: 0" not in out.columns else out
 
 
-@query("win_total_matrix", "S4", GAMES_SQL + """ SELECT year, CAST(t AS VARCHAR) AS team, CASE WHEN (t + year) % 5 = 0 THEN NULL ELSE CAST(n AS DOUBLE) END AS total
- FROM (SELECT year, team AS t, count(*) AS n FROM games GROUP BY ALL)""")
+@query("win_total_matrix", "S4", GAMES_SQL + """ SELECT y.year, CAST(i AS VARCHAR) AS team, CASE WHEN (i + y.year) % 5 = 0 THEN NULL ELSE CAST(n AS DOUBLE) END AS total
+ FROM (SELECT DISTINCT year FROM games) y CROSS JOIN range(25) r(i) LEFT JOIN (SELECT year, team AS t, count(*) AS n FROM games GROUP BY ALL) c ON c.year = y.year AND c.t = i""")
 def win_total_matrix(spark, sf_dir):
     n = games(spark, sf_dir).groupBy("year", "team").agg(F.count(F.lit(1)).alias("n"))
     cell = F.when((F.col("team") + F.col("year")) % 5 == 0, F.lit(" ")).otherwise(F.col("n").cast("string"))
