@@ -24,9 +24,10 @@ def adjusted_margin(margin: Column, rival_rating: Column, edge: float, is_home:
 
 def _mean_of_last(recent: Column, n: int) -> Column:
     """Mean of the last ``n`` entries; 0 when there are fewer or one of them is null."""
-    tail = F.slice(recent, F.greatest(F.size(recent) - n + 1, F.lit(1)), n)
-    total = F.aggregate(tail, F.lit(0.0), lambda acc, x: acc + x["v"])
-    return F.when(F.size(recent) >= n, F.coalesce(total / n, F.lit(0.0))).otherwise(F.lit(0.0))
+    total = F.get(recent, F.size(recent) - 1)["v"]
+    for i in range(2, n + 1):
+        total = total + F.get(recent, F.size(recent) - i)["v"]
+    return F.coalesce(total / n, F.lit(0.0))
 
 
 def side_history(games: DataFrame, windows: Sequence[int] = WINDOWS, hca: float = HCA_PRIOR,
@@ -57,10 +58,14 @@ def _history_of_sides(side: DataFrame, windows: Sequence[int], prior_weight: flo
     earlier = day.rowsBetween(W.unboundedPreceding, -1)
     local = side.withColumns({
         "k": F.row_number().over(day),
-        "recent": F.collect_list(entry).over(day.rowsBetween(-depth, -1)),
+        **{f"__lag{i}": F.lag("adj", i).over(day) for i in range(1, depth + 1)},
         "s_in": F.coalesce(F.sum("score").over(earlier), F.lit(0.0)),
         "n_in": F.count("score").over(earlier),
     })
+    # the day's previous entries, oldest first, without the places before its first game
+    lags = F.array(*[F.struct(F.col(f"__lag{i}").alias("v")) for i in range(depth, 0, -1)])
+    known = F.least(F.col("k") - 1, F.lit(depth))
+    local = local.withColumn("recent", F.slice(lags, depth + 1 - known, known)).drop(*[f"__lag{i}" for i in range(1, depth + 1)])
     # the last row of a day carries that day's totals, so the day table needs no shuffle of its own
     last = local.withColumn("is_last", F.lead("k").over(day).isNull()).filter("is_last")
     whole = F.concat(F.col("recent"), F.array(entry))
