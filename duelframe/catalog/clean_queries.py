@@ -167,13 +167,13 @@ def distinct_teams(spark, sf_dir):
     return perspective.all_teams(games(spark, sf_dir), ["year"])
 
 
-@query("season_team_complements", "J16 J18", GAMES_SQL + """, a AS (SELECT DISTINCT team FROM games WHERE date < DATE '1995-01-10'), b AS (SELECT DISTINCT opponent AS team FROM games WHERE date < DATE '1995-01-10')
+@query("season_team_complements", "J16 J18", GAMES_SQL + """, a AS (SELECT team FROM games GROUP BY team HAVING max(margin) >= 49), b AS (SELECT opponent AS team FROM games GROUP BY opponent HAVING min(margin) <= -49)
  SELECT (SELECT count(*) FROM (SELECT team FROM a INTERSECT SELECT team FROM b)) AS shared, (SELECT count(*) FROM (SELECT team FROM a EXCEPT SELECT team FROM b)) AS only_home,
  (SELECT count(*) FROM a) = (SELECT count(DISTINCT team) FROM a) AS no_duplicates""")
 def season_team_complements(spark, sf_dir):
-    early = games(spark, sf_dir).filter(F.col("date") < F.lit("1995-01-10").cast("date"))
-    home = early.select("team").distinct()
-    away = early.select(F.col("opponent").alias("team")).distinct()
+    g = games(spark, sf_dir)
+    home = g.groupBy("team").agg(F.max("margin").alias("m")).filter("m >= 49").select("team")
+    away = g.groupBy(F.col("opponent").alias("team")).agg(F.min("margin").alias("m")).filter("m <= -49").select("team")
     marked = home.withColumn("h", F.lit(1)).join(away.withColumn("a", F.lit(1)), "team", "full")
     return marked.agg(F.count_if(F.col("h").isNotNull() & F.col("a").isNotNull()).alias("shared"),
                       F.count_if(F.col("h").isNotNull() & F.col("a").isNull()).alias("only_home"),

@@ -88,10 +88,10 @@ def flat_series_games(spark, sf_dir):
     return nested.flatten_games(results(spark, sf_dir), 2001).withColumn("margin", r6(F.col("margin")))
 
 
-@query("renumbered_series_games", "K9", SERIES_SQL + """, k AS (SELECT sim_id, CAST(dense_rank() OVER (ORDER BY sim_id) - 1 AS BIGINT) AS new_id, label, g FROM fs_g WHERE sim_id % 3 <> 1)
+@query("renumbered_series_games", "K9", SERIES_SQL + """, k AS (SELECT sim_id, CAST(dense_rank() OVER (ORDER BY sim_id) - 1 AS BIGINT) AS new_id, label, g FROM fs_g)
  SELECT new_id AS sim_id, label AS series_label, CAST(g AS INT) AS game_num FROM k""")
 def renumbered_series_games(spark, sf_dir):
-    flat = nested.flatten_games(results(spark, sf_dir), 2001).filter(F.col("sim_id") % 3 != 1)
+    flat = nested.flatten_games(results(spark, sf_dir), 2001).withColumn("sim_id", F.col("sim_id") * 37 + 5)  # with gaps
     return nested.renumbered(flat).select("sim_id", "series_label", "game_num")
 
 
@@ -249,15 +249,15 @@ def post_season_state(spark, sf_dir):
     return playoffs.playoff_state(rated(spark, sf_dir), playoffs.series_records(post(spark, sf_dir)))
 
 
-LABELLED_SQL = POST_SQL + f""", lab AS (SELECT *, CASE WHEN game_id % 4 <> 3 THEN list_extract({_LABELS}, CAST((team + opponent) % 15 + 1 AS INT)) || CAST(year AS VARCHAR) END AS playoff_label FROM post WHERE team < 6 AND opponent < 6),
+LABELLED_SQL = POST_SQL + f""", lab AS (SELECT *, CASE WHEN game_id % 4 <> 3 THEN list_extract({_LABELS}, CAST((team + opponent) % 15 + 1 AS INT)) || CAST(year AS VARCHAR) || '_' || CAST(team % 5 AS VARCHAR) END AS playoff_label FROM post),
  wc AS (SELECT playoff_label, CASE WHEN margin > 0 THEN team ELSE opponent END AS leader, count(*) AS wins FROM lab WHERE playoff_label IS NOT NULL GROUP BY ALL),
  ld AS (SELECT playoff_label, leader, wins, wins >= 4 AS decided FROM wc QUALIFY row_number() OVER (PARTITION BY playoff_label ORDER BY wins DESC, leader DESC) = 1)"""
 
 
 def labelled(spark, sf_dir) -> DataFrame:
     label = F.element_at(F.array(*[F.lit(x) for x in BRACKET]), ((F.col("team") + F.col("opponent")) % 15 + 1).cast("int"))
-    few = post(spark, sf_dir).filter((F.col("team") < 6) & (F.col("opponent") < 6))
-    return few.withColumn("playoff_label", F.when(F.col("game_id") % 4 != 3, F.concat(label, F.col("year").cast("string")))).withColumn(
+    named = F.concat(label, F.col("year").cast("string"), F.lit("_"), (F.col("team") % 5).cast("string"))
+    return post(spark, sf_dir).withColumn("playoff_label", F.when(F.col("game_id") % 4 != 3, named)).withColumn(
         "winner_name", F.when(F.col("game_id") % 2 == 0, S.winner(F.col("margin"), F.col("team"), F.col("opponent"))))
 
 
@@ -266,12 +266,12 @@ def series_leaders(spark, sf_dir):
     return playoffs.series_winners(labelled(spark, sf_dir))
 
 
-@query("trimmed_schedule", "A39", LABELLED_SQL + f""", fut AS (SELECT game_id, list_extract({_LABELS}, CAST(game_id % 15 + 1 AS INT)) || CAST(1995 + game_id % 7 AS VARCHAR) AS playoff_label FROM rated WHERE NOT completed)
+@query("trimmed_schedule", "A39", LABELLED_SQL + f""", fut AS (SELECT game_id, list_extract({_LABELS}, CAST(game_id % 15 + 1 AS INT)) || CAST(1995 + game_id % 7 AS VARCHAR) || '_' || CAST(game_id % 5 AS VARCHAR) AS playoff_label FROM rated WHERE NOT completed)
  SELECT game_id, playoff_label FROM fut WHERE playoff_label NOT IN (SELECT playoff_label FROM ld WHERE decided)""")
 def trimmed_schedule(spark, sf_dir):
     label = F.element_at(F.array(*[F.lit(x) for x in BRACKET]), (F.col("game_id") % 15 + 1).cast("int"))
     future = rated(spark, sf_dir).filter(~F.col("completed")).select(
-        "game_id", F.concat(label, (1995 + F.col("game_id") % 7).cast("string")).alias("playoff_label"))
+        "game_id", F.concat(label, (1995 + F.col("game_id") % 7).cast("string"), F.lit("_"), (F.col("game_id") % 5).cast("string")).alias("playoff_label"))
     return playoffs.trim_decided(future, labelled(spark, sf_dir)).select("game_id", "playoff_label")
 
 
