@@ -4,12 +4,49 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import exact_dedup
+from . import exact_dedup, mixing, sharding
 from .base import table
 from .registry import CHECKS, QUERIES, query  # noqa: F401
 
+DUCK_WORD = r"[^\x20\x09-\x0D]+"
 DUCK_BLANKS = r"[\x20\x09-\x0D]"
 
+
+
+@query("op1_sharding")
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.assign_shards(table(spark, sf_dir, "documents"), shards=40)
+    return placed.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
+
+
+OP3_SQL = f"""
+WITH sized AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{DUCK_WORD}')) AS BIGINT) AS size,
+  CAST('0x' || substr(md5('{mixing.SEED}|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || md5(coalesce(text, ''))), 1, 8)
+   AS BIGINT) / 4294967296.0::DOUBLE AS u FROM documents),
+sources AS (SELECT source IS NULL AS no_source, coalesce(source, '') AS name, CAST(sum(size) AS BIGINT) AS source_size
+  FROM sized GROUP BY ALL),
+ranked AS (SELECT *, [5, 2, 1][1 + (row_number() OVER (ORDER BY no_source, name) - 1) % 3] AS w, 3 * source_size AS cap
+  FROM sources),
+sums AS (SELECT *, CAST(cap AS DOUBLE) / w AS r, CAST((sum(source_size) OVER ()) - coalesce(sum(cap) OVER before, 0) AS DOUBLE)
+   / CAST((sum(w) OVER ()) - coalesce(sum(w) OVER before, 0) AS DOUBLE) AS rest FROM ranked
+  WINDOW before AS (ORDER BY CAST(cap AS DOUBLE) / w, no_source, name ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+targets AS (SELECT *, CASE WHEN r < (SELECT max(rest) FROM sums WHERE rest <= r) THEN CAST(cap AS DOUBLE)
+   ELSE w * (SELECT max(rest) FROM sums WHERE rest <= r) END AS target FROM sums),
+rated AS (SELECT doc_id, size, source_size, target, u,
+   CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate
+  FROM sized JOIN targets ON (source IS NULL) = no_source AND coalesce(source, '') = name)
+SELECT doc_id, size, source_size, target,
+ size * CAST(floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END AS BIGINT) AS taken FROM rated"""
+
+
+@query("op3_mixing", OP3_SQL)
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mixing.with_copies(docs).select(
+        "doc_id", F.col("_size").alias("size"), "source_size", "target",
+        (F.col("_size") * F.col("_copies")).alias("taken"))
+
+
 OP6_SQL = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 n AS (SELECT doc_id, length(t) AS points, sha256(regexp_replace(t, '{DUCK_BLANKS}', '', 'g')) AS h FROM d)
