@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import exact_dedup, mixing, sharding
+from . import exact_dedup, mixing, sharding, warc
 from .base import table
 from .registry import CHECKS, QUERIES, query  # noqa: F401
 
@@ -19,6 +19,21 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
 
 
+OP2_SQL = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest
+  FROM pages),
+k AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS kept
+  FROM p)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+ CASE WHEN page_id = kept THEN 'response' ELSE 'revisit' END AS record_type,
+ CASE WHEN page_id <> kept THEN kept END AS refers_to FROM k"""
+
+
+@query("op2_warc", OP2_SQL)
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.page_digests(spark, table(spark, sf_dir, "pages"))
+
+
 OP3_SQL = f"""
 WITH sized AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{DUCK_WORD}')) AS BIGINT) AS size,
   CAST('0x' || substr(md5('{mixing.SEED}|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || md5(coalesce(text, ''))), 1, 8)
