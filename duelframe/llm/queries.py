@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import exact_dedup, mixing, sharding, warc
+from . import exact_dedup, mixing, packing, sharding, warc
 from .base import table
 from .registry import CHECKS, QUERIES, query  # noqa: F401
 
@@ -73,3 +73,8 @@ FROM n WINDOW w AS (PARTITION BY h ORDER BY points DESC, doc_id)"""
 @query("op6_exact_dedup", OP6_SQL)
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicate_groups(table(spark, sf_dir, "documents"))
+
+
+@query("op9_packing")
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
