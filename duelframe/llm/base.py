@@ -84,3 +84,20 @@ def running_sums(df: DataFrame, order: list[Column], sums: dict[str, Column]) ->
     out = local.join(F.broadcast(totals), "_part")  # at most one row per partition
     out = out.withColumns({k: F.col(f"_b_{k}") + F.col(f"_l_{k}") for k in sums})
     return out.drop("_part", *[p + k for k in sums for p in ("_v_", "_l_", "_b_")])
+
+
+def with_known_size(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
+    """For the narrow side of a join: hinted for broadcast if a count shows at most ``max_rows`` rows, else as it is."""
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+def salted_join(left: DataFrame, right: DataFrame, keys: list[str], salt_from: list[str], salts: int = 16,
+                how: str = "left") -> DataFrame:
+    """Join where a key of ``left`` may hold a large part of its rows.
+
+    ``right`` is narrow and has a row per key; each of its rows is repeated for every salt, and the rows of one key in
+    ``left`` are spread over the salts.
+    """
+    spread = left.withColumn("_salt", F.pmod(F.xxhash64(*salt_from), F.lit(salts)).cast("int"))
+    copies = right.withColumn("_salt", F.explode(F.array(*[F.lit(k) for k in range(salts)])))
+    return spread.join(copies, [*keys, "_salt"], how).drop("_salt")

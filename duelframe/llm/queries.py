@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import exact_dedup, mixing, packing, sharding, warc
+from . import exact_dedup, mixing, packing, sharding, target_rules, url_reputation, warc
 from .base import table
 from .registry import CHECKS, QUERIES, query  # noqa: F401
 
@@ -62,6 +62,36 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("_size") * F.col("_copies")).alias("taken"))
 
 
+_STRENGTH = """SELECT mu, CASE WHEN share > 0 THEN least(1000.0, greatest(2.0, (1 - share) / share)) ELSE 1000.0 END AS m
+  FROM (SELECT *, CASE WHEN room > 0 THEN (Q - 2 * mu * K + mu * mu * N - mu * (1 - mu) * (G - 1)) / room ELSE 0 END AS share
+   FROM (SELECT *, mu * (1 - mu) * (N - S / greatest(N, 1.0) - (G - 1)) AS room FROM (SELECT *, (K + 1) / (N + 2) AS mu
+    FROM (SELECT CAST(coalesce(sum(n), 0) AS DOUBLE) AS N, CAST(coalesce(sum(k), 0) AS DOUBLE) AS K, CAST(count(*) AS DOUBLE) AS G,
+     coalesce(sum(CAST(k * k AS DOUBLE) / n), 0) AS Q, CAST(coalesce(sum(n * n), 0) AS DOUBLE) AS S FROM {0} WHERE n > 0))))"""
+
+OP4_SQL = rf"""
+WITH p AS (SELECT page_id, translate(coalesce(regexp_extract(url, '{url_reputation.PARTS}', 1), ''),
+   '{url_reputation.UPPER}', '{url_reputation.LOWER}') AS host,
+  coalesce(regexp_extract(url, '{url_reputation.PARTS}', 2), '') AS path FROM pages),
+hosts AS (SELECT host, count(quality) AS n, CAST(coalesce(sum(quality), 0) AS BIGINT) AS k, split_part(host, '.', -1) AS suffix,
+  CASE WHEN contains(host, '.') THEN split_part(host, '.', -2) || '.' || split_part(host, '.', -1) ELSE host END AS domain
+  FROM p LEFT JOIN labels ON page_id = doc_id GROUP BY host),
+domains AS (SELECT suffix, domain, CAST(sum(n) AS BIGINT) AS n, CAST(sum(k) AS BIGINT) AS k FROM hosts GROUP BY ALL),
+suffixes AS (SELECT suffix, CAST(sum(n) AS BIGINT) AS n, CAST(sum(k) AS BIGINT) AS k FROM domains GROUP BY ALL),
+s1 AS ({_STRENGTH.format('suffixes')}), s2 AS ({_STRENGTH.format('domains')}), s3 AS ({_STRENGTH.format('hosts')}),
+a1 AS (SELECT suffix, (m * mu + k) / (m + n) AS above FROM suffixes, s1),
+a2 AS (SELECT domain, (m * above + k) / (m + n) AS above FROM domains JOIN a1 USING (suffix), s2),
+a3 AS (SELECT host, (m * above + k) / (m + n) AS mean, m + n AS total FROM hosts JOIN a2 USING (domain), s3),
+b AS (SELECT host, mean + {url_reputation.Z} * sqrt(mean * (1 - mean) / (total + 1)) AS upper FROM a3),
+j AS (SELECT *, '.' || host AS h FROM p JOIN b USING (host))
+SELECT page_id, host, path,
+ CASE WHEN h LIKE '%.example.org' AND path LIKE '/en/1%' THEN 'example.org/en/1'
+  WHEN h LIKE '%.example.org' AND path LIKE '/es/%' THEN 'example.org/es/' WHEN h LIKE '%.com' AND path LIKE '/fr/%' THEN 'com/fr/'
+  WHEN h LIKE '%.com' AND path LIKE '/de/%' THEN 'com/de/' WHEN h LIKE '%.org' AND path LIKE '/%' THEN 'org/' END AS rule,
+ CASE WHEN h LIKE '%.example.org' AND (path LIKE '/en/1%' OR path LIKE '/es/%') THEN 'block'
+  WHEN h LIKE '%.com' AND path LIKE '/fr/%' THEN 'allow' WHEN h LIKE '%.com' AND path LIKE '/de/%' THEN 'block'
+  WHEN h LIKE '%.org' AND path LIKE '/%' THEN 'allow' WHEN upper < {url_reputation.LEAST_GOOD} THEN 'block' ELSE 'allow' END AS verdict
+FROM j"""
+
 OP6_SQL = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 n AS (SELECT doc_id, length(t) AS points, sha256(regexp_replace(t, '{DUCK_BLANKS}', '', 'g')) AS h FROM d)
@@ -78,3 +108,23 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_packing")
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@query("op4_url_reputation", OP4_SQL)
+def op4_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcomes: the quality labels that share a page's id."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    outcomes = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), F.col("quality").alias("good"))
+    return url_reputation.judge(pages, outcomes).select("page_id", "host", "path", "rule", "verdict")
+
+
+def trusted_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents labelled as of good quality."""
+    return table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+
+
+@query("op10_target_rules")
+def op10_target_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return target_rules.judge(docs, trusted_ids(spark, sf_dir)).select(
+        "doc_id", *target_rules.BASE, "base_failed", "kept", "llr")
