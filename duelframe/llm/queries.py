@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import exact_dedup, mixing, packing, sharding, target_rules, url_reputation, warc
+from . import exact_dedup, mixing, near_dedup, packing, sharding, target_rules, url_reputation, warc
 from .base import table
 from .registry import CHECKS, QUERIES, query  # noqa: F401
 
@@ -62,6 +62,20 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("_size") * F.col("_copies")).alias("taken"))
 
 
+OP5_SQL = f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{url_reputation.UPPER}',
+   '{url_reputation.LOWER}'), '{DUCK_WORD}') AS w FROM documents),
+sh AS (SELECT DISTINCT doc_id, CASE WHEN len(w) < 5 THEN array_to_string(w, ' ')
+   ELSE array_to_string(w[i:i + 4], ' ') END AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+inter AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id
+  GROUP BY ALL),
+link AS (SELECT a, b FROM inter JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 75 * (x.n + y.n - i)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM w UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a)
+SELECT w.doc_id, coalesce(n, 0) AS n_shingles, component_id, w.doc_id = component_id AS kept
+FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) USING (doc_id)"""
+
 _STRENGTH = """SELECT mu, CASE WHEN share > 0 THEN least(1000.0, greatest(2.0, (1 - share) / share)) ELSE 1000.0 END AS m
   FROM (SELECT *, CASE WHEN room > 0 THEN (Q - 2 * mu * K + mu * mu * N - mu * (1 - mu) * (G - 1)) / room ELSE 0 END AS share
    FROM (SELECT *, mu * (1 - mu) * (N - S / greatest(N, 1.0) - (G - 1)) AS room FROM (SELECT *, (K + 1) / (N + 2) AS mu
@@ -128,3 +142,9 @@ def op10_target_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return target_rules.judge(docs, trusted_ids(spark, sf_dir)).select(
         "doc_id", *target_rules.BASE, "base_failed", "kept", "llr")
+
+
+@query("op5_near_dedup", OP5_SQL)
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return near_dedup.components(docs).select("doc_id", "n_shingles", "component_id", "kept")
