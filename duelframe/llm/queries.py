@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import exact_dedup, mixing, near_dedup, packing, sharding, target_rules, url_reputation, warc
+from . import exact_dedup, mixing, near_dedup, packing, quality_model, sharding, target_rules, url_reputation, warc
 from .base import table
 from .registry import CHECKS, QUERIES, query  # noqa: F401
 
@@ -148,3 +148,10 @@ def op10_target_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return near_dedup.components(docs).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+@query("op7_quality_model")
+def op7_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_model.fit(docs, table(spark, sf_dir, "labels"))
+    return quality_model.with_scores(docs, model).select("doc_id", "held_out", "score", "predicted")
