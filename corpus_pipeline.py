@@ -1,24 +1,49 @@
-"""The corpus pipeline: stages over documents, each written and reread before the next."""
+"""The corpus pipeline: stages over documents, each written and reread before the next.
+
+Every stage but the last returns the columns of documents; the last returns the pieces of the packed sequences.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from duelframe.llm import exact_dedup
-from duelframe.llm.base import written
+from duelframe.llm import exact_dedup, mixing, near_dedup, packing, queries, target_rules
+from duelframe.llm.base import table, written
+
+ORACLE_SQL = None  # hashed n-grams, signatures and tokens can't be expressed in SQL; tests hold the stages against brute force
+
 
-ORACLE_SQL = None  # tokenised and hash-signed stages can't be expressed in SQL; tests hold it against brute force
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and read like the trusted ones."""
+    return target_rules.kept_rows(docs, queries.trusted_ids(spark, sf_dir))
 
 
-def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of equal texts."""
     return exact_dedup.keep_best(docs)
 
 
-STAGES = [("exact dedup", drop_exact_copies)]
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return near_dedup.keep_first(docs)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as its source's target asks for."""
+    return mixing.mix(docs)
+
+
+def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the packed sequences."""
+    return packing.pack(docs)
+
+
+STAGES = [("quality rules", quality_rules), ("exact dedup", exact_copies), ("near dedup", near_copies),
+          ("mixing", source_mix), ("packing", sequences)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
