@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import exact_dedup, mixing, near_dedup, packing, quality_model, sharding, target_rules, url_reputation, warc
+from . import exact_dedup, mixing, near_dedup, packing, pseudonyms, quality_model, sharding, target_rules, url_reputation, warc
 from .base import table
 from .registry import CHECKS, QUERIES, query  # noqa: F401
 
@@ -155,3 +155,11 @@ def op7_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality_model.fit(docs, table(spark, sf_dir, "labels"))
     return quality_model.with_scores(docs, model).select("doc_id", "held_out", "score", "predicted")
+
+
+@query("op8_pseudonyms")
+def op8_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts with pseudonyms in place of personal data, and how many values were replaced."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    done = pseudonyms.pseudonymise(docs)
+    return done.select("doc_id", "text", F.coalesce(F.size("finds"), F.lit(0)).cast("long").alias("n_replaced"))
