@@ -1,7 +1,8 @@
 """Quality rules: plain base rules, then a hashed n-gram log-likelihood ratio between trusted text and the whole corpus.
 
 Words and word pairs are hashed into ``buckets``.  Counts over all trusted documents and over all documents give two
-smoothed multinomials; a document's score is the mean, over its words and pairs, of the log ratio of the two.  Text as
+multinomials, the trusted one shrunk towards the corpus by ``prior`` counts per bucket, so that little trusted text
+gives little evidence either way; a document's score is the mean, over its words and pairs, of the log ratio of the two.  Text as
 the trusted documents write it scores about zero or above; text whose n-grams are rarer there than in the corpus scores
 below.  A document is kept when it passes the base rules and its score is at least ``least_score``: a fixed threshold,
 so the verdict on a document doesn't depend on a draw.
@@ -22,8 +23,8 @@ from ..session import materialize
 from .base import let, text_of, with_known_size, without_blanks, words_of
 
 BUCKETS = 1 << 16
-SMOOTHING = 1.0
-LEAST_SCORE = -0.1
+PRIOR = 20.0
+LEAST_SCORE = -0.045
 LEAST_WORDS = 20
 MOST_REPEATED = 30
 SYMBOLS = "[#*$%&|<>]"
@@ -85,14 +86,14 @@ def bucket_counts(docs: DataFrame, text: str, buckets: int) -> DataFrame:
     return grams.groupBy(_bucket(F.col("h"), buckets).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def log_ratios(trusted: DataFrame, docs: DataFrame, text: str, buckets: int = BUCKETS, smoothing: float = SMOOTHING) -> DataFrame:
+def log_ratios(trusted: DataFrame, docs: DataFrame, text: str, buckets: int = BUCKETS, prior: float = PRIOR) -> DataFrame:
     """One row: ``ratios``, for each bucket the log ratio of the trusted share to the corpus share."""
     t = bucket_counts(trusted, text, buckets).withColumnRenamed("n", "trusted")
     both = bucket_counts(docs, text, buckets).join(t, "bucket", "left").fillna(0, ["trusted"])
     both = materialize(both)  # at most ``buckets`` rows
     sums = both.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("_all"), F.coalesce(F.sum("trusted"), F.lit(0)).alias("_all_trusted"))
-    share = lambda n, total: (F.col(n) + smoothing) / (F.col(total) + smoothing * buckets)
-    ratio = F.when(F.col("_all_trusted") > 0, F.log(share("trusted", "_all_trusted") / share("n", "_all"))).otherwise(0.0)
+    corpus = (F.col("n") + 1) / (F.col("_all") + buckets)
+    ratio = F.log((F.col("trusted") + prior * buckets * corpus) / (F.col("_all_trusted") + prior * buckets) / corpus)
     every = both.join(F.broadcast(sums)).select("bucket", ratio.alias("ratio"))
     packed = every.agg(F.sort_array(F.collect_list(F.struct("bucket", "ratio"))).alias("p"))  # bounded by ``buckets``
     as_map = F.map_from_entries("p")
@@ -102,14 +103,14 @@ def log_ratios(trusted: DataFrame, docs: DataFrame, text: str, buckets: int = BU
 
 
 def judge(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text: str = "text", buckets: int = BUCKETS,
-          smoothing: float = SMOOTHING, least_score: float = LEAST_SCORE) -> DataFrame:
+          prior: float = PRIOR, least_score: float = LEAST_SCORE) -> DataFrame:
     """``docs`` with the base figures, ``base_failed``, ``llr`` and ``kept``.
 
     ``trusted_ids`` has the column ``id_col`` (ids of the trusted documents).
     """
     ids = trusted_ids.where(F.col(id_col).isNotNull()).select(id_col).distinct()
     trusted = docs.select(id_col, text).join(with_known_size(ids), id_col, "left_semi")
-    ratios = materialize(log_ratios(trusted, docs, text, buckets, smoothing))
+    ratios = materialize(log_ratios(trusted, docs, text, buckets, prior))
     hashed = with_hashes(docs, text).join(F.broadcast(ratios))  # one row of ``buckets`` numbers
     total = F.aggregate(F.concat("_h1", "_h2"), F.lit(0.0),
                         lambda a, h: a + F.get(F.col("ratios"), _bucket(h, buckets)))
