@@ -22,7 +22,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .base import let
+from .base import free_name, let
 
 KEY = "pseudonym-key-1"
 ROUNDS = 8
@@ -180,9 +180,10 @@ def pseudonymise(docs: DataFrame, text: str = "text", finds: str = "finds") -> D
     """``docs`` with the text replaced and ``finds``, an array of ``found`` (what was there) and ``given``."""
     content = F.col(text)
     found = F.when(content.rlike(HINT), F.regexp_extract_all(content, F.lit(FINDER), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    given = docs.withColumn("_given", F.transform(found, lambda m: F.struct(m.alias("found"), pseudonym(m).alias("given"))))
+    name = free_name(docs, "_given")
+    given = docs.withColumn(name, F.transform(found, lambda m: F.struct(m.alias("found"), pseudonym(m).alias("given"))))
     pieces = F.split(content, FINDER, -1)
-    joined = let(F.struct(pieces.alias("p"), F.col("_given").alias("g")), lambda x: F.concat(x["p"][0], F.array_join(
+    joined = let(F.struct(pieces.alias("p"), F.col(name).alias("g")), lambda x: F.concat(x["p"][0], F.array_join(
         F.transform(x["g"], lambda g, i: F.concat(g["given"], F.get(x["p"], i + 1))), "")))
-    return given.withColumn(text, F.when(F.size("_given") > 0, joined).otherwise(content)).withColumn(
-        finds, F.filter("_given", lambda g: g["found"] != g["given"])).drop("_given")
+    return given.withColumn(text, F.when(F.size(name) > 0, joined).otherwise(content)).withColumn(
+        finds, F.filter(name, lambda g: g["found"] != g["given"])).drop(name)

@@ -2,10 +2,10 @@
 
 Words and word pairs are hashed into ``buckets``.  Counts over all trusted documents and over all documents give two
 multinomials, the trusted one shrunk towards the corpus by ``prior`` counts per bucket, so that little trusted text
-gives little evidence either way; a document's score is the mean, over its words and pairs, of the log ratio of the two.  Text as
-the trusted documents write it scores about zero or above; text whose n-grams are rarer there than in the corpus scores
-below.  A document is kept when it passes the base rules and its score is at least ``least_score``: a fixed threshold,
-so the verdict on a document doesn't depend on a draw.
+gives little evidence either way.  A document's score is the mean, over its words and pairs, of the log ratio of the
+two.  Text as the trusted documents write it scores about zero or above; text whose n-grams are rarer there than in the
+corpus scores below.  A document is kept when it passes the base rules and its score is at least ``least_score``, a
+fixed threshold, so the verdict doesn't depend on a draw.
 
 Base rules: at least ``least_words`` words, and at most ``most_repeated`` percent of the words inside 8-word windows
 that occur twice or more.  Windows are compared by 64-bit hashes of their words, inside one document only.
@@ -102,25 +102,29 @@ def log_ratios(trusted: DataFrame, docs: DataFrame, text: str, buckets: int = BU
         F.sequence(F.lit(0), F.lit(buckets - 1)), lambda b: F.coalesce(F.try_element_at(m, b), unseen))).alias("ratios"))
 
 
-def judge(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text: str = "text", buckets: int = BUCKETS,
-          prior: float = PRIOR, least_score: float = LEAST_SCORE) -> DataFrame:
-    """``docs`` with the base figures, ``base_failed``, ``llr`` and ``kept``.
-
-    ``trusted_ids`` has the column ``id_col`` (ids of the trusted documents).
-    """
-    ids = trusted_ids.where(F.col(id_col).isNotNull()).select(id_col).distinct()
-    trusted = docs.select(id_col, text).join(with_known_size(ids), id_col, "left_semi")
-    ratios = materialize(log_ratios(trusted, docs, text, buckets, prior))
-    hashed = with_hashes(docs, text).join(F.broadcast(ratios))  # one row of ``buckets`` numbers
+def _judged(rows: DataFrame, trusted_ids: DataFrame, buckets: int = BUCKETS, prior: float = PRIOR,
+            least_score: float = LEAST_SCORE) -> DataFrame:
+    """``rows`` (``_id``, ``_text`` and maybe ``_row``) with the base figures, ``base_failed``, ``llr`` and ``kept``."""
+    ids = trusted_ids.where("_id IS NOT NULL").distinct()
+    trusted = rows.select("_id", "_text").join(with_known_size(ids), "_id", "left_semi")
+    ratios = materialize(log_ratios(trusted, rows, "_text", buckets, prior))
+    hashed = with_hashes(rows, "_text").join(F.broadcast(ratios))  # one row of ``buckets`` numbers
     total = F.aggregate(F.concat("_h1", "_h2"), F.lit(0.0),
                         lambda a, h: a + F.get(F.col("ratios"), _bucket(h, buckets)))
     grams = F.size("_h1") + F.size("_h2")
-    scored = with_base(hashed, text).withColumn("llr", F.when(grams > 0, total / grams).otherwise(0.0))
+    scored = with_base(hashed, "_text").withColumn("llr", F.when(grams > 0, total / grams).otherwise(0.0))
     return scored.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= least_score)).drop("_h1", "_h2", "ratios")
 
 
+def judge(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text: str = "text", **more) -> DataFrame:
+    """Id, base figures, ``base_failed``, ``llr`` and ``kept`` of each row; ``trusted_ids`` has the column ``id_col``."""
+    rows = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text}`").alias("_text"))
+    judged = _judged(rows, trusted_ids.select(F.col(id_col).alias("_id")), **more)
+    return judged.select(F.col("_id").alias(id_col), *BASE, "base_failed", "llr", "kept")
+
+
 def kept_rows(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text: str = "text", **more) -> DataFrame:
     """The rows of ``docs`` that are kept, columns unchanged."""
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
-                         F.col(f"`{id_col}`").alias(id_col), F.col(f"`{text}`").alias("_text"))
-    return judge(packed, trusted_ids, id_col, "_text", **more).where("kept").select("_row.*")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
+                       F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text}`").alias("_text"))
+    return _judged(rows, trusted_ids.select(F.col(id_col).alias("_id")), **more).where("kept").select("_row.*")

@@ -11,7 +11,7 @@ Rules fit their host and its subdomains where the path starts with the rule's pa
 
 Defined results: a url that is null or has no ``://`` has empty host and path, which form a host of their own.  Outcomes
 with null id or null label aren't counted; several labels of a page count each.  Without outcomes everything not ruled
-out is allowed.  Repeated pages are judged each; extra columns pass through ``judge``; empty tables give empty results.
+out is allowed.  Repeated pages are judged each; extra columns pass through ``allowed_pages``; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -88,17 +88,36 @@ def host_bounds(outcomes: DataFrame, z: float = Z, strengths: tuple[float, float
     return hosts.select("host", "n", "k", (F.col("_mean") + z * sd).alias("upper"))
 
 
-def judge(pages: DataFrame, outcomes: DataFrame, id_col: str = "page_id", url: str = "url", rules=RULES,
-          least_good: float = LEAST_GOOD, z: float = Z) -> DataFrame:
-    """``pages`` with ``host``, ``path``, ``rule`` and ``verdict``.  ``outcomes``: ``id_col`` and ``good``."""
-    split = pages.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
-    good = outcomes.where(f"{id_col} IS NOT NULL AND good IS NOT NULL").select(id_col, F.col("good").cast("long"))
-    labelled = split.select(id_col, "host").join(good, id_col, "left")
-    bounds = host_bounds(labelled, z).select("host", "upper")
-    judged = salted_join(split, bounds, ["host"], [id_col, "path"])
+def _judged(pages: DataFrame, outcomes: DataFrame, rules, least_good: float, z: float) -> DataFrame:
+    """``pages`` (``_id``, ``_url`` and maybe ``_row``) with ``host``, ``path``, ``rule`` and ``verdict``."""
+    split = pages.withColumns({"host": host_of(F.col("_url")), "path": path_of(F.col("_url"))})
+    good = outcomes.where("_id IS NOT NULL AND good IS NOT NULL")
+    bounds = host_bounds(split.select("_id", "host").join(good, "_id", "left"), z).select("host", "upper")
+    judged = salted_join(split, bounds, ["host"], ["_id", "path"])
     host, path = F.col("host"), F.col("path")
     return judged.withColumns({
         "rule": rule_of(host, path, rules),
         "verdict": F.coalesce(rule_of(host, path, rules, "verdict"),
                               F.when(F.col("upper") < least_good, F.lit("block")).otherwise(F.lit("allow"))),
     }).drop("upper")
+
+
+def _outcomes(outcomes: DataFrame, id_col: str) -> DataFrame:
+    return outcomes.select(F.col(id_col).alias("_id"), F.col("good").cast("long").alias("good"))
+
+
+def judge(pages: DataFrame, outcomes: DataFrame, id_col: str = "page_id", url: str = "url", rules=RULES,
+          least_good: float = LEAST_GOOD, z: float = Z) -> DataFrame:
+    """Id, ``host``, ``path``, ``rule`` and ``verdict`` of each page.  ``outcomes``: ``id_col`` and ``good``."""
+    rows = pages.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{url}`").alias("_url"))
+    judged = _judged(rows, _outcomes(outcomes, id_col), rules, least_good, z)
+    return judged.select(F.col("_id").alias(id_col), "host", "path", "rule", "verdict")
+
+
+def allowed_pages(pages: DataFrame, outcomes: DataFrame, id_col: str = "page_id", url: str = "url", rules=RULES,
+                  least_good: float = LEAST_GOOD, z: float = Z) -> DataFrame:
+    """The pages that aren't blocked, columns unchanged."""
+    rows = pages.select(F.struct(*[F.col(f"`{c}`") for c in pages.columns]).alias("_row"),
+                        F.col(f"`{id_col}`").alias("_id"), F.col(f"`{url}`").alias("_url"))
+    judged = _judged(rows, _outcomes(outcomes, id_col), rules, least_good, z)
+    return judged.where("verdict = 'allow'").select("_row.*")
