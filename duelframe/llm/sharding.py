@@ -5,7 +5,7 @@ out overfull by exact totals are subdivided.  The ranges, in key order, are then
 The key is a hash of the text, so equal texts share a range and normally a shard; a text so frequent that it takes a
 range of its own is subdivided by rows.
 
-Everything on the driver has a fixed bound: ``sample`` keys, and at most about ``2 * shards * fine`` ranges.
+Everything on the driver has a fixed bound: about ``sample`` keys, and at most about ``2 * shards * fine`` ranges.
 
 Defined results: size is the text's UTF-8 bytes (a null text has none) plus ``overhead``.  Every row gets a shard from 0
 to ``shards - 1`` and a gapless slot in it; with few rows some shards stay empty.  Repeated rows are rows of their own.
@@ -24,7 +24,7 @@ from ..session import materialize
 from .base import free_name, text_of, utf8_bytes
 
 OVERHEAD = 16
-SAMPLE = 65_536  # keys drawn at most
+SAMPLE = 65_536  # keys drawn, on average at most
 FINE = 64  # ranges for each shard
 CELL_ROWS = 4096  # rows numbered together, on average
 SEED = 2017
@@ -81,9 +81,10 @@ def _totals(rows: DataFrame, plan: ShardPlan) -> np.ndarray:
 
 def plan_shards(rows: DataFrame, shards: int, sample: int = SAMPLE, fine: int = FINE) -> ShardPlan:
     """Sample, split, subdivide and cut.  ``rows``: columns of ``_keyed``."""
-    # Chance in proportion to size: of the priorities ln(u) / size, u a hash, the largest are such a sample.
-    u = (F.pmod(F.xxhash64(F.lit(SEED + 1), "_key", "_row"), F.lit(1 << 52)) + F.lit(0.5)) / float(1 << 52)
-    drawn = rows.orderBy(F.desc(F.log(u) / F.col("_size")), "_key", "_row").limit(sample).select("_key").collect()
+    # Chance in proportion to size, by a hash; a row larger than total / sample is drawn for certain.
+    total = rows.agg(F.sum("_size")).first()[0] or 1
+    u = F.pmod(F.xxhash64(F.lit(SEED + 1), "_key", "_row"), F.lit(1 << 52)) / float(1 << 52)
+    drawn = rows.where(u < F.col("_size") * F.lit(sample / total)).select("_key").collect()
     keys = np.sort(np.array([r._key for r in drawn], np.int64))
     ranges = shards * fine
     quantiles = keys[np.arange(1, ranges) * len(keys) // ranges] if len(keys) else keys
