@@ -14,6 +14,7 @@ rows are packed each for itself; null ids pass through.  Other columns aren't re
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -26,28 +27,90 @@ from .base import text_of, written
 
 WINDOW = 4096
 END_ID = 2
-CACHE_WORDS = 400_000
+CACHE_BYTES = 120 << 20  # of either table, about
+MARK = b"\x01"
+PLAIN = re.compile(r"([^\W\d_]+)([.,;:!?#$%&*|]*)")
 BATCH_BYTES = 4 << 20  # of ids handed on at once
 
 
-class WordIds(dict):
-    """Bytes of a word -> bytes of its ids, little-endian unsigned 32 bit."""
+def word_parts(word: bytes) -> tuple[bytes, ...]:
+    """Latin letters in lower case and the punctuation behind them, which the tokenizer takes apart too; else the word."""
+    text = word.decode("utf-8", "replace")
+    found = PLAIN.fullmatch(text)
+    if found is None or max(text) >= "\u0250" or "\u0130" in text:
+        return (word,)
+    stem = found[1].lower().encode()
+    return (stem, found[2].encode()) if found[2] else (stem,)
+
+
+class WordIds:
+    """Bytes of a word -> bytes of its ids, little-endian unsigned 32 bit.
+
+    Words not met yet are encoded together, stems and punctuation each once.  When the table is full it becomes the older one, from which words in use are
+    taken over, and a new one begins.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.encode = Tokenizer.from_file(path).encode
-
-    def __missing__(self, word: bytes) -> bytes:
-        ids = np.array(self.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
-        if len(word) < 64:
-            self[word] = ids
-        return ids
+        self.tokenizer = Tokenizer.from_file(path)
+        (self.mark,) = self._ids(MARK.decode())
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        self.held = 0
+
+    def learn(self, words: list[bytes]) -> None:
+        known, older, split, need = self.known, self.older, {}, set()
+        for w in words:
+            if w in older:
+                known[w] = older[w]
+                continue
+            split[w] = parts = word_parts(w)
+            for p in parts:
+                if p in older:
+                    known[p] = older[p]
+                elif p not in known:
+                    need.add(p)
+        self._encode(list(need))
+        known.update((w, b"".join([known[p] for p in parts])) for w, parts in split.items() if parts != (w,))
+        self.held += sum(map(len, words)) + 200 * (len(words) + len(need))
+
+    def _encode(self, words: list[bytes]) -> None:
+        """All in one text, each followed by a mark that is one id and no part of them; those with the mark alone."""
+        plain = [w for w in words if MARK not in w]
+        text = f" {MARK.decode()} ".join([*[w.decode("utf-8", "replace") for w in plain], ""])
+        ids = np.array(self._ids(text), "<u4")
+        ends = np.flatnonzero(ids == self.mark)
+        data, starts = ids.tobytes(), [0, *(4 * (ends[:-1] + 1)).tolist()]
+        self.known.update(zip(plain, (data[x:y] for x, y in zip(starts, (4 * ends).tolist()))))
+        for w in words:
+            if MARK in w:
+                self.known[w] = np.array(self._ids(w.decode("utf-8", "replace")), "<u4").tobytes()
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
     def text(self, text: str) -> bytes:
-        if len(self) > CACHE_WORDS:
-            self.clear()
-        return b"".join(map(self.__getitem__, text.encode("utf-8", "replace").split()))
+        if self.held > CACHE_BYTES:
+            self.older, self.known, self.held = self.known, {}, 0
+        tokens = text.encode("utf-8", "replace").split()
+        found = list(map(self.known.get, tokens))
+        if None in found:
+            gaps = [k for k, ids in enumerate(found) if ids is None]
+            self.learn(list(dict.fromkeys([tokens[k] for k in gaps])))
+            for k in gaps:
+                found[k] = self.known[tokens[k]]
+        return b"".join(found)
+
+
+_tables: dict[str, WordIds] = {}
+
+
+def word_ids(path: str) -> WordIds:
+    """The table of this Python worker, which serves several tasks."""
+    if path not in _tables:
+        _tables[path] = WordIds(path)
+    return _tables[path]
 
 
 def default_tokenizer() -> str:
@@ -66,7 +129,7 @@ def tokenise(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_i
                            T.StructField("before", T.LongType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, part, before = WordIds(path), TaskContext.get().partitionId(), 0
+        words, part, before = word_ids(path), TaskContext.get().partitionId(), 0
         for batch in batches:
             rows, held = [], 0
             for doc, content in zip(batch["id"], batch["text"]):

@@ -410,7 +410,7 @@ def test_word_table_survives_being_full(monkeypatch):
     monkeypatch.setattr(packing, "CACHE_BYTES", 2000)
     rng = random.Random(1)
     for _ in range(60):
-        t = sentence(rng, 30) + " <|endoftext|>x ünïcødé\u3000wide " + "long" * 40
+        t = sentence(rng, 30) + " <|endoftext|>x a\x01b \x01 \x02 e\u0301 \u0301x ünïcødé\u3000wide " + "long" * 40
         want = plain.tokenizer.encode(t, add_special_tokens=False).ids
         assert np.frombuffer(table.text(t), "<u4").tolist() == want
 
