@@ -60,6 +60,45 @@ def season_rating_ranking(spark, sf_dir):
     return records.ranked(rated_sides, "rating", ["year"]).select("year", "rank", "team", r6(F.col("rating"), 2).alias("rating"))
 
 
+# the same iteration for the first game day of each month, from the games before it
+_ASKED_SQL = RATED_SQL.replace("games AS (", "RECURSIVE games AS (", 1) + f""", done AS (SELECT * FROM rated WHERE completed AND margin IS NOT NULL),
+ asks AS (SELECT year, min(date) AS as_of FROM rated GROUP BY year, month(date)),
+ seen AS (SELECT asks.year, as_of, count(date) AS games_before, max(date) AS last_day FROM asks LEFT JOIN done ON done.year = asks.year AND date < as_of GROUP BY ALL),
+ fh AS (SELECT year, team, min(date) AS first_home FROM done GROUP BY ALL),
+ p AS (SELECT s.year, s.as_of, g.team AS h, g.opponent AS a, count(*) AS n, sum(margin) AS s FROM done g JOIN seen s ON s.year = g.year AND games_before > 100 AND g.date <= last_day AND g.date > last_day - 200
+  JOIN fh x ON x.year = g.year AND x.team = g.team AND x.first_home < as_of JOIN fh y ON y.year = g.year AND y.team = g.opponent AND y.first_home < as_of GROUP BY ALL),
+ gm AS (SELECT year, as_of, team, sum(n) AS games FROM (SELECT year, as_of, h AS team, n FROM p UNION ALL SELECT year, as_of, a, n FROM p) GROUP BY ALL),
+ it AS (SELECT 0 AS step, year, as_of, team, CAST(0 AS DOUBLE) AS r, TRUE AS active FROM gm UNION ALL
+  SELECT step + 1, year, as_of, team, r + ch, active AND (step = 0 OR max(abs(ch)) OVER (PARTITION BY year, as_of) >= 1e-7) FROM (
+   SELECT i.step, i.year, i.as_of, i.team, i.r, i.active, CASE WHEN i.active THEN 0.1 * e.e / gm.games ELSE 0 END AS ch FROM it i JOIN gm USING (year, as_of, team)
+   JOIN (SELECT year, as_of, team, sum(e) AS e FROM (
+     SELECT p.year, p.as_of, unnest([h, a]) AS team, unnest([s - n * (x.r - y.r + 2.5), n * (x.r - y.r + 2.5) - s]) AS e FROM p
+      JOIN it x ON x.year = p.year AND x.as_of = p.as_of AND x.team = p.h JOIN it y ON y.year = p.year AND y.as_of = p.as_of AND y.team = p.a) GROUP BY ALL) e
+    USING (year, as_of, team) WHERE i.step < 1000 AND (SELECT bool_or(active) FROM it))),
+ sides_of AS (SELECT year, team FROM rated UNION SELECT year, opponent FROM rated)
+ SELECT seen.year, seen.as_of, t.team, CASE WHEN games_before <= 100 THEN 0 WHEN first_home < seen.as_of THEN {rnd('coalesce(r, 0)')} END AS rating
+ FROM seen JOIN sides_of t ON t.year = seen.year LEFT JOIN fh ON fh.year = t.year AND fh.team = t.team
+ LEFT JOIN (SELECT * FROM it WHERE step = (SELECT max(step) FROM it)) z ON z.year = t.year AND z.as_of = seen.as_of AND z.team = t.team"""
+
+
+def _asked(games):
+    month = games.groupBy("year", F.trunc("date", "month")).agg(F.min(F.to_date("date")).alias("as_of"))
+    out = ratings.point_in_time_ratings(games, wanted=month.select("year", "as_of"))
+    return out.select("year", "as_of", "team", r6(F.col("rating")).alias("rating"))
+
+
+@query("ratings_on_asked_dates", "M2 J12", _ASKED_SQL)
+def ratings_on_asked_dates(spark, sf_dir):
+    return _asked(rated(spark, sf_dir))
+
+
+@query("ratings_on_asked_dates_with_times", "M2 J12", _ASKED_SQL)
+def ratings_on_asked_dates_with_times(spark, sf_dir):
+    """The same games with a time of day, as feeds deliver them."""
+    minutes = F.make_dt_interval(F.lit(0), F.lit(0), (F.col("game_id") % 1440).cast("int"))
+    return _asked(rated(spark, sf_dir).withColumn("date", F.col("date").cast("timestamp") + minutes))
+
+
 @query("point_in_time_ratings", "M2 J12")
 def point_in_time_ratings(spark, sf_dir):
     return ratings.point_in_time_ratings(rated(spark, sf_dir))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators import clean, history, metrics, records, scenarios, simstats, standings
 from ..operators.perspective import all_teams
-from .contest import RATED_SQL, noise, noise_sql, r6, rated, rnd
+from .contest import RATED_SQL, noise, noise_sql, r6, rated, rnd, table
 from .record_queries import team_dim
 from .registry import query
 
@@ -90,15 +90,20 @@ def win_summary(spark, sf_dir):
     return out.select("team", *[r6(F.col(c)).alias(c) for c in out.columns if c != "team"])
 
 
+def side_ids(spark, sf_dir):
+    """The side dimension, one number per side; they name the matrix's columns."""
+    return [r.n_nationkey for r in table(spark, sf_dir, "nation").select("n_nationkey").orderBy("n_nationkey").collect()]
+
+
 @query("wins_matrix", "K7", SCEN_SQL + " SELECT sim_id, "
        + ", ".join(f'max(CASE WHEN team = {t} THEN wins END) AS "{t}"' for t in range(25)) + " FROM simw GROUP BY sim_id")
 def wins_matrix(spark, sf_dir):
-    return simstats.wins_matrix(season_wins(spark, sf_dir), list(range(25)))
+    return simstats.wins_matrix(season_wins(spark, sf_dir), side_ids(spark, sf_dir))
 
 
 @query("wins_matrix_unpivoted", "S10 S4", SCEN_SQL + " SELECT sim_id, CAST(team AS VARCHAR) AS team, wins FROM simw")
 def wins_matrix_unpivoted(spark, sf_dir):
-    wide = simstats.wins_matrix(season_wins(spark, sf_dir), list(range(25)))
+    wide = simstats.wins_matrix(season_wins(spark, sf_dir), side_ids(spark, sf_dir))
     return wide.unpivot("sim_id", [c for c in wide.columns if c != "sim_id"], "team", "wins").filter("wins IS NOT NULL")
 
 
@@ -192,7 +197,7 @@ def plain_seeds(spark, sf_dir) -> DataFrame:
 
 
 @query("seed_report", "A25 K6", SEED_SQL + " SELECT team, " + ", ".join(f"{rnd(f'count(*) FILTER (seed = {s}) / count(*)')} AS seed_{s}" for s in simstats.SEEDS)
-       + " FROM sd GROUP BY team")
+       + f", {rnd('count(*) FILTER (seed > 15) / count(*)')} AS seed_later FROM sd GROUP BY team")
 def seed_report(spark, sf_dir):
     out = simstats.seed_report(plain_seeds(spark, sf_dir))
     return out.select("team", *[r6(F.col(c)).alias(c) for c in out.columns if c != "team"])

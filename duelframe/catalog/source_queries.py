@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators import clean, history
 from ..plans.ingest import ingest_games
+from ..session import output_folder
 from ..sinks import writers
 from ..sources import readers
 from .clean_queries import NAMED_SQL, abbreviated, named
@@ -16,19 +17,24 @@ from .scenario_queries import LOG_SQL as SIM_LOG_SQL, log as sim_log
 
 
 def _mixed_dates() -> F.Column:
-    d = F.col("date")
-    return (F.when(F.col("key") % 4 == 0, F.date_format(d, "yyyy-MM-dd")).when(F.col("key") % 4 == 1, F.date_format(d, "MM/dd/yyyy"))
-            .when(F.col("key") % 4 == 2, F.date_format(d, "yyyy-MM-dd HH:mm:ss"))
-            .otherwise(F.concat(F.date_format(d, "yyyy-MM-dd"), F.lit("T00:00:00Z"))))
+    """Eight spellings that season files have had."""
+    day = F.date_format("date", "yyyy-MM-dd")
+    forms = [day, F.date_format("date", "MM/dd/yyyy"), *[F.concat(day, F.lit(tail)) for tail in (
+        " 00:00:00", "T00:00:00Z", "T00:00:00", "T00:00:00+00:00", "T00:00:00.000Z", " 00:00:00.000")]]
+    return F.get(F.array(*forms), (F.col("key") % len(forms)).cast("int"))
 
 
 @query("season_file_rows", "S1 S2", NAMED_SQL + """ SELECT text_id AS game_id, CAST(date AS TIMESTAMP) AS date, abbr AS team, opp_abbr AS opponent, text_id NOT LIKE '006__00001' AS counts_toward_record,
  CAST(NULL AS BOOLEAN) AS garbage_time_detected, 'Home' AS location FROM named WHERE completed""")
 def season_file_rows(spark, sf_dir):
+    """Through files: old ones with other column names and fewer columns beside new ones."""
     df = named(spark, sf_dir).withColumn("key", F.col("game_id"))
-    raw = df.select(F.col("text_id").alias("game_id"), _mixed_dates().alias("date"), F.col("abbr").alias("team_abbr"),
-                    F.col("opp_abbr").alias("opponent_abbr"), "completed")
-    out = readers.completed_with_defaults(readers.parse_games(raw))
+    raw = df.select("key", F.col("text_id").alias("game_id"), _mixed_dates().alias("date"), "abbr", "opp_abbr", "completed", "pace")
+    path = output_folder(spark, "season_files")
+    for old, names in ((True, ("team_abbr", "opponent_abbr")), (False, ("team", "opponent"))):
+        part = raw.filter((F.col("key") % 2 == 0) == F.lit(old)).drop("key", *(["pace"] if old else []))
+        part.withColumnsRenamed(dict(zip(("abbr", "opp_abbr"), names))).write.option("header", True).csv(f"{path}/{'old' if old else 'new'}")
+    out = readers.read_completed_games(spark, f"{path}/*/*.csv")
     return out.select("game_id", F.col("date").cast("timestamp_ntz").alias("date"), "team", "opponent", "counts_toward_record", "garbage_time_detected", "location")
 
 

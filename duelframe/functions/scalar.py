@@ -25,11 +25,17 @@ def canonical_abbr(column: Column) -> Column:
 
 
 def parse_mixed_timestamp(text: Column) -> Column:
-    """First format that fits; naive result in UTC."""
-    formats = ["yyyy-MM-dd'T'HH:mm:ssX", "yyyy-MM-dd HH:mm:ssXXX", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "MM/dd/yyyy"]
+    """First format that fits, with or without seconds' fraction and zone; naive result in UTC, null if none fits."""
+    clock = "HH:mm:ss[.SSSSSS][.SSS][XXX][X]"
+    formats = [f"yyyy-MM-dd'T'{clock}", f"yyyy-MM-dd {clock}", "yyyy-MM-dd", "MM/dd/yyyy"]
     return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in formats])
 
 
+def unreadable_date(text: Column) -> Column:
+    """A date is written there, but in none of the known forms."""
+    return (F.trim(text) != "") & parse_mixed_timestamp(text).isNull()
+
+
 def playoff_start(year: Column, ends: Mapping[int, str] = REGULAR_SEASON_END) -> Column:
     """Day after the regular season; 14 April when the year is not in the table."""
     end = lookup(year.cast("int"), {int(k): v for k, v in ends.items()}).cast("date")

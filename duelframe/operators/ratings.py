@@ -1,8 +1,8 @@
 """Iterative team ratings and schedule-adjusted efficiencies.
 
 Games collapse to one row per ordered pair before any iteration, so what is iterated grows with sides
-squared per season and not with games.  A season that fits a task is solved by one grouped job; when the
-pair table of some season is larger than ``max_pairs`` the same iteration runs as DataFrame joins instead.
+squared per season and not with games; one task solves one season (or one chunk of dates) from that table.
+Ten thousand sides in a season would be at most a hundred million pairs, and only pairs that met have a row.
 """
 
 from __future__ import annotations
@@ -15,11 +15,9 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import scalar as S
 from ..schema import HCA_PRIOR, RATING_DAY_CAP
-from ..session import materialize, spread
+from ..session import spread
 from .perspective import all_teams
-from .records import efficiencies
 
-MAX_PAIRS = 2_000_000
 STEP = 0.1
 EPOCHS = 1000
 TOLERANCE = 1e-7
@@ -85,42 +83,9 @@ def _solve_grouped(pairs: DataFrame, keys: list[str], cap, epochs) -> DataFrame:
     return spread(pairs, *keys).groupBy(*keys).applyInPandas(solve, schema)
 
 
-def _solve_joined(pairs: DataFrame, keys: list[str], cap, epochs: int) -> DataFrame:
-    """The same iteration with joins and sums.
-
-    A round reads the state several times, so its lineage is cut every round; a longer plan would double
-    with each one.
-    """
-    pairs = materialize(pairs)
-    ends = F.explode(F.array(F.col("team"), F.col("opponent"))).alias("side")
-    state = materialize(pairs.select(*keys, ends, "n").groupBy(*keys, "side").agg(
-        F.sum("n").alias("games"), F.lit(0.0).alias("r"), F.lit(True).alias("active")))
-    for epoch in range(epochs):
-        home = state.select(*keys, F.col("side").alias("team"), F.col("r").alias("rh"))
-        away = state.select(*keys, F.col("side").alias("opponent"), F.col("r").alias("ra"))
-        error = F.col("s") - F.col("n") * _clip(F.col("rh") - F.col("ra") + F.col("hca"), cap)
-        errors = (pairs.join(home, [*keys, "team"]).join(away, [*keys, "opponent"])
-                  .select(*keys, F.explode(F.array(F.struct(F.col("team").alias("side"), error.alias("e")),
-                                                   F.struct(F.col("opponent").alias("side"), (-error).alias("e")))).alias("x"))
-                  .groupBy(*keys, F.col("x.side").alias("side")).agg(F.sum("x.e").alias("e")))
-        change = F.when(F.col("active"), STEP * F.col("e") / F.col("games")).otherwise(F.lit(0.0))
-        moved = state.join(errors, [*keys, "side"]).withColumn("change", change)
-        if epoch:
-            largest = moved.groupBy(*keys).agg(F.max(F.abs("change")).alias("largest"))
-            still = F.col("active") & (F.col("largest") >= TOLERANCE)
-            moved = moved.join(largest, keys)
-        else:
-            still = F.col("active")
-        state = materialize(
-            moved.select(*keys, "side", "games", (F.col("r") + F.col("change")).alias("r"), still.alias("active")))
-        if epoch % 10 == 9 and state.filter("active").limit(1).count() == 0:
-            break
-    return state.select(*keys, F.col("side").alias("team"), F.col("r").alias("rating"))
-
-
 def em_ratings(games: DataFrame, keys: Sequence[str] = ("year",), teams: DataFrame | None = None,
                edges: DataFrame | None = None, hca: float = HCA_PRIOR, cap: float | None = None,
-               day_cap: int = RATING_DAY_CAP, epochs: int = EPOCHS, max_pairs: int = MAX_PAIRS) -> DataFrame:
+               day_cap: int = RATING_DAY_CAP, epochs: int = EPOCHS) -> DataFrame:
     """Ratings per key from completed games.
 
     ``teams`` (keys, team) names the rated sides; without it they are the sides seen at home.  Games with
@@ -136,10 +101,7 @@ def em_ratings(games: DataFrame, keys: Sequence[str] = ("year",), teams: DataFra
         pairs = pairs.withColumn("hca", F.lit(float(hca)))
     else:
         pairs = pairs.join(edges.select(*keys, "hca"), keys, "left").fillna(float(hca), ["hca"])
-    pairs = materialize(pairs)
-    largest = pairs.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-    solve = _solve_grouped if largest <= max_pairs else _solve_joined
-    solved = solve(pairs, keys, cap, epochs)
+    solved = _solve_grouped(pairs, keys, cap, epochs)
     return index.join(solved, [*keys, "team"], "left").fillna(0.0, ["rating"])
 
 
@@ -150,9 +112,14 @@ def season_end_ratings(games: DataFrame, edges: DataFrame | None = None, **kwarg
 # ---- ratings as they stood before every date ---------------------------------------------------
 
 
+def by_day(games: DataFrame) -> DataFrame:
+    """Dates cut to calendar days; a feed's dates may carry a time."""
+    return games.withColumn("date", F.to_date("date"))
+
+
 def as_of_dates(games: DataFrame) -> DataFrame:
-    """Per season and game date: completed games so far and the last date that had one."""
-    per_day = games.groupBy("year", "date").agg(F.count_if("completed").alias("done"))
+    """Per season and game day: completed games so far and the last day that had one."""
+    per_day = by_day(games).groupBy("year", "date").agg(F.count_if("completed").alias("done"))
     before = W.partitionBy("year").orderBy("date").rowsBetween(W.unboundedPreceding, -1)
     return per_day.select(
         "year", F.col("date").alias("as_of"), F.coalesce(F.sum("done").over(before), F.lit(0)).alias("games_before"),
@@ -161,16 +128,20 @@ def as_of_dates(games: DataFrame) -> DataFrame:
 
 def point_in_time_ratings(games: DataFrame, edges: DataFrame | None = None, hca: float = HCA_PRIOR,
                           day_cap: int = RATING_DAY_CAP, least_games: int = LEAST_GAMES, chunk_days: int = 31,
-                          max_rows: int = MAX_PAIRS) -> DataFrame:
-    """year, as_of, team, rating: ratings from completed games before each date, 0 until there are enough.
+                          wanted: DataFrame | None = None) -> DataFrame:
+    """year, as_of, team, rating: ratings from completed games before each day, 0 until there are enough.
 
-    Daily pair sums are sent to the month-sized chunks of dates that can see them; each chunk solves its
-    dates together.  Sides not yet seen at home have a null rating.
+    ``wanted`` (year, as_of) limits the days that are rated; each must be a game day of its season.  Daily pair
+    sums are sent to the month-sized chunks of days that can see them; each chunk solves its days together.
+    Sides not yet seen at home have a null rating.
     """
+    games = by_day(games)
     played = games.filter(F.col("completed") & F.col("margin").isNotNull())
-    daily = materialize(played.groupBy("year", "date", "team", "opponent").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.col("margin").cast("double")).alias("s")))
-    asks = materialize(as_of_dates(games))
+    daily = played.groupBy("year", "date", "team", "opponent").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("margin").cast("double")).alias("s"))
+    asks = as_of_dates(games)
+    if wanted is not None:
+        asks = asks.join(wanted.select("year", F.to_date("as_of").alias("as_of")).distinct(), ["year", "as_of"], "left_semi")
     first_home = daily.groupBy("year", "team").agg(F.min("date").alias("first_home"))
     solvable = asks.filter(F.col("games_before") > least_games).withColumn(
         "chunk", F.expr(f"datediff(as_of, DATE '1970-01-01') div {chunk_days}"))
@@ -185,16 +156,7 @@ def point_in_time_ratings(games: DataFrame, edges: DataFrame | None = None, hca:
     spans = solvable.groupBy("year", "chunk").agg(F.date_sub(F.min("last_day"), day_cap).alias("lo"),
                                                   F.max("last_day").alias("hi"))
     seen = usable.join(spans, "year").filter((F.col("date") > F.col("lo")) & (F.col("date") <= F.col("hi")))
-    largest = seen.groupBy("year", "chunk").count().agg(F.max("count")).first()[0] or 0
-    if largest <= max_rows:
-        solved = _solve_chunks(seen, solvable, day_cap)
-    else:
-        expanded = (usable.join(solvable, "year")
-                    .filter((F.col("date") <= F.col("last_day")) & (F.col("usable_after") < F.col("as_of"))
-                            & (F.col("date") > F.date_sub("last_day", day_cap)))
-                    .groupBy("year", "as_of", "team", "opponent")
-                    .agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.first("hca").alias("hca")))
-        solved = _solve_joined(expanded, ["year", "as_of"], None, EPOCHS)
+    solved = _solve_chunks(seen, solvable, day_cap)
     grid = asks.join(all_teams(games, ["year"]), "year").join(first_home, ["year", "team"], "left")
     rating = (F.when(F.col("games_before") <= least_games, F.lit(0.0))
               .when(F.col("first_home") < F.col("as_of"), F.coalesce("rating", F.lit(0.0))))
@@ -236,29 +198,28 @@ def _solve_chunks(seen: DataFrame, solvable: DataFrame, day_cap: int) -> DataFra
 
 def attach_ratings(games: DataFrame, ratings: DataFrame) -> DataFrame:
     """Point-in-time ratings of both sides on the game row."""
-    home = ratings.select("year", F.col("as_of").alias("date"), "team", F.col("rating").alias("team_rating"))
-    away = ratings.select("year", F.col("as_of").alias("date"), F.col("team").alias("opponent"),
+    home = ratings.select("year", F.col("as_of").alias("__day"), "team", F.col("rating").alias("team_rating"))
+    away = ratings.select("year", F.col("as_of").alias("__day"), F.col("team").alias("opponent"),
                           F.col("rating").alias("opponent_rating"))
-    return games.join(home, ["year", "date", "team"], "left").join(away, ["year", "date", "opponent"], "left")
+    dated = games.withColumn("__day", F.to_date("date"))
+    return (dated.join(home, ["year", "__day", "team"], "left").join(away, ["year", "__day", "opponent"], "left")
+            .drop("__day"))
 
 
 # ---- schedule-adjusted efficiencies ------------------------------------------------------------
 
 
-def adjusted_efficiencies(games: DataFrame, keys: Sequence[str] = ("year",), hca: float = HCA_PRIOR, steps: int = 100,
-                          max_pairs: int = MAX_PAIRS) -> DataFrame:
+def adjusted_efficiencies(games: DataFrame, keys: Sequence[str] = ("year",), hca: float = HCA_PRIOR,
+                          steps: int = 100) -> DataFrame:
     """Exactly ``steps`` synchronous steps from the raw efficiencies, centred and scaled by 100."""
     keys = list(keys)
     pace = S.pace_or_default(F.col("pace"))
     own, other = (F.col("team_score") + hca / 2) / pace, (F.col("opponent_score") - hca / 2) / pace
-    pairs = materialize(games.groupBy(*keys, "team", "opponent").agg(
+    pairs = games.groupBy(*keys, "team", "opponent").agg(
         F.count(F.lit(1)).alias("n"), F.sum(own).alias("own"), F.sum(other).alias("other"),
-        F.sum(F.col("team_score") / pace).alias("raw_own"), F.sum(F.col("opponent_score") / pace).alias("raw_other")))
-    average = pairs.groupBy(*keys).agg((F.sum("raw_own") / F.sum("n")).alias("avg"), F.count(F.lit(1)).alias("size"))
-    largest = average.agg(F.max("size")).first()[0] or 0
-    if largest <= max_pairs:
-        return _efficiency_grouped(pairs.join(average, keys), keys, steps)
-    return _efficiency_joined(pairs.join(average, keys), efficiencies(games, keys), keys, steps)
+        F.sum(F.col("team_score") / pace).alias("raw_own"), F.sum(F.col("opponent_score") / pace).alias("raw_other"))
+    average = pairs.groupBy(*keys).agg((F.sum("raw_own") / F.sum("n")).alias("avg"))
+    return _efficiency_grouped(pairs.join(average, keys), keys, steps)
 
 
 def _efficiency_grouped(pairs: DataFrame, keys: list[str], steps: int) -> DataFrame:
@@ -284,23 +245,3 @@ def _efficiency_grouped(pairs: DataFrame, keys: list[str], steps: int) -> DataFr
         return out[[*keys, "team", "adj_off", "adj_def"]]
 
     return spread(pairs, *keys).groupBy(*keys).applyInPandas(solve, schema)
-
-
-def _efficiency_joined(pairs: DataFrame, start: DataFrame, keys: list[str], steps: int) -> DataFrame:
-    n, avg = F.col("n"), F.col("avg")
-    state = materialize(start.select(*keys, "team", "off_eff", "def_eff"))
-    for _ in range(steps):
-        home = state.select(*keys, "team", F.col("off_eff").alias("ho"), F.col("def_eff").alias("hd"))
-        away = state.select(*keys, F.col("team").alias("opponent"), F.col("off_eff").alias("ao"), F.col("def_eff").alias("ad"))
-        joined = pairs.join(home, [*keys, "team"]).join(away, [*keys, "opponent"])
-        rows = F.array(
-            F.struct(F.col("team").alias("side"), (F.col("own") - n * avg + n * F.col("ad")).alias("o"),
-                     (n * avg - F.col("other") + n * F.col("ao")).alias("d")),
-            F.struct(F.col("opponent").alias("side"), (F.col("other") - n * avg + n * F.col("hd")).alias("o"),
-                     (n * avg - F.col("own") + n * F.col("ho")).alias("d")))
-        state = (joined.select(*keys, "n", F.explode(rows).alias("x")).groupBy(*keys, F.col("x.side").alias("team"))
-                 .agg((F.sum("x.o") / F.sum("n")).alias("off_eff"), (F.sum("x.d") / F.sum("n")).alias("def_eff")))
-        state = materialize(state)
-    mean = state.groupBy(*keys).agg(F.avg("off_eff").alias("mo"), F.avg("def_eff").alias("md"))
-    return state.join(mean, keys).select(*keys, "team", (100 * (F.col("off_eff") - F.col("mo"))).alias("adj_off"),
-                                         (100 * (F.col("def_eff") - F.col("md"))).alias("adj_def"))

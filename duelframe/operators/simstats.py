@@ -62,10 +62,10 @@ def sim_report(wins: DataFrame, results: DataFrame) -> DataFrame:
 
 
 def seed_report(seeds: DataFrame) -> DataFrame:
-    """Share of each seed per side.  ``seeds``: sim_id, team, seed."""
-    wide = seeds.groupBy("team").pivot("seed", list(SEEDS)).agg(F.count(F.lit(1))).fillna(0)
-    n = seeds.groupBy("team").agg(F.count(F.lit(1)).alias("n"))
-    shares = wide.join(n, "team").select("team", *[(F.col(str(s)) / F.col("n")).alias(f"seed_{s}") for s in SEEDS])
+    """Share of each seed per side, all later seeds in ``seed_later``.  ``seeds``: sim_id, team, seed."""
+    share = lambda hit: F.count_if(hit) / F.count(F.lit(1))
+    shares = seeds.groupBy("team").agg(*[share(F.col("seed") == s).alias(f"seed_{s}") for s in SEEDS],
+                                       share(F.col("seed") > SEEDS[-1]).alias("seed_later"))
     return shares.orderBy(*[F.col(f"seed_{s}").desc() for s in SEEDS], "team")
 
 

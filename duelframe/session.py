@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,6 +51,11 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def output_folder(spark: SparkSession, tag: str) -> str:
+    """A new folder below the shared one, for tables that a job writes and reads again."""
+    return f"{ensure_checkpoint_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Hash rows by ``keys`` over the session's shuffle partitions.
 

@@ -29,11 +29,33 @@ def parse_games(raw: DataFrame) -> DataFrame:
 
 
 def read_games(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """Season files (a glob or a list).  Columns are matched by header name; numbers as text keep leading zeros."""
-    raw = spark.read.option("header", True).option("enforceSchema", False).csv(path)
+    """Season files (a glob or a list).  Columns are matched by header name, which may differ from file to file;
+    numbers as text keep leading zeros.  ``unreadable_dates`` counts what ``date`` can't take."""
     types = dict(part.split(" ") for part in GAME_FILE_SCHEMA.split(", "))
-    typed = raw.select(*[F.col(c).try_cast(types.get(c, "string")).alias(c) for c in raw.columns])
-    return parse_games(typed)
+    out = None
+    for files in files_by_header(spark, path):
+        raw = spark.read.option("header", True).option("enforceSchema", False).csv(files)
+        typed = parse_games(raw.select(*[F.col(c).try_cast(types.get(c, "string")).alias(c) for c in raw.columns]))
+        out = typed if out is None else out.unionByName(typed, allowMissingColumns=True)
+    return out
+
+
+def files_by_header(spark: SparkSession, path: str | Sequence[str]) -> list[list[str]]:
+    """The files below ``path``, those with the same header line together; one entry per header and file."""
+    lines = spark.read.text(path).select("value", "_metadata.file_path", "_metadata.file_block_start")
+    first = lines.where("file_block_start = 0").groupBy("file_path").agg(F.first("value").alias("header"))
+    groups: dict[str, list[str]] = {}
+    for row in sorted(first.collect(), key=lambda r: r.file_path):
+        groups.setdefault(row.header, []).append(row.file_path)
+    if not groups:
+        raise ValueError(f"no season file below {path}")
+    return list(groups.values())
+
+
+def unreadable_dates(raw: DataFrame) -> DataFrame:
+    """One row: how many dates are written, and how many of them can't be read."""
+    text = F.col("date").cast("string")
+    return raw.agg(F.count_if(F.trim(text) != "").alias("dates"), F.count_if(S.unreadable_date(text)).alias("unreadable"))
 
 
 def read_completed_games(spark: SparkSession, path: str) -> DataFrame:
@@ -80,6 +102,18 @@ def read_year_map(spark: SparkSession, path: str) -> DataFrame:
     return parse_year_map(spark.read.text(path, wholetext=True))
 
 
+SLOT_DOCUMENT = ("slots array<struct<round:string,conference:string,slot:string,"
+                 "candidates:array<struct<team:bigint,seed:int,wins:array<bigint>>>>>")
+
+
+def parse_slot_document(texts: DataFrame, column: str = "value") -> DataFrame:
+    """The candidates of a slot document, one row each, with their wins by length of series."""
+    slots = texts.select(F.explode(F.from_json(F.col(column), SLOT_DOCUMENT)["slots"]).alias("s"))
+    rows = slots.select("s.round", "s.conference", "s.slot", F.explode("s.candidates").alias("c"))
+    wins = [F.get("c.wins", F.lit(k)).alias(f"w{k + 4}") for k in range(4)]
+    return rows.select("round", "conference", "slot", "c.team", "c.seed", *wins)
+
+
 # ---- feeds -------------------------------------------------------------------------------------
 
 

@@ -23,6 +23,28 @@ def test_season_csv(spark, tmp_path):
     assert readers.read_completed_games(spark, str(tmp_path / "*.csv")).count() == 2
 
 
+def test_season_files_with_different_headers(spark, tmp_path):
+    (tmp_path / "year_data_2003.csv").write_text("game_id,date,team_abbr,opponent_abbr,completed,year\n0020200001,2002-10-24T19:30:00.000Z,BKN,CHA,True,2003\n")
+    (tmp_path / "year_data_2024.csv").write_text("game_id,date,team,opponent,pace,completed,year\n0022300001,2023-10-24T19:30:00+00:00,LAL,IND,99.5,True,2024\n"
+                                                 "0022300002,24th of October,LAL,BOS,,False,2024\n")
+    rows = {r.game_id: r for r in readers.read_games(spark, str(tmp_path / "*.csv")).collect()}
+    assert rows["0020200001"].team == "BKN" and rows["0020200001"].pace is None and rows["0022300001"].pace == 99.5
+    assert all(rows[k].date.hour == 19 for k in ("0020200001", "0022300001")) and rows["0022300002"].date is None
+    raw = spark.read.option("header", True).csv(str(tmp_path / "year_data_2024.csv"))
+    assert readers.unreadable_dates(raw).first().asDict() == {"dates": 2, "unreadable": 1}
+
+
+def test_every_known_date_form_is_read(spark):
+    forms = ["2024-10-22", "10/22/2024", "2024-10-22 19:30:00", "2024-10-22T19:30:00", "2024-10-22T19:30:00Z", "2024-10-22T19:30:00+00:00",
+             "2024-10-22 19:30:00+00:00", "2024-10-22T19:30:00.000Z", "2024-10-22 19:30:00.000", "2024-10-22T19:30:00.123456", None, "", "soon"]
+    from duelframe.functions import scalar
+
+    df = spark.createDataFrame([(i, f) for i, f in enumerate(forms)], "i int, t string")
+    got = {r.i: r for r in df.select("i", scalar.parse_mixed_timestamp(F.col("t")).alias("d"), scalar.unreadable_date(F.col("t")).alias("u")).collect()}
+    assert all(str(got[i].d)[:10] == "2024-10-22" for i in range(10)) and all(got[i].d is None for i in (10, 11, 12))
+    assert [bool(got[i].u) for i in (9, 10, 11, 12)] == [False, False, False, True]
+
+
 def test_totals_and_year_map(spark, tmp_path):
     (tmp_path / "t.csv").write_text("year,ATL,BRK\n2023,45.5,\n2024,40,30.5\n")
     got = {(r.year, r.team): r.total for r in readers.read_totals(spark, str(tmp_path / "t.csv")).collect()}

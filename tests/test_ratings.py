@@ -59,14 +59,6 @@ def test_season_ratings(spark, cap):
         assert all(abs(got[year, t] - v) < 1e-9 for t, v in want.items())
 
 
-def test_joined_route_equals_grouped(spark):
-    df = _frame(spark, _games(n=60, teams=4, seasons=(2000,)))
-    loose = dict(epochs=6)
-    a = {(r.year, r.team): r.rating for r in ratings.em_ratings(df, **loose).collect()}
-    b = {(r.year, r.team): r.rating for r in ratings.em_ratings(df, max_pairs=0, **loose).collect()}
-    assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-9 for k in a)
-
-
 def test_single_game_and_named_sides(spark):
     df = spark.createDataFrame([(2000, "2000-01-01", "A", "B", 10.0)], "year int, date string, team string, opponent string, margin double")
     df = df.withColumn("date", F.to_date("date"))
@@ -90,21 +82,23 @@ def test_point_in_time(spark):
             assert (got[key, t] is None) if t not in want else abs(got[key, t] - want[t]) < 1e-9
 
 
-def test_point_in_time_joined_route(spark):
-    pdf = _games(n=30, teams=3, seasons=(2000,))
-    pdf = pdf[pdf.date < "2000-02-20"] if (pdf.date < "2000-02-20").sum() > 6 else pdf.head(8)
-    df = _frame(spark, pdf)
-    a = {(r.as_of, r.team): r.rating for r in ratings.point_in_time_ratings(df, least_games=4).collect()}
-    import duelframe.operators.ratings as module
+def test_point_in_time_with_a_time_of_day(spark):
+    df = _frame(spark, _games(n=150, teams=6, seasons=(2000,)))
+    late = df.withColumn("date", F.col("date").cast("timestamp") + F.expr("INTERVAL 30 MINUTES"))
+    a, b = ({(r.as_of, r.team): r.rating for r in ratings.point_in_time_ratings(x, least_games=40).collect()} for x in (df, late))
+    assert a == b and any(a.values())
+    joined = ratings.attach_ratings(late, ratings.point_in_time_ratings(late, least_games=40))
+    assert joined.count() == late.count() and joined.where("team_rating <> 0").count() > 0
+    assert joined.schema["date"].dataType.typeName() == "timestamp"
+
 
-    keep, module.EPOCHS = module.EPOCHS, 4
-    try:
-        b = {(r.as_of, r.team): r.rating for r in ratings.point_in_time_ratings(df, least_games=4, max_rows=0).collect()}
-    finally:
-        module.EPOCHS = keep
-    assert a.keys() == b.keys()
-    # a few rounds leave the joined route short of the fixed point, but on the same side of it
-    assert all((a[k] is None) == (b[k] is None) for k in a)
+def test_only_wanted_days_are_rated(spark):
+    df = _frame(spark, _games(n=150, teams=6, seasons=(2000,)))
+    every = {(r.as_of, r.team): r.rating for r in ratings.point_in_time_ratings(df, least_games=40).collect()}
+    days = sorted({k[0] for k in every})[::20]
+    wanted = spark.createDataFrame([(2000, d) for d in days], "year int, as_of date")
+    got = {(r.as_of, r.team): r.rating for r in ratings.point_in_time_ratings(df, least_games=40, wanted=wanted).collect()}
+    assert got == {k: v for k, v in every.items() if k[0] in days}
 
 
 def _efficiency_loop(g, hca=2.5):
@@ -134,13 +128,6 @@ def test_adjusted_efficiencies(spark):
             assert np.allclose(got[year, t], want, atol=1e-8)
 
 
-def test_adjusted_efficiencies_joined_route(spark):
-    df = _frame(spark, _games(n=40, teams=4, seasons=(2000,)))
-    a = {r.team: (r.adj_off, r.adj_def) for r in ratings.adjusted_efficiencies(df, steps=4).collect()}
-    b = {r.team: (r.adj_off, r.adj_def) for r in ratings.adjusted_efficiencies(df, steps=4, max_pairs=0).collect()}
-    assert a.keys() == b.keys() and all(np.allclose(a[t], b[t], atol=1e-9) for t in a)
-
-
 def test_capped_records_count_ties_as_losses(spark):
     rows = [(i, "2000-01-%02d" % (i + 1), "A", "B", float(m)) for i, m in enumerate([5, 0, -3, 4])]
     df = spark.createDataFrame(rows, "game_id int, date string, team string, opponent string, margin double")
