@@ -120,14 +120,43 @@ def noisy_features(spark, sf_dir):
         "game_id", "last_year_team_rating", "last_year_opp_rating")
 
 
-@query("kalman_bias_pass", "M6 M17")
+def _kalman_sql(rows: str, final: str) -> str:
+    """The filter game by game: every season's state is a list of means and one of covariances, row after row."""
+    f = bias.FILTER_DEFAULTS
+    return RATED_SQL.replace("games AS (", "RECURSIVE games AS (", 1) + f""", sd AS (SELECT team FROM rated UNION SELECT opponent FROM rated),
+ ix AS (SELECT team, row_number() OVER (ORDER BY team) AS i, count(*) OVER () AS t FROM sd),
+ sq AS (SELECT r.*, row_number() OVER (PARTITION BY year ORDER BY date, game_id) AS seq, x.i AS h, y.i AS a, x.t AS t FROM rated r JOIN ix x ON x.team = r.team JOIN ix y ON y.team = r.opponent WHERE {rows}),
+ pr AS (SELECT DISTINCT year, t FROM sq),
+ it AS (SELECT CAST(0 AS BIGINT) AS step, year, list_transform(range(t), lambda x: CAST(0 AS DOUBLE)) AS m,
+   list_transform(range(t * t), lambda x: CASE WHEN x // t = x % t THEN CAST({f['init_var']} AS DOUBLE) ELSE 0 END) AS c,
+   CAST(0 AS DOUBLE) AS hb, CAST(0 AS DOUBLE) AS ab, CAST(0 AS DOUBLE) AS dv, CAST(0 AS DOUBLE) AS nu, CAST(0 AS DOUBLE) AS s FROM pr
+  UNION ALL SELECT seq, year, CASE WHEN margin IS NULL THEN pm ELSE list_transform(pm, lambda x, i: x + row[i] * nu / s) END,
+   CASE WHEN margin IS NULL THEN pc ELSE list_transform(pc, lambda x, i: x - row[(i - 1) // t + 1] * row[(i - 1) % t + 1] / s) END,
+   pm[h], pm[a], row[h] - row[a], nu, s FROM (SELECT *, row[h] - row[a] + {f['r']} AS s, margin - pred - (pm[h] - pm[a]) AS nu FROM (
+    SELECT *, list_transform(range(1, t + 1), lambda k: pc[(h - 1) * t + k] - pc[(a - 1) * t + k]) AS row FROM (
+     SELECT g.*, list_transform(m, lambda x: x * {f['rho']}) AS pm,
+      list_transform(c, lambda x, i: x * {f['rho']} * {f['rho']} + CASE WHEN (i - 1) // t = (i - 1) % t THEN {f['q']} ELSE 0 END) AS pc
+     FROM it JOIN sq g ON g.year = it.year AND g.seq = it.step + 1))))
+ """ + final
+
+
+_PASS_COLUMNS = ("home_bias", "away_bias", "bias_diff", "bias_diff_var", "pred_final", "innovation", "innovation_var")
+
+
+@query("kalman_bias_pass", "M6 M17", _kalman_sql("TRUE", f"""SELECT sq.year, game_id, seq, pred, margin, 0 AS param_id, {rnd('hb', 4)} AS home_bias, {rnd('ab', 4)} AS away_bias, {rnd('hb - ab', 4)} AS bias_diff,
+ {rnd('dv', 4)} AS bias_diff_var, {rnd('pred + hb - ab', 4)} AS pred_final, {rnd('coalesce(nu, 0)', 4)} AS innovation, CASE WHEN margin IS NULL THEN 0 ELSE {rnd('s', 4)} END AS innovation_var
+ FROM sq JOIN it ON it.year = sq.year AND it.step = sq.seq"""))
 def kalman_bias_pass(spark, sf_dir):
-    return bias.kalman_pass(rated(spark, sf_dir))
+    out = bias.kalman_pass(rated(spark, sf_dir))
+    return out.withColumns({c: r6(F.col(c), 4) for c in _PASS_COLUMNS})
 
 
-@query("kalman_final_biases", "M7")
+@query("kalman_final_biases", "M7", _kalman_sql("margin IS NOT NULL", f"""SELECT it.year, team, {rnd('-m[i]', 4)} AS mean, {rnd('c[(i - 1) * t + i]', 4)} AS var,
+ {rnd('sqrt(list_sum(list_transform(range(1, t + 1), lambda k: c[(k - 1) * t + k])) / t)', 4)} AS tau
+ FROM it, ix WHERE step = (SELECT max(seq) FROM sq WHERE sq.year = it.year)"""))
 def kalman_final_biases(spark, sf_dir):
-    return bias.kalman_posteriors(*bias.kalman_state(rated(spark, sf_dir)))
+    out = bias.kalman_posteriors(*bias.kalman_state(rated(spark, sf_dir)))
+    return out.withColumns({c: r6(F.col(c), 4) for c in ("mean", "var", "tau")})
 
 
 @query("kalman_bias_draws", "M8")
