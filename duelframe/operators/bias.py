@@ -34,15 +34,18 @@ def bias_prior(games: DataFrame, sigma: float | None = None, keys: Sequence[str]
     ``sigma`` defaults to the population deviation of the residuals, taken in the same pass.
     """
     sides = residual_sides(games, pred, [*keys])
-    means = sides.groupBy(*keys, "team").agg(F.avg("resid").alias("mean"), F.count(F.lit(1)).alias("n"))
-    scored = games.filter(F.col("margin").isNotNull())
-    spread = scored.agg(F.stddev_pop(F.col(pred) - F.col("margin")).alias("sigma"))
-    if sigma is not None:
-        spread = spread.select(F.lit(float(sigma)).alias("sigma"))
-    var = F.var_pop("mean") - F.avg(F.col("sigma") * F.col("sigma") / F.col("n"))
-    return (means.join(F.broadcast(spread))  # one row
-            .agg(F.sqrt(F.greatest(var, F.lit(0.25))).alias("tau"), F.first("sigma").alias("sigma"),
-                 F.count(F.lit(1)).alias("team_seasons")))
+    at_home = F.when(F.col("is_home"), F.col("resid"))  # every game once
+    means = sides.groupBy(*keys, "team").agg(
+        F.avg("resid").alias("mean"), F.count(F.lit(1)).alias("n"), F.count(at_home).alias("games"),
+        F.sum(at_home).alias("s"), F.sum(at_home * at_home).alias("q"))
+    all_games = means.agg(
+        F.var_pop("mean").alias("between"), F.avg(1 / F.col("n")).alias("thin"), F.count(F.lit(1)).alias("team_seasons"),
+        F.sum("games").alias("games"), F.sum("s").alias("s"), F.sum("q").alias("q"))
+    mean = F.col("s") / F.col("games")
+    spread = F.sqrt(F.col("q") / F.col("games") - mean * mean) if sigma is None else F.lit(float(sigma))
+    known = all_games.withColumn("sigma", spread)
+    tau = F.sqrt(F.greatest(F.col("between") - F.col("sigma") * F.col("sigma") * F.col("thin"), F.lit(0.25)))
+    return known.select(tau.alias("tau"), "sigma", "team_seasons")
 
 
 def bias_posterior(games: DataFrame, tau: float, sigma: float, decay: float = 0.97, pred: str = "pred",

@@ -76,13 +76,14 @@ def round_robin(snapshots: DataFrame, season: DataFrame, playoff: bool = False)
 
 
 def predictive_ratings(features: DataFrame, margin_model: Scorer, edges: DataFrame | None = None, playoff: bool = False,
-                       biases: DataFrame | None = None) -> DataFrame:
+                       biases: DataFrame | None = None, games: DataFrame | None = None) -> DataFrame:
     """Mean predicted margin of each side over hosting and visiting everyone, centred per season.
 
     A side's away margin against a rival is the rival's home margin against it, negated; so one scoring of
-    the round robin serves both halves.
+    the round robin serves both halves.  ``games`` are the plain rows behind ``features``; counting those spares
+    a second run of the features.
     """
-    season = features.groupBy("year").agg(F.count_if("completed").alias("num_games_into_season"))
+    season = (features if games is None else games).groupBy("year").agg(F.count_if("completed").alias("num_games_into_season"))
     known = season.select("year", F.lit(HCA_PRIOR).alias("hca")) if edges is None else edges.select("year", "hca")
     season = season.join(known, "year", "left").fillna(HCA_PRIOR, ["hca"])
     pairs = round_robin(team_snapshots(features), season, playoff)
