@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.scalar import games_needed
 from . import records
 from .perspective import both_sides
 
@@ -75,7 +76,7 @@ def scenario_records(played: DataFrame, scenarios: DataFrame, n_sims: int) -> Da
 def remaining_series_games(series: DataFrame) -> DataFrame:
     """Games a series still needs, three days apart.  Input: label, host, guest, wins, losses, last_date."""
     wins, losses = F.col("wins"), F.col("losses")
-    needed = F.when((wins >= 4) | (losses >= 4), F.lit(0)).otherwise(4 - F.greatest(wins, losses))
+    needed = games_needed(wins, losses)
     played = wins + losses
     numbers = F.when(needed > 0, F.sequence(F.lit(1), needed)).otherwise(F.array().cast("array<int>"))
     out = series.withColumn("step", F.explode(numbers)).withColumn("game_num", (played + F.col("step")).cast("int"))

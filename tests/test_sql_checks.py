@@ -4,8 +4,9 @@ import pytest
 from compare_sql import compare, connect
 
 import __spark_entry__ as entry
+from duelframe import catalog
 
-CHECKS, QUERIES = entry.oracle_sql(), entry.queries()
+CHECKS, QUERIES = catalog.CHECKS, catalog.QUERIES  # the text operators' queries have their own tests
 SLOW = {"margin_model_errors", "season_table", "rolling_backtest_errors", "kalman_parameter_grid"}
 
 
