@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from ..functions.stats import error_metrics
 from ..session import spread
 from .perspective import all_teams, both_sides
-from .scan import blocked_scan
+from .scan import blocked_scan, day_block
 
 FILTER_DEFAULTS = {"rho": 0.999, "q": 0.005, "r": 190.0, "init_var": 3.0}
 GRID = {"rho": (1.0, 0.999, 0.995), "q": (0.01, 0.05, 0.1, 0.25), "r": (50.0, 100.0, 150.0), "init_var": (5.0, 10.0, 25.0)}
@@ -132,8 +132,8 @@ def _indexed(games: DataFrame, pred: str, batches: int, block_games: int) -> tup
     names = all_teams(games)
     numbers = names.withColumn("idx", F.row_number().over(W.orderBy("team")) - 1)  # one row per side
     sides = numbers.agg(F.count(F.lit(1)).alias("sides"))
-    placed = blocked_scan(games.select("year", "date", "game_id", "team", "opponent", "margin", F.col(pred).alias("pred")),
-                          ["year"], "date", ["game_id"], position="seq")
+    rows = games.select("year", "date", "game_id", "team", "opponent", "margin", F.col(pred).alias("pred"))
+    placed = blocked_scan(rows.withColumn("__block", day_block(rows)), ["year"], "__block", ["game_id"], position="seq")
     home = numbers.select("team", F.col("idx").alias("h"))
     away = numbers.select(F.col("team").alias("opponent"), F.col("idx").alias("a"))
     out = (placed.join(home, "team").join(away, "opponent").join(F.broadcast(sides))  # one row

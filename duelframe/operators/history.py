@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..schema import (GAME_SCORE_HCA, GAME_SCORE_PRIOR_WEIGHT, HCA_PRIOR, HCA_PRIOR_WEIGHT, REST_CAP)
 from .perspective import both_sides, team_view
-from .scan import blocked_scan, first_per_key
+from .scan import blocked_scan, day_block, first_per_key
 
 WINDOWS = (10, 5, 3, 1)
 
@@ -125,7 +125,8 @@ def season_game_number(games: DataFrame) -> DataFrame:
 
 def game_position(games: DataFrame) -> DataFrame:
     """1..n by date inside the season."""
-    return blocked_scan(games, ["year"], "date", ["game_id"], position="game_number")
+    blocked = games.withColumn("__block", day_block(games))
+    return blocked_scan(blocked, ["year"], "__block", ["game_id"], position="game_number").drop("__block")
 
 
 def team_game_number(games: DataFrame) -> DataFrame:

@@ -12,6 +12,17 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 
+IDS_PER_BLOCK = 10_000
+
+
+def day_block(df: DataFrame, day: str = "date", key: str = "game_id") -> Column:
+    """An order-preserving block for rows ordered by (day, key): the day and a range of keys, so that a day with very
+    many rows is several blocks.  Text keys are cut by their leading characters."""
+    kind = df.schema[key].dataType.typeName()
+    part = F.substring(F.col(key), 1, 7) if kind == "string" else F.floor(F.col(key) / IDS_PER_BLOCK)
+    return F.struct(F.col(day).alias("day"), part.alias("part"))
+
+
 def blocked_scan(
     df: DataFrame,
     keys: Sequence[str],

@@ -56,3 +56,13 @@ def test_histogram_single_value(spark):
 def test_first_per_key(spark):
     df = spark.createDataFrame([(1, 3), (1, 1), (2, 5)], "k int, v int")
     assert sorted(tuple(r) for r in first_per_key(df, ["k"], [F.col("v")]).collect()) == [(1, 1), (2, 5)]
+
+
+def test_a_day_with_all_games_is_many_blocks(spark):
+    from duelframe.operators.history import game_position
+    from duelframe.operators.scan import IDS_PER_BLOCK, day_block
+
+    df = spark.range(60_000).select(F.col("id").alias("game_id"), F.lit(2000).alias("year"), F.lit("2000-01-01").cast("date").alias("date"))
+    cells = df.groupBy(day_block(df).alias("b")).count().collect()
+    assert max(r["count"] for r in cells) == IDS_PER_BLOCK and len(cells) == 6
+    assert game_position(df).where("game_number <> game_id + 1").count() == 0
