@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stats as st
 from ..operators import bias, history, metrics
-from .contest import RATED_SQL, SIDES_SQL, r6, rated, rnd
+from .contest import RATED_SQL, SIDES_SQL, noise, noise_sql, r6, rated, rnd
 from .registry import query
 
 TAU, SIGMA = 1.5, 13.0
@@ -114,10 +114,13 @@ def training_target_and_split(spark, sf_dir):
     return both.select("game_id", metrics.training_target(both).alias("target"), "is_test")
 
 
-@query("noisy_features", "P26")
+@query("noisy_features", "P26", RATED_SQL + f""" SELECT game_id, {rnd('last_year_team_rating + 0.5 * ' + noise_sql('game_id', '7'))} AS last_year_team_rating,
+ {rnd('last_year_opp_rating + 0.5 * ' + noise_sql('game_id', '8'))} AS last_year_opp_rating FROM rated""")
 def noisy_features(spark, sf_dir):
-    return metrics.with_noise(rated(spark, sf_dir), ["last_year_team_rating", "last_year_opp_rating"], seed=7).select(
-        "game_id", "last_year_team_rating", "last_year_opp_rating")
+    """With the reproducible draw in place of the normal one."""
+    names = ["last_year_team_rating", "last_year_opp_rating"]
+    out = metrics.with_noise(rated(spark, sf_dir), names, 0.5, 7, lambda k: noise(F.col("game_id"), F.lit(k)))
+    return _r6(out, *names, keep=["game_id"])
 
 
 def _kalman_sql(rows: str, final: str) -> str:
