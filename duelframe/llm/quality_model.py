@@ -18,6 +18,7 @@ each, extra columns pass through ``with_scores``, an empty table gives an empty
 
 from __future__ import annotations
 
+import collections
 import hashlib
 import zlib
 from collections.abc import Iterator
@@ -36,7 +37,7 @@ GRAMS = (3, 4, 5)
 EPOCHS = 6
 RATE = 2.0
 BATCH = 16
-CACHE_WORDS = 300_000
+CACHE_WORDS = 600_000
 SEED = 77
 SHARE_BOUND = 1e-3  # class shares stay this far from 0 and 1
 _PAIR = np.uint64(0x9E3779B97F4A7C15)
@@ -46,44 +47,43 @@ def is_held_out(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 3 == 1, F.lit(False))
 
 
-class Words(dict):
-    """Bytes of a word -> its number; the numbers' own features lie in ``features``."""
+def word_features(words: list[bytes], buckets: int = BUCKETS, grams: tuple[int, ...] = GRAMS) -> tuple[np.ndarray, np.ndarray]:
+    """For distinct words: the number of the word, and a bucket of it, for the word itself and each of its n-grams."""
+    text = np.frombuffer(b"".join(b"<" + w + b">" for w in words), np.uint8).astype(np.uint64)
+    sizes = np.array([len(w) + 2 for w in words], np.int64)
+    owner = np.repeat(np.arange(len(words)), sizes)
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(text))  # places to the word's end
+    owners, buckets_of = [np.arange(len(words))], [np.array([zlib.crc32(w) % buckets for w in words], np.int64)]
+    for n in grams:
+        h = np.full(max(0, len(text) - n + 1), n, np.uint64)
+        for k in range(n):
+            h = h * _PAIR + text[k:k + len(h)]
+        inside = left[:len(h)] >= n
+        owners.append(owner[:len(h)][inside])
+        buckets_of.append(((h[inside] * _PAIR) >> np.uint64(40)).astype(np.int64) % buckets)
+    return np.concatenate(owners), np.concatenate(buckets_of)
 
-    def __init__(self, buckets: int = BUCKETS, grams: tuple[int, ...] = GRAMS):
-        self.buckets, self.grams = buckets, grams
-        self.features: list[np.ndarray] = []
-        self.hashes: list[int] = []
 
-    def __missing__(self, word: bytes) -> int:
-        text = "<" + word.decode("utf-8", "replace")[:64] + ">"
-        pieces = [word] + [text[i:i + n].encode("utf-8", "replace") for n in self.grams for i in range(len(text) - n + 1)]
-        self.features.append(np.array([zlib.crc32(p) % self.buckets for p in pieces], np.int64))
-        self.hashes.append(zlib.crc32(word, SEED))
-        self[word] = len(self.features) - 1
-        return len(self.features) - 1
+def word_hash(word: bytes) -> int:
+    return zlib.crc32(word, SEED)
 
-    def of(self, text: str) -> np.ndarray:
-        tokens = text.encode("utf-8", "replace").split()
-        return np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
 
-    def pairs(self, numbers: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-        """Buckets of neighbours, from the difference of their hashes: a word next to itself always meets bucket 0."""
-        h = hashes[numbers].astype(np.uint64)
-        return ((h[1:] - h[:-1]) * _PAIR >> np.uint64(40)).astype(np.int64) % self.buckets
+def pair_buckets(hashes: np.ndarray, buckets: int = BUCKETS) -> np.ndarray:
+    """Buckets of neighbours, from the difference of their hashes: a word next to itself always meets bucket 0."""
+    return ((hashes[1:] - hashes[:-1]) * _PAIR >> np.uint64(40)).astype(np.int64) % buckets
 
 
-def document_features(words: Words, text: str) -> tuple[np.ndarray, np.ndarray]:
+def document_features(text: str, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
     """Distinct buckets of a document and their shares; empty for a text without words."""
-    numbers = words.of(text)
-    if not len(numbers):
-        return numbers, np.zeros(0, np.float32)
-    hashes = np.array(words.hashes, np.uint64)
-    own, times = np.unique(numbers, return_counts=True)
-    parts = [words.features[k] for k in own]
-    buckets = np.concatenate([*parts, words.pairs(numbers, hashes)])
-    weights = np.concatenate([np.repeat(times, [len(p) for p in parts]), np.ones(len(numbers) - 1)])
-    found, at = np.unique(buckets, return_inverse=True)
-    total = np.bincount(at, weights, len(found))
+    tokens = text.encode("utf-8", "replace").split()
+    if not tokens:
+        return np.zeros(0, np.int64), np.zeros(0, np.float32)
+    times = collections.Counter(tokens)
+    owner, own = word_features(list(times), buckets)
+    counts = np.fromiter(times.values(), np.float64, len(times))
+    pairs = pair_buckets(np.array([word_hash(w) for w in tokens], np.uint64), buckets)
+    found, at = np.unique(np.concatenate([own, pairs]), return_inverse=True)
+    total = np.bincount(at, np.concatenate([counts[owner], np.ones(len(pairs))]), len(found))
     return found, (total / total.sum()).astype(np.float32)
 
 
@@ -91,12 +91,7 @@ def train(texts: list[str], labels: np.ndarray, share: float, buckets: int = BUC
           rate: float = RATE, batch: int = BATCH, seed: int = SEED) -> np.ndarray:
     """The folded table: ``buckets`` numbers and, last, the bias."""
     rng = np.random.default_rng(seed)
-    words = Words(buckets)
-    features = []
-    for text in texts:
-        features.append(document_features(words, text))
-        if len(words) > CACHE_WORDS:
-            words = Words(buckets)
+    features = [document_features(text, buckets) for text in texts]
     table = rng.uniform(-1 / dim, 1 / dim, (buckets, dim)).astype(np.float32)
     out, bias = np.zeros((dim, 2), np.float32), np.zeros(2, np.float32)
     steps, step = epochs * -(-len(texts) // batch), 0
@@ -158,38 +153,50 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
 
 
 class Scorer:
-    """Scores texts with a folded table; sums over each distinct word's features are kept."""
+    """Scores texts with a folded table; the sums over each distinct word's features are kept until there are too many."""
 
     def __init__(self, model: np.ndarray):
-        self.model, self.table, self.bias = model, model[:-1], float(model[-1])
+        self.table, self.bias = model[:-1].astype(np.float64), float(model[-1])
         self.reset()
 
     def reset(self) -> None:
-        self.words = Words(len(self.table))
-        self.sums, self.sizes, self.hashes = (np.zeros(1024, t) for t in (np.float64, np.int64, np.uint64))
-        self.done = 0
-
-    def _extend(self) -> None:
-        """Take in the words met since the last call."""
-        n = len(self.words.features)
-        if n > len(self.sums):
-            self.sums, self.sizes, self.hashes = (np.resize(x, 2 * n) for x in (self.sums, self.sizes, self.hashes))
-        for k in range(self.done, n):
-            own = self.words.features[k]
-            self.sums[k], self.sizes[k], self.hashes[k] = self.table[own].sum(dtype=np.float64), len(own), self.words.hashes[k]
-            self.words.features[k] = None
-        self.done = n
-
-    def score(self, text: str) -> float:
-        if len(self.words) > CACHE_WORDS:
+        self.numbers: dict[bytes, int] = {}
+        self.sums, self.sizes, self.hashes = np.zeros(0), np.zeros(0), np.zeros(0, np.uint64)
+
+    def _learn(self, words: list[bytes]) -> None:
+        first = len(self.numbers)
+        self.numbers.update(zip(words, range(first, first + len(words))))
+        owner, own = word_features(words, len(self.table))
+        if first + len(words) > len(self.sums):
+            self.sums, self.sizes, self.hashes = (np.concatenate([x, np.zeros(first + 2 * len(words), x.dtype)])
+                                                  for x in (self.sums, self.sizes, self.hashes))
+        place = slice(first, first + len(words))
+        self.sums[place] = np.bincount(owner, self.table[own], len(words))
+        self.sizes[place] = np.bincount(owner, minlength=len(words))
+        self.hashes[place] = [word_hash(w) for w in words]
+
+    def scores(self, texts: list[str]) -> np.ndarray:
+        """Scores of some texts; what is done for several at once gives what it would give for each."""
+        if len(self.numbers) > CACHE_WORDS:
             self.reset()
-        numbers = self.words.of(text)
-        self._extend()
-        mean = 0.0
-        if len(numbers):
-            pairs = self.table[self.words.pairs(numbers, self.hashes)]
-            mean = (self.sums[numbers].sum() + pairs.sum(dtype=np.float64)) / (self.sizes[numbers].sum() + len(pairs))
-        return float(1 / (1 + np.exp(-np.clip(mean + self.bias, -500, 500))))
+        split = [t.encode("utf-8", "replace").split() for t in texts]
+        tokens = [w for words in split for w in words]
+        doc = np.repeat(np.arange(len(texts)), [len(words) for words in split])
+        found = list(map(self.numbers.get, tokens))
+        if None in found:
+            gaps = [k for k, n in enumerate(found) if n is None]
+            self._learn(list(dict.fromkeys([tokens[k] for k in gaps])))
+            for k in gaps:
+                found[k] = self.numbers[tokens[k]]
+        numbers = np.array(found, np.int64)
+        total, size = np.bincount(doc, self.sums[numbers], len(texts)), np.bincount(doc, self.sizes[numbers], len(texts))
+        if len(tokens) > 1:
+            same = doc[1:] == doc[:-1]
+            pairs = pair_buckets(self.hashes[numbers], len(self.table))[same]
+            total += np.bincount(doc[1:][same], self.table[pairs], len(texts))
+            size += np.bincount(doc[1:][same], minlength=len(texts))
+        mean = total / np.maximum(size, 1)
+        return 1 / (1 + np.exp(-np.clip(mean + self.bias, -500, 500)))
 
 
 _scorers: dict[bytes, Scorer] = {}
@@ -211,7 +218,14 @@ def score_column(docs: DataFrame, model: np.ndarray, text: Column) -> Column:
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         scorer = scorer_of(shared.value)
         for batch in batches:
-            yield pd.Series([scorer.score(t) for t in batch], dtype="float64")
+            out, group, held = [], [], 0
+            for text in batch:
+                group.append(text)
+                held += len(text)
+                if held > 1 << 20:
+                    out.append(scorer.scores(group))
+                    group, held = [], 0
+            yield pd.Series(np.concatenate([*out, scorer.scores(group)]), dtype="float64")
 
     return score(text)
 
