@@ -1,11 +1,14 @@
 """Quality rules: plain base rules, then a hashed n-gram log-likelihood ratio between trusted text and the whole corpus.
 
-Words and word pairs are hashed into ``buckets``.  Counts over all trusted documents and over all documents give two
-multinomials, the trusted one shrunk towards the corpus by ``prior`` counts per bucket, so that little trusted text
-gives little evidence either way.  A document's score is the mean, over its words and pairs, of the log ratio of the
-two.  Text as the trusted documents write it scores about zero or above; text whose n-grams are rarer there than in the
-corpus scores below.  A document is kept when it passes the base rules and its score is at least ``least_score``, a
-fixed threshold, so the verdict doesn't depend on a draw.
+Words and word pairs are hashed into ``buckets``.  A bucket's log ratio compares its count over the trusted documents
+with the count expected from the whole corpus, both without the judged document's own words and with ``prior`` added, so
+that a bucket tells more the more often it was to be seen, at any size of the corpus.  A document's score is the mean of
+these over its words and pairs.  As its own words don't count, trusted and other documents are judged alike, and text
+that occurs nowhere else scores zero.  Text whose n-grams are rarer in trusted documents than in the corpus scores below.
+
+A document is kept when it passes the base rules and its score is at least ``least_score``, or at least three sampling
+errors below the median of the trusted documents' own scores if that is lower (it is where trusted text is little).  One
+sampling error is the distance of that median to the 16th percentile, so that some wrong labels don't move it.
 
 Base rules: at least ``least_words`` words, and at most ``most_repeated`` percent of the words inside 8-word windows
 that occur twice or more.  Windows are compared by 64-bit hashes of their words, inside one document only.
@@ -80,40 +83,64 @@ def _bucket(h: Column, buckets: int) -> Column:
     return F.pmod(h, F.lit(buckets)).cast("int")
 
 
-def bucket_counts(docs: DataFrame, text: str, buckets: int) -> DataFrame:
-    """(bucket, n) over all words and word pairs; combined before the shuffle, so at most ``buckets`` rows a task."""
-    grams = with_hashes(docs.select(text), text).select(F.explode(F.concat("_h1", "_h2")).alias("h"))
-    return grams.groupBy(_bucket(F.col("h"), buckets).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+def _buckets(buckets: int) -> Column:
+    return F.transform(F.concat("_h1", "_h2"), lambda h: _bucket(h, buckets))
+
+
+def bucket_counts(rows: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, n, trusted) over all words and word pairs; combined before the shuffle, so at most ``buckets`` rows a task."""
+    grams = with_hashes(rows.select("_text", "_trusted"), "_text").select("_trusted", F.explode(_buckets(buckets)).alias("bucket"))
+    return grams.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.count_if("_trusted").alias("trusted"))
 
 
-def log_ratios(trusted: DataFrame, docs: DataFrame, text: str, buckets: int = BUCKETS, prior: float = PRIOR) -> DataFrame:
-    """One row: ``ratios``, for each bucket the log ratio of the trusted share to the corpus share."""
-    t = bucket_counts(trusted, text, buckets).withColumnRenamed("n", "trusted")
-    both = bucket_counts(docs, text, buckets).join(t, "bucket", "left").fillna(0, ["trusted"])
-    both = materialize(both)  # at most ``buckets`` rows
-    sums = both.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("_all"), F.coalesce(F.sum("trusted"), F.lit(0)).alias("_all_trusted"))
-    corpus = (F.col("n") + 1) / (F.col("_all") + buckets)
-    ratio = F.log((F.col("trusted") + prior * buckets * corpus) / (F.col("_all_trusted") + prior * buckets) / corpus)
-    every = both.join(F.broadcast(sums)).select("bucket", ratio.alias("ratio"))
-    packed = every.agg(F.sort_array(F.collect_list(F.struct("bucket", "ratio"))).alias("p"))  # bounded by ``buckets``
-    as_map = F.map_from_entries("p")
-    unseen = F.lit(0.0)
-    return packed.select(let(as_map, lambda m: F.transform(
-        F.sequence(F.lit(0), F.lit(buckets - 1)), lambda b: F.coalesce(F.try_element_at(m, b), unseen))).alias("ratios"))
+def expectations(rows: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """One row: ``counts``, for each bucket its count (``n``) and the trusted one (``t``), and ``share``, trusted words among all."""
+    counted = materialize(bucket_counts(rows, buckets))  # at most ``buckets`` rows
+    every = rows.sparkSession.range(buckets).withColumnRenamed("id", "bucket").join(counted, "bucket", "left").fillna(0, ["n", "trusted"])
+    entry = F.struct("bucket", F.col("n").cast("double").alias("n"), F.col("trusted").cast("double").alias("t"))
+    packed = every.agg(F.sort_array(F.collect_list(entry)).alias("p"), F.sum("n").alias("_n"), F.sum("trusted").alias("_t"))  # bounded
+    counts = F.struct(F.transform("p", lambda c: c["n"]).alias("n"), F.transform("p", lambda c: c["t"]).alias("t"))
+    return packed.select(counts.alias("counts"), (F.col("_t") / F.greatest("_n", F.lit(1))).alias("share"))
+
+
+def _score(buckets: int, prior: float) -> Column:
+    """Mean log ratio over the words and pairs of a row, whose own ones are taken out of the counts."""
+    def ratio(b: Column, own: Column) -> Column:
+        trusted = F.get(F.col("counts.t"), b) - F.when(F.col("_trusted"), own).otherwise(0)
+        return own * F.log((trusted + prior) / ((F.get(F.col("counts.n"), b) - own) * F.col("share") + prior))
+
+    def total(s: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        return let(starts, lambda p: F.aggregate(F.transform(p, lambda i, k: ratio(
+            F.get(s, i), F.coalesce(F.get(p, k + 1), F.size(s)) - i)), F.lit(0.0), lambda a, x: a + x))
+
+    grams = F.size("_h1") + F.size("_h2")
+    return F.when(grams > 0, let(F.sort_array(_buckets(buckets)), total) / grams).otherwise(0.0)
+
+
+def sampling_limit(scores: DataFrame) -> DataFrame:
+    """One row: ``limit``, three sampling errors below the median of ``llr``; null without rows."""
+    bins = scores.groupBy(F.floor(F.col("llr") * 1000).alias("_bin")).agg(F.count(F.lit(1)).alias("_n"))  # few thousands
+    at = bins.agg(F.percentile("_bin", F.lit(0.5), F.col("_n")).alias("mid"), F.percentile("_bin", F.lit(0.16), F.col("_n")).alias("low"))
+    return at.select(((F.col("mid") - 3 * (F.col("mid") - F.col("low"))) / 1000).alias("limit"))
 
 
 def _judged(rows: DataFrame, trusted_ids: DataFrame, buckets: int = BUCKETS, prior: float = PRIOR,
             least_score: float = LEAST_SCORE) -> DataFrame:
     """``rows`` (``_id``, ``_text`` and maybe ``_row``) with the base figures, ``base_failed``, ``llr`` and ``kept``."""
-    ids = trusted_ids.where("_id IS NOT NULL").distinct()
-    trusted = rows.select("_id", "_text").join(with_known_size(ids), "_id", "left_semi")
-    ratios = materialize(log_ratios(trusted, rows, "_text", buckets, prior))
-    hashed = with_hashes(rows, "_text").join(F.broadcast(ratios))  # one row of ``buckets`` numbers
-    total = F.aggregate(F.concat("_h1", "_h2"), F.lit(0.0),
-                        lambda a, h: a + F.get(F.col("ratios"), _bucket(h, buckets)))
-    grams = F.size("_h1") + F.size("_h2")
-    scored = with_base(hashed, "_text").withColumn("llr", F.when(grams > 0, total / grams).otherwise(0.0))
-    return scored.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= least_score)).drop("_h1", "_h2", "ratios")
+    ids = with_known_size(trusted_ids.where("_id IS NOT NULL").distinct().withColumn("_trusted", F.lit(True)))
+    flagged = rows.join(ids, "_id", "left").withColumn("_trusted", F.coalesce("_trusted", F.lit(False)))
+    counts = materialize(expectations(flagged, buckets))
+
+    def scored(part: DataFrame) -> DataFrame:
+        both = with_hashes(part, "_text").join(F.broadcast(counts))  # one row of ``buckets`` numbers, twice
+        return both.withColumn("llr", _score(buckets, prior)).drop("counts", "share")
+
+    trusted = rows.select("_id", "_text").join(ids, "_id").where(F.size(words_of(F.col("_text"))) >= LEAST_WORDS)
+    limit = materialize(sampling_limit(scored(trusted)))
+    out = with_base(scored(flagged), "_text").join(F.broadcast(limit))  # one row
+    least = F.least(F.lit(least_score), F.col("limit"))
+    return out.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= least)).drop("_h1", "_h2", "_trusted", "limit")
 
 
 def judge(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text: str = "text", **more) -> DataFrame:

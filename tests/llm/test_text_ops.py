@@ -448,5 +448,34 @@ def test_untrusted_style_is_rejected(spark):
     assert kept.columns == d.columns and kept.count() == sum(r.kept for r in got.values())
 
 
+@pytest.mark.parametrize("n", [40, 1000])
+def test_verdict_does_not_depend_on_size(spark, n):
+    rng = random.Random(n)
+    good = [(i, " ".join(f"{w} name{i}" if k % 4 == 0 else w for k, w in enumerate(sentence(rng, 60).split()))) for i in range(n)]  # a word of its own, often
+    bad = [(-1 - i, " ".join(rng.choice(["buy", "now", "cheap", "click", "here", "win"]) for _ in range(60))) for i in range(n // 4)]
+    d = spark.createDataFrame(good + bad, "doc_id long, text string").repartition(2)
+    trusted = spark.createDataFrame([(i,) for i in range(0, n, 2)], "doc_id long")
+    got = target_rules.judge(d, trusted).collect()  # production parameters
+    base = {r.doc_id for r in got if r.base_failed}
+    assert not any(r.kept for r in got if r.doc_id < 0)
+    lost = set(range(n)) - base - {r.doc_id for r in got if r.kept}
+    assert len(lost) <= n // 200 and max(r.llr for r in got if r.doc_id < 0) < -0.045  # a name may share a bucket with a word
+
+
+def test_score_leaves_a_document_out_of_its_own_counts(spark):
+    rng = random.Random(8)
+    rows = [(i, sentence(rng, 30) + f" rare{i}" * (i % 3)) for i in range(30)]
+    d, trusted = spark.createDataFrame(rows, "doc_id long, text string"), set(range(0, 30, 3))
+    ids = spark.createDataFrame([(i,) for i in trusted], "doc_id long")
+    got = {r.doc_id: r.llr for r in target_rules.judge(d, ids).collect()}
+    grams = {i: collections.Counter([*words(t), *zip(words(t), words(t)[1:])]) for i, t in rows}
+    every, seen = sum(grams.values(), collections.Counter()), sum((grams[i] for i in trusted), collections.Counter())
+    share = sum(seen.values()) / sum(every.values())
+    for i, g in grams.items():
+        own = g if i in trusted else {}
+        want = sum(k * np.log((seen[x] - own.get(x, 0) + 20) / ((every[x] - k) * share + 20)) for x, k in g.items()) / sum(g.values())
+        assert abs(got[i] - want) < 2e-3  # a few buckets are shared
+
+
 def test_no_documents_no_verdicts(nothing, spark):
     assert target_rules.kept_rows(nothing, spark.createDataFrame([], "doc_id long")).count() == 0
