@@ -39,7 +39,9 @@ KINDS = {
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "phone": r"(?<![\d+])\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,3}(?!\d)"
              r"|(?<![\d(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\d-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])",
-    "card": r"(?<!\d)\d(?:[ -]?\d){12,18}(?!\d)",
+    # a run of digit groups of any length, up to a blank before a value of another kind; _card looks for cards inside
+    "card": r"(?<!\d)\d(?:-?\d|[ ](?!\d{3}-\d{2}-\d{4}(?![\d-])|\d{4}-\d{2}-\d{2}(?![\d-])|\d{3}-\d{3}-\d{4}(?![\d-])"
+            r"|\d{1,3}\.\d|\d{1,2}/\d)\d){12,}(?!\d)",
 }
 FINDER = "|".join(f"(?:{p})" for p in KINDS.values())
 HINT = r"[0-9@]|(?i:password|passwd|secret|token|api_key)"
@@ -106,12 +108,52 @@ def refilled(written: Column, digits: Column) -> Column:
         c.rlike(r"^\d$"), F.substring(digits, nth(i), F.lit(1))).otherwise(c)), "")
 
 
+def _new_card(d: Column) -> Column:
+    payload = F.substring(d, F.lit(1), F.length(d) - 1)
+    return let(F.concat(F.substring(d, F.lit(1), F.lit(1)), permuted_string(F.substring(payload, F.lit(2), F.length(d)), "card")),
+               lambda p: F.concat(p, luhn_digit(p)))
+
+
+def _is_card(d: Column) -> Column:
+    return F.length(d).between(13, 19) & (luhn_digit(F.substring(d, F.lit(1), F.length(d) - 1)) == F.substring(d, F.length(d), F.lit(1)))
+
+
 def _card(m: Column) -> Column:
+    """The whole run of digits if it is a card, else every card that its digit groups make up."""
     d = F.regexp_replace(m, r"\D", "")
-    payload = F.substring(d, F.lit(1), F.length(d) - 1)
-    new = let(F.concat(F.substring(d, F.lit(1), F.lit(1)), permuted_string(F.substring(payload, F.lit(2), F.length(d)), "card")),
-              lambda p: F.concat(p, luhn_digit(p)))
-    return F.when(F.concat(payload, luhn_digit(payload)) == d, let(new, lambda n: refilled(m, n))).otherwise(m)
+    inside = let(F.regexp_extract_all(m, F.lit(r"\d+"), F.lit(0)), lambda g: let(_cards_in(g), lambda c: _with_cards(m, g, c)))
+    return F.when(_is_card(d), let(_new_card(d), lambda n: refilled(m, n))).otherwise(F.when(m.rlike("[ -]"), inside).otherwise(m))
+
+
+def _cards_in(groups: Column) -> Column:
+    """Valid spans of ``groups`` that don't overlap; those written as cards are come first, then the longer, then the left."""
+    def spans(i: Column) -> Column:
+        ends = F.sequence(i, F.least(i + 18, F.size(groups) - 1))
+        made = F.transform(ends, lambda j: F.struct(i.alias("i"), j.alias("j"), F.slice(groups, i + 1, j - i + 1).alias("g")))
+        sized = F.transform(made, lambda s: F.struct(s["i"].alias("i"), s["j"].alias("j"), F.array_join(s["g"], "").alias("d"), F.array_join(
+            F.transform(s["g"], lambda x: F.length(x).cast("string")), " ").alias("form")))
+        good = F.filter(sized, lambda s: F.when(F.length(s["d"]).between(13, 19), _is_card(s["d"])).otherwise(False))
+        return F.transform(good, lambda s: F.struct(
+            (~s["form"].rlike(r"^(1[3-9]|4 4 4 4|4 6 5|4 6 4|4 4 4 4 3|4 4 5)$")).alias("odd"), (-F.length(s["d"])).alias("short"),
+            s["i"].alias("i"), s["j"].alias("j"), s["d"].alias("d")))
+
+    found = F.sort_array(F.flatten(F.transform(F.sequence(F.lit(0), F.size(groups) - 1), spans)))
+    none = F.filter(found, lambda x: F.lit(False))
+    return let(found, lambda f: F.aggregate(f, none, lambda a, x: F.when(
+        F.exists(a, lambda y: (y["i"] <= x["j"]) & (x["i"] <= y["j"])), a).otherwise(F.concat(a, F.array(x)))))
+
+
+def _with_cards(m: Column, groups: Column, cards: Column) -> Column:
+    """``m`` with the groups of each of ``cards`` replaced; blanks and hyphens stay."""
+    new = F.transform(cards, lambda c: F.struct(c["i"].alias("i"), c["j"].alias("j"), _new_card(c["d"]).alias("n")))
+
+    def group(g: Column, k: Column, c: Column) -> Column:
+        before = F.length(F.array_join(F.slice(groups, c["i"] + 1, k - c["i"]), ""))
+        return F.coalesce(F.substring(c["n"], before + 1, F.length(g)), g)
+
+    given = let(new, lambda cs: F.array_join(F.transform(groups, lambda g, k: let(
+        F.get(F.filter(cs, lambda c: (c["i"] <= k) & (k <= c["j"])), F.lit(0)), lambda c: F.when(c.isNull(), g).otherwise(group(g, k, c)))), ""))
+    return F.when(F.size(cards) > 0, let(given, lambda n: refilled(m, n))).otherwise(m)
 
 
 def _date(m: Column, read: str, padded: str) -> Column:

@@ -373,6 +373,17 @@ def test_pseudonyms_keep_format_validity_and_links(spark):
     assert done.where("false").count() == 0
 
 
+def test_cards_beside_other_digits_are_found(spark):
+    texts = ["4111 1111 1111 1111", "order 12 4111 1111 1111 1111", "4111 1111 1111 1111 123", "4111111111111111 12/25",
+             "12345 4111 1111 1111 1111 ssn", "4111-1111-1111-1111 4111 1111 1111 1111 7", "1234 5678 9012 3456", "9 4111 1111 1111 1111 123-45-6789"]
+    got = [r.text for r in pseudonyms.pseudonymise(spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)).collect()]
+    new = got[0]
+    assert new != texts[0] and luhn(new.replace(" ", ""))
+    assert got[1:3] == [f"order 12 {new}", f"{new} 123"] and got[3] == new.replace(" ", "") + " 12/25"
+    assert got[4:7] == [f"12345 {new} ssn", f"{new.replace(' ', '-')} {new} 7", texts[6]]
+    assert got[7].startswith(f"9 {new} ") and "123-45-6789" not in got[7]
+
+
 def test_numbers_are_permuted_without_collision(spark):
     from pyspark.sql import functions as F
 
