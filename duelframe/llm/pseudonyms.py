@@ -31,7 +31,7 @@ CYCLE_DAYS, FIRST_DAY = 146_097, "1800-01-01"  # 400 Gregorian years, 189 * 773
 # In order of precedence; no pattern can match the empty text, and none tries again inside a word it has refused.
 KINDS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9][A-Za-z0-9-]{0,62}\.){1,8}[A-Za-z]{2,24}",
-    "secret": r"(?i:password|passwd|secret|token|api_key)[ ]?[=:][ ]?[\"']?[A-Za-z0-9+/_-]{8,128}[\"']?",
+    "secret": r"(?i:password|passwd|secret|token|api_key)[ ]?[=:][ ]?(?:\"[^\s\"]{8,}\"?|'[^\s']{8,}'?|[^\s\"']{8,})",  # to its closing quote or blank
     "access": r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b",
     "ipv4": r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\d|\.\d)",
     "iso_date": r"(?<![\d-])\d{4}-\d{2}-\d{2}(?![\d-])",
@@ -198,7 +198,8 @@ def _email(m: Column) -> Column:
 
 
 def _secret(m: Column) -> Column:
-    pattern = r"^([A-Za-z_]+[ ]?[=:][ ]?[\"']?)([A-Za-z0-9+/_-]+)([\"']?)$"
+    """The value without punctuation after it, so that it gets one pseudonym wherever it stands."""
+    pattern = r"^([A-Za-z_]+[ ]?[=:][ ]?[\"']?)((?:[\s\S]*[A-Za-z0-9])?)([\s\S]*)\z"
     head, value, tail = (F.regexp_extract(m, pattern, k) for k in (1, 2, 3))
     return F.concat(head, permuted_string(value, "secret"), tail)
 

@@ -384,6 +384,21 @@ def test_cards_beside_other_digits_are_found(spark):
     assert got[7].startswith(f"9 {new} ") and "123-45-6789" not in got[7]
 
 
+def test_secrets_are_replaced_whole(spark):
+    long, jwt = "aB3" * 53 + "x", "eyJhbGciOiJI.eyJzdWIiOiIxMjM0.SflKxwRJSMeKKF2QT4"
+    values = [long, jwt, "Tr0ub4dor&3xyz", "p@ssw0rd!x", "hunter2!", "o'neil.2024"]
+    texts = [f"token={long} end", f"token: '{jwt}', end", "password = Tr0ub4dor&3xyz end", "password: p@ssw0rd!x", "password=hunter2!",
+             'secret="o\'neil.2024" end', f"token={jwt}."]
+    got = [r.text for r in pseudonyms.pseudonymise(spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)).collect()]
+    kinds = lambda t: re.sub("[0-9]", "0", re.sub("[A-Z]", "A", re.sub("[a-z]", "a", t)))
+    assert [kinds(t) for t in got] == [kinds(t) for t in texts]
+    for old, new, v in zip(texts, got, values):
+        at = old.index(v)
+        assert (new[:at], new[at + len(v):]) == (old[:at], old[at + len(v):])
+        assert all(a not in new[at:at + len(v)] for a in re.findall("[A-Za-z0-9]{4,}", v)) and new[at + len(v) - 6:at + len(v)] != v[-6:]
+    assert got[1][8:8 + len(jwt)] == got[6][6:6 + len(jwt)]
+
+
 def test_numbers_are_permuted_without_collision(spark):
     from pyspark.sql import functions as F
 
