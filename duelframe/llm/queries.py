@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import exact_dedup, mixing, near_dedup, packing, pseudonyms, quality_model, sharding, target_rules, url_reputation, warc
+from . import (exact_dedup, filter_audit, hard_negatives, language_model, mixing, near_dedup, packing, pseudonyms, quality_model,
+               sharding, target_rules, url_reputation, warc)
 from .base import table
 from .registry import CHECKS, QUERIES, query  # noqa: F401
 
@@ -163,3 +164,62 @@ def op8_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     done = pseudonyms.pseudonymise(docs)
     return done.select("doc_id", "text", F.coalesce(F.size("finds"), F.lit(0)).cast("long").alias("n_replaced"))
+
+
+OP11_SQL = """
+WITH v AS (SELECT row_number() OVER () AS rid, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+  list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+ WHERE label IS NOT NULL AND embedding IS NOT NULL
+  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.rid AS arid, a.vec_id AS anchor_id, b.vec_id AS id, a.rid = b.rid AS own, a.label = b.label AS alike,
+  CAST(list_dot_product(a.e, b.e) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id % 50 = 0),
+p AS (SELECT arid, anchor_id, id AS positive_id, score AS positive_score,
+  row_number() OVER (PARTITION BY arid ORDER BY score DESC, id) AS slot FROM s WHERE alike AND NOT own QUALIFY slot <= 5),
+n AS (SELECT p.*, s.id AS negative_id, s.score AS negative_score,
+  row_number() OVER (PARTITION BY p.arid, p.slot ORDER BY s.score DESC, s.id) AS r
+ FROM p JOIN s ON s.arid = p.arid AND NOT s.alike AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score
+ QUALIFY r <= 3)
+SELECT anchor_id, positive_id, CAST(r AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n"""
+
+
+@query("op11_hard_negatives", OP11_SQL)
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"))
+
+
+OP12_SQL = f"""
+WITH RECURSIVE t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '{DUCK_WORD}') AS words, min(doc_id) OVER (PARTITION BY text) AS first FROM t),
+flags AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY 1),
+m AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+  CASE WHEN len(words) < 100 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(words)) < 80 * len(words) THEN 2 ELSE 0 END
+  + CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text) THEN 4 ELSE 0 END
+  + CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 8 ELSE 0 END + CASE WHEN doc_id > first THEN 16 ELSE 0 END AS mask
+ FROM w LEFT JOIN flags USING (doc_id)),
+c AS (SELECT part, mask, count(*) AS n, count_if(good) AS good, count_if(toxic) AS toxic FROM m GROUP BY ALL),
+f AS (SELECT unnest(range(5)) AS k),
+o AS (SELECT chr(CAST(65 + k AS INTEGER)) AS filter_order, 1 << k AS used, 0 AS before, 1 AS step, k, [0] AS befores, [k] AS ks FROM f
+ UNION ALL SELECT o.filter_order || chr(CAST(65 + f.k AS INTEGER)), o.used | (1 << f.k), o.used, o.step + 1, f.k,
+  list_append(o.befores, o.used), list_append(o.ks, f.k) FROM o JOIN f ON o.used & (1 << f.k) = 0),
+steps AS (SELECT filter_order, unnest(range(1, 6)) AS step, unnest(befores) AS before, 1 << unnest(ks) AS own FROM o WHERE o.step = 5),
+r AS (SELECT part, filter_order, step, own, sum(CASE WHEN mask & (before | own) = 0 THEN n ELSE 0 END) AS kept,
+  sum(CASE WHEN mask & before = 0 AND mask & own <> 0 THEN n ELSE 0 END) AS removed,
+  sum(CASE WHEN mask & before <> 0 AND mask & own <> 0 THEN n ELSE 0 END) AS redundant,
+  sum(CASE WHEN mask = own THEN n ELSE 0 END) AS unique_fails,
+  sum(CASE WHEN mask & before = 0 AND mask & own <> 0 THEN good ELSE 0 END) AS good_lost,
+  sum(CASE WHEN mask & before = 0 AND mask & own <> 0 THEN toxic ELSE 0 END) AS toxic_lost
+ FROM c, steps GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+ CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+ CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM r"""
+
+
+@query("op12_filter_audit", OP12_SQL)
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op13_lm_scores")
+def op13_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.scores(table(spark, sf_dir, "documents")).select(
+        "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
