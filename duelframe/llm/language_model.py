@@ -11,13 +11,16 @@ The n-grams of all documents don't fit one machine, so each task compiles the pa
 can reach:
 
 1. Documents are dealt into blocks of some million tokens, written with word numbers of the block's own.
-2. Every block sends its distinct n-grams, as 64-bit hashes with their counts in its training documents, to buckets of
+2. Every block sends its distinct n-grams, as hashes with their counts in its training documents, to buckets of
    the range of hashes, one row per block, order and bucket; the buckets grow in number with the tokens.
 3. A bucket adds up the counts and answers each block in the order in which it was asked.
-4. A block compiles its automaton from the answers, group by group of its documents, and traverses them.
+4. A block compiles its automaton from the answers and traverses its documents, each once from left to right.
 
-A word's part of the tokens doesn't matter, as a block sends an n-gram once.  Hashes of 64 bits stand for words and
-n-grams; two of a billion different ones meet with a chance of about one in forty.
+Where a text stands after a token is the longest state that ends there, so a state is known by its length, which the
+traversal carries, and its place in the text: arcs and failure arcs are looked up by place, not searched.
+
+A word's part of the tokens doesn't matter, as a block sends an n-gram once.  Hashes stand for words and n-grams; they are
+as wide, up to 64 bits, as it takes that one of some 300 million n-grams meets another.
 
 Tokens are the words ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased, then an end token.  Documents whose crc32 of the id as
 text leaves ``held`` by ``modulus`` aren't learned from.
@@ -30,6 +33,7 @@ an empty result.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,9 +47,9 @@ from .base import text_of, written
 ORDER = 3
 MU = (1000.0, 5.0)  # by length of the context; held-out texts gain on nearly all word pairs at this strength
 MODULUS, HELD = 7, 2
-TOKENS = 2_000_000  # of a block
-GROUP = 200_000  # tokens of the documents for which one automaton is compiled
+TOKENS = 1_000_000  # of a block
 BUCKET = 4_000_000  # tokens of the corpus for each bucket
+SURE = 28
 BEGIN, END = 0, 1  # word numbers of the begin of a text, a context only, and of its end
 MARKS = (b" begin", b" end")  # no word has a blank
 
@@ -78,7 +82,7 @@ def blocks_of(docs: DataFrame, id_col: str = "doc_id", text: str = "text", token
     def row(ids: list, out: list, parts: list[np.ndarray], numbers: WordNumbers) -> pd.DataFrame:
         ends = np.cumsum([len(p) for p in parts], dtype=np.int64)
         return pd.DataFrame({"n": [int(ends[-1])], "ids": [ids], "held": [out], "ends": [ends.tobytes()],
-                             "words": [numbers.hashes().tobytes()], "tokens": [np.concatenate(parts).tobytes()]})
+                             "words": [numbers.hashes().tobytes()], "tokens": [planes(np.concatenate(parts))]})
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, out, parts, size, numbers = [], [], [], 0, WordNumbers()
@@ -113,38 +117,40 @@ def fold(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 class Grams:
     """The distinct n-grams of a block, for one n."""
 
-    def __init__(self, at: np.ndarray, keys: np.ndarray, prefix: np.ndarray, word: np.ndarray, suffix: np.ndarray):
+    def __init__(self, at: np.ndarray, keys: np.ndarray, prefix: np.ndarray, suffix: np.ndarray):
         self.at = at  # for each token the number of the n-gram that ends there, -1 where there is none
-        self.keys, self.prefix, self.word, self.suffix = keys, prefix, word, suffix
+        self.keys = keys
+        self.prefix, self.suffix = prefix, suffix  # the shorter n-grams that begin and end an n-gram
         self.counts = None
 
-    def sorted(self) -> np.ndarray:
-        return np.argsort(self.keys, kind="stable")
-
 
 class Content:
     """A block read back, with its n-grams of every order up to ``order``."""
 
-    def __init__(self, row, order: int):
+    def __init__(self, row, order: int, width: int):
         self.ids, self.held = list(row.ids), np.asarray(row.held, bool)
         self.ends = np.frombuffer(row.ends, np.int64)
         self.starts = np.append(0, self.ends[:-1])
         self.words = np.frombuffer(row.words, np.uint64)
-        self.tokens = np.frombuffer(row.tokens, np.int32)
-        none = np.arange(len(self.words))
-        at = np.where(self.tokens == BEGIN, -1, self.tokens)
-        self.levels = [Grams(at, self.words, none, none, none)]
+        self.tokens = from_planes(row.tokens)
+        self.levels = [Grams(np.where(self.tokens == BEGIN, np.int32(-1), self.tokens), self.words, None, None)]
         for _ in range(1, order):
             self.levels.append(self._longer(self.levels[-1], self.tokens if len(self.levels) == 1 else self.levels[-1].at))
+        for level in self.levels:
+            level.keys = level.keys >> np.uint64(64 - 8 * width)
 
     def _longer(self, last: Grams, contexts: np.ndarray) -> Grams:
         where = np.flatnonzero((self.tokens[1:] != BEGIN) & (contexts[:-1] >= 0)) + 1
-        codes = contexts[where - 1].astype(np.int64) * len(self.words) + self.tokens[where]
-        distinct, first, back = np.unique(codes, return_index=True, return_inverse=True)
-        at = np.full(len(self.tokens), -1, np.int64)
+        codes = contexts[where - 1].astype(np.int64)
+        codes *= len(self.words)
+        codes += self.tokens[where]
+        codes, back = np.unique(codes, return_inverse=True)
+        at = np.full(len(self.tokens), -1, np.int32)
         at[where] = back
-        prefix, word = distinct // len(self.words), distinct % len(self.words)
-        return Grams(at, fold(last.keys[prefix], self.words[word]), prefix, word, last.at[where[first]])
+        some = np.empty(len(codes), np.int32)  # a token where the n-gram ends
+        some[back] = where
+        prefix = (codes // len(self.words)).astype(np.int32)
+        return Grams(at, fold(last.keys[prefix], self.words[self.tokens[some]]), prefix, last.at[some])
 
     def own_counts(self, level: Grams) -> np.ndarray:
         """Of each n-gram in the training documents."""
@@ -153,50 +159,73 @@ class Content:
 
 
 def planes(x: np.ndarray) -> bytes:
-    """The first bytes of all numbers, then the second and so on, which packs well."""
-    return x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
+    """Whole numbers by bytes, the first bytes of all and so on, which packs well; the width stands in front."""
+    if x.dtype.kind == "i":
+        x = x.astype(np.uint32 if not len(x) or x.max() < 1 << 32 else np.uint64)
+    return bytes([x.itemsize]) + zlib.compress(x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes(), 1)
+
+
+def from_planes(data: bytes) -> np.ndarray:
+    size = data[0]
+    each = np.frombuffer(zlib.decompress(data[1:]), np.uint8).reshape(size, -1).T
+    x = np.ascontiguousarray(each).view(np.uint64 if size == 8 else np.uint32).ravel()
+    return x if size == 8 else x.view(np.int32) if not len(x) or x.max() < 1 << 31 else x
+
 
+def key_bytes(tokens: int) -> int:
+    """Width of the hashes with which an n-gram meets another by about 2 ** -``SURE`` in a corpus of so many tokens."""
+    return min(8, -(-(tokens.bit_length() + SURE) // 8))
 
-def from_planes(data: bytes, kind) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).ravel()
 
+def packed_keys(keys: np.ndarray, width: int) -> bytes:
+    """Ascending hashes as differences: the low bytes as they are, as they don't pack, the three high ones packed."""
+    each = np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T
+    return each[:width - 3].tobytes() + zlib.compress(each[width - 3:width].tobytes(), 1)
 
-def _cuts(keys: np.ndarray, buckets: int) -> np.ndarray:
+
+def unpacked_keys(data: bytes, n: int, width: int) -> np.ndarray:
+    each = np.zeros((8, n), np.uint8)
+    each[:width - 3] = np.frombuffer(data, np.uint8, (width - 3) * n).reshape(width - 3, n)
+    each[width - 3:width] = np.frombuffer(zlib.decompress(data[(width - 3) * n:]), np.uint8).reshape(3, n)
+    return np.cumsum(np.ascontiguousarray(each.T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
+def _cuts(keys: np.ndarray, buckets: int, width: int) -> np.ndarray:
     """Where the buckets, equal ranges of hashes, begin among sorted ``keys``."""
-    bounds = np.array([-(-(k << 64) // buckets) for k in range(1, buckets)], np.uint64)
+    bounds = np.array([-(-(k << 8 * width) // buckets) for k in range(1, buckets)], np.uint64)
     return np.concatenate([[0], np.searchsorted(keys, bounds), [len(keys)]])
 
 
-def asked(blocks: DataFrame, order: int, buckets: int) -> DataFrame:
+def asked(blocks: DataFrame, order: int, buckets: int, width: int) -> DataFrame:
     """One row per block, ``order`` and ``bucket``: hashes of distinct n-grams in ascending order and their own counts."""
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for row in frame.itertuples():
-                content = Content(row, order)
+                content = Content(row, order, width)
                 for n, level in enumerate(content.levels, 1):
-                    by = level.sorted()
-                    keys, counts = level.keys[by], content.own_counts(level)[by].astype(np.uint32)
-                    cuts, out = _cuts(keys, buckets), []
+                    by = np.argsort(level.keys)
+                    keys, counts = level.keys[by], content.own_counts(level)[by]
+                    cuts, out = _cuts(keys, buckets, width), []
                     for bucket in np.flatnonzero(np.diff(cuts)):
-                        lo, hi = cuts[bucket], cuts[bucket + 1]
-                        out.append((n, int(bucket), int(row.block), planes(np.diff(keys[lo:hi], prepend=np.uint64(0))),
-                                    planes(counts[lo:hi])))
-                    yield pd.DataFrame(out, columns=["order", "bucket", "block", "keys", "counts"])
+                        mine = slice(cuts[bucket], cuts[bucket + 1])
+                        out.append((n, int(bucket), int(row.block), int(mine.stop - mine.start), packed_keys(keys[mine], width),
+                                    planes(counts[mine])))
+                    yield pd.DataFrame(out, columns=["order", "bucket", "block", "n", "keys", "counts"])
 
-    return blocks.mapInPandas(run, "order int, bucket int, block long, keys binary, counts binary")
+    return blocks.mapInPandas(run, "order int, bucket int, block long, n int, keys binary, counts binary")
 
 
-def answered(requests: DataFrame) -> DataFrame:
+def answered(requests: DataFrame, width: int) -> DataFrame:
     """For each request the counts over all blocks, in its order; ``types`` and ``mass`` are those of a bucket, on one of its
     rows."""
     def add(group: pd.DataFrame) -> pd.DataFrame:
-        parts = [np.cumsum(from_planes(k, np.uint64), dtype=np.uint64) for k in group["keys"]]
-        counts = np.concatenate([from_planes(c, np.uint32) for c in group["counts"]])
-        distinct, back = np.unique(np.concatenate(parts), return_inverse=True)
+        ends = np.cumsum(group["n"])
+        keys = np.concatenate([unpacked_keys(k, n, width) for k, n in zip(group["keys"], group["n"])])
+        distinct, back = np.unique(keys, return_inverse=True)
+        del keys
+        counts = np.concatenate([from_planes(c) for c in group["counts"]])
         totals = np.bincount(back, weights=counts, minlength=len(distinct)).astype(np.int64)
-        ends = np.cumsum([len(p) for p in parts])
-        out = [planes(totals[back[e - len(p):e]]) for p, e in zip(parts, ends)]
+        out = [planes(totals[back[e - n:e]]) for n, e in zip(group["n"], ends)]
         first = np.arange(len(group)) == 0
         return pd.DataFrame({"order": group["order"], "bucket": group["bucket"], "block": group["block"], "totals": out,
                              "types": np.where(first, np.count_nonzero(totals), 0), "mass": np.where(first, totals.sum(), 0)})
@@ -206,81 +235,58 @@ def answered(requests: DataFrame) -> DataFrame:
 
 
 class Automaton:
-    """States, arcs and failure arcs of the n-grams that a group of documents can meet.
+    """Arcs and failure arcs of a block's n-grams.
 
-    State 0 is the empty context; the state of the context that is n-gram k of level n is ``base[n] + k``.
+    A state is a context, by its length and its number among the block's n-grams of that length; the arc of an n-gram
+    leads from the context that begins it to the longest state that ends it.
     """
 
-    def __init__(self, content: Content, tokens: slice, train_tokens: int, train_types: int, mu: tuple[float, ...]):
-        levels, size = content.levels, len(content.words)
-        self.size, base = size, [1]
-        for level in levels[:-1]:
-            base.append(base[-1] + len(level.keys))
-        self.fail, self.price, codes, logs, ends = {}, {}, [], [], []
+    NO_ARC = 1.0  # no logarithm of a probability is above 0
+
+    def __init__(self, levels: list[Grams], train_tokens: int, train_types: int, mu: tuple[float, ...]):
+        self.levels = levels
         p = (levels[0].counts + 1) / (train_tokens + train_types + 1)
-        shorter = np.array([], np.int64)
-        for n, level in enumerate(levels):
-            met = level.at[tokens]
-            met = np.unique(met[met >= 0])
-            if n:
-                states = shorter
-                context = levels[n - 1].counts.copy()
-                if n == 1:
-                    context[BEGIN] = context[END]  # as many texts begin as end
-                    states = np.append(states, BEGIN)
-                states = states[context[states] > 0]
-                # of each n-gram, from the shorter one that ends it
-                p = (level.counts + mu[n - 1] * p[level.suffix]) / (context[level.prefix] + mu[n - 1])
-                met = met[level.counts[met] > 0]
-                numbers = (base[n - 1] + states).tolist()
-                above = np.zeros(len(states), np.int64) if n == 1 else base[n - 2] + levels[n - 1].suffix[states]
-                self.fail.update(zip(numbers, above.tolist()))
-                self.price.update(zip(numbers, np.log10(mu[n - 1] / (context[states] + mu[n - 1])).tolist()))
-            source = base[n - 1] + level.prefix[met] if n else np.zeros(len(met), np.int64)
-            codes.append(source * size + level.word[met])
-            logs.append(np.log10(p[met]))
-            ends.append(self._ends(levels, n, met, base))
-            shorter = met
-        self.start = base[0] + BEGIN if base[0] + BEGIN in self.fail else 0  # without training texts there's no such state
-        self.arcs = dict(zip(np.concatenate(codes).tolist(), zip(np.concatenate(logs).tolist(), np.concatenate(ends).tolist())))
-
-    @staticmethod
-    def _ends(levels: list[Grams], n: int, met: np.ndarray, base: list[int]) -> np.ndarray:
-        """States that arcs of level ``n`` lead to: the n-gram itself, or, at the last level, the shorter one that ends it."""
-        if len(levels) == 1:
-            return np.zeros(len(met), np.int64)
-        if n == len(levels) - 1:
-            return base[n - 1] + levels[n].suffix[met]
-        return np.where(levels[n].counts[met] > 0, base[n] + met, 0)
-
-    def log10(self, tokens: list[int]) -> float:
-        """One traversal of a text, begin token left out."""
-        arcs, fail, price, size = self.arcs, self.fail, self.price, self.size
-        state, total = self.start, 0.0
-        for word in tokens:
-            arc = arcs.get(state * size + word)
-            while arc is None:
-                total += price[state]
-                state = fail[state]
-                arc = arcs.get(state * size + word)
-            total += arc[0]
-            state = arc[1]
+        self.arcs, self.prices = [np.log10(p)], [None]  # every word has an arc from the empty context
+        self.known = levels[0].counts > 0
+        for n, level in enumerate(levels[1:], 1):
+            context = levels[n - 1].counts
+            if n == 1:
+                context = context.copy()
+                context[BEGIN] = context[END]  # as many texts begin as end
+                self.start = int(context[BEGIN] > 0)
+            # of each n-gram, from the shorter one that ends it
+            p = (level.counts + mu[n - 1] * p[level.suffix]) / (context[level.prefix] + mu[n - 1])
+            self.arcs.append(np.where(level.counts > 0, np.log10(p), self.NO_ARC))
+            self.prices.append(np.log10(mu[n - 1] / (context + mu[n - 1])))
+
+    def traverse(self, tokens: np.ndarray, place: slice) -> float:
+        """The logarithms on the way of one text, read from left to right; ``place`` is where it lies, its begin left out."""
+        top = len(self.levels) - 1
+        read = [level.at[place] for level in self.levels]
+        before = slice(place.start - 1, place.stop - 1)
+        arcs = [a[g].tolist() if not n else np.where(g >= 0, a[g], self.NO_ARC).tolist()
+                for n, (a, g) in enumerate(zip(self.arcs, read))]
+        # what it costs to leave the state that ends at the token before
+        prices = [None] + [p[tokens[before] if n == 1 else self.levels[n - 1].at[before]].tolist()
+                           for n, p in enumerate(self.prices) if n]
+        known = self.known[read[0]].tolist()
+        state, total = self.start if top else 0, 0.0
+        for i in range(len(known)):
+            while arcs[state][i] > 0:
+                total += prices[state][i]
+                state -= 1
+            total += arcs[state][i]
+            if state < top:
+                state = state + 1 if state or known[i] else 0
         return total
 
 
-def score_block(content: Content, train_tokens: int, train_types: int, mu: tuple[float, ...], group: int = GROUP) -> pd.DataFrame:
-    unigrams = content.levels[0]
+def score_block(content: Content, train_tokens: int, train_types: int, mu: tuple[float, ...]) -> pd.DataFrame:
+    machine = Automaton(content.levels, train_tokens, train_types, mu)
     words = content.tokens != BEGIN
-    logs = np.where(words, np.log10((unigrams.counts + 1) / (train_tokens + train_types + 1))[content.tokens], 0)
-    known = words & (unigrams.counts > 0)[content.tokens]
-    base, n_known = np.add.reduceat(logs, content.starts), np.add.reduceat(known.astype(np.int64), content.starts)
-    scores, first = [], 0
-    while first < len(content.ids):
-        last = max(first + 1, int(np.searchsorted(content.ends, content.starts[first] + group, "right")))
-        machine = Automaton(content, slice(content.starts[first], content.ends[last - 1]), train_tokens, train_types, mu)
-        scores += [machine.log10(content.tokens[a + 1:b].tolist())
-                   for a, b in zip(content.starts[first:last].tolist(), content.ends[first:last].tolist())]
-        first = last
+    base = np.add.reduceat(np.where(words, machine.arcs[0][content.tokens], 0), content.starts)
+    n_known = np.add.reduceat((words & machine.known[content.tokens]).astype(np.int64), content.starts)
+    scores = [machine.traverse(content.tokens, slice(a + 1, b)) for a, b in zip(content.starts.tolist(), content.ends.tolist())]
     return pd.DataFrame({"id": content.ids, "held_out": content.held, "n_tokens": content.ends - content.starts - 1,
                          "n_known": n_known, "train_tokens": train_tokens, "base_score": base, "score": scores})
 
@@ -293,18 +299,19 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text: str = "text", order: i
     blocks = blocks_of(docs, id_col, text, tokens, modulus, held)
     size = blocks.agg(F.sum("n")).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // bucket))
-    totals = answered(asked(blocks, order, buckets))
+    width = key_bytes(size)
+    totals = answered(asked(blocks, order, buckets, width), width)
     whole = totals.where("order = 1").agg(F.sum("mass"), F.sum("types")).first()
     train_tokens, train_types = int(whole[0] or 0), int(whole[1] or 0)
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        content = Content(left.iloc[0], order)
+        content = Content(left.iloc[0], order, width)
         right = right.sort_values(["order", "bucket"])
         for n, level in enumerate(content.levels, 1):
             level.counts = np.zeros(len(level.keys), np.int64)
             mine = right["totals"][right["order"] == n]
             if len(mine):
-                level.counts[level.sorted()] = np.concatenate([from_planes(t, np.int64) for t in mine])
+                level.counts[np.argsort(level.keys)] = np.concatenate([from_planes(t) for t in mine])
         return score_block(content, train_tokens, train_types, mu)
 
     schema = "id string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
