@@ -142,7 +142,7 @@ def trusted_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_target_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return target_rules.judge(docs, trusted_ids(spark, sf_dir)).select(
-        "doc_id", *target_rules.BASE, "base_failed", "kept", "llr")
+        "doc_id", *target_rules.BASE, "base_failed", "kept", "llr", "errors")
 
 
 @query("op5_near_dedup", OP5_SQL)

@@ -6,15 +6,20 @@ that a bucket tells more the more often it was to be seen, at any size of the co
 these over its words and pairs.  As its own words don't count, trusted and other documents are judged alike, and text
 that occurs nowhere else scores zero.  Text whose n-grams are rarer in trusted documents than in the corpus scores below.
 
-A document is kept when it passes the base rules and its score is at least ``least_score``, or at least three sampling
-errors below the median of the trusted documents' own scores if that is lower (it is where trusted text is little).  One
-sampling error is the distance of that median to the 16th percentile, so that some wrong labels don't move it.
+A document is kept when it passes the base rules and its score lies at most ``most_errors`` errors below the median of the
+trusted documents' own scores.  The error is the document's own: of its mean, from the number and the spread of its terms,
+and of what trusted documents differ by beyond that, from the distance of their median to their 16th percentile (so that
+some wrong labels don't move it).  Little trusted text differs more, and long documents have smaller errors, so one limit
+in these units serves every size.
+
+The ratios of buckets that a document has once are looked up; only for buckets that it has several times are they made
+from the counts.
 
 Base rules: at least ``least_words`` words, and at most ``most_repeated`` percent of the words inside 8-word windows
 that occur twice or more.  Windows are compared by 64-bit hashes of their words, inside one document only.
 
-Defined results: a null text has no words, fails the base rules and isn't kept.  Without trusted documents the score is
-0 and the base rules decide.  A null id never is trusted.  Repeated rows are judged each, and count each in the corpus.
+Defined results: a null text has no words, fails the base rules and isn't kept.  With fewer than ``least_trusted`` trusted
+documents of ``least_words`` words the base rules decide, and without any the score is 0.  A null id never is trusted.  Repeated rows are judged each, and count each in the corpus.
 Extra columns pass through ``kept_rows``; an empty table gives an empty result.
 """
 
@@ -27,7 +32,8 @@ from .base import let, text_of, with_known_size, without_blanks, words_of
 
 BUCKETS = 1 << 16
 PRIOR = 20.0
-LEAST_SCORE = -0.045
+MOST_ERRORS = 4.0
+LEAST_TRUSTED = 20
 LEAST_WORDS = 20
 MOST_REPEATED = 30
 SYMBOLS = "[#*$%&|<>]"
@@ -93,61 +99,101 @@ def bucket_counts(rows: DataFrame, buckets: int) -> DataFrame:
     return grams.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.count_if("_trusted").alias("trusted"))
 
 
-def expectations(rows: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """One row: ``counts``, for each bucket its count (``n``) and the trusted one (``t``), and ``share``, trusted words among all."""
+def expectations(rows: DataFrame, buckets: int = BUCKETS, prior: float = PRIOR) -> DataFrame:
+    """One row: ``counts`` with, for each bucket, its count (``n``), the trusted one (``t``), the log ratio for an untrusted
+    document that has it once (``fresh``) and for a trusted one (``known``); and ``share``, trusted words among all."""
     counted = materialize(bucket_counts(rows, buckets))  # at most ``buckets`` rows
     every = rows.sparkSession.range(buckets).withColumnRenamed("id", "bucket").join(counted, "bucket", "left").fillna(0, ["n", "trusted"])
     entry = F.struct("bucket", F.col("n").cast("double").alias("n"), F.col("trusted").cast("double").alias("t"))
     packed = every.agg(F.sort_array(F.collect_list(entry)).alias("p"), F.sum("n").alias("_n"), F.sum("trusted").alias("_t"))  # bounded
-    counts = F.struct(F.transform("p", lambda c: c["n"]).alias("n"), F.transform("p", lambda c: c["t"]).alias("t"))
-    return packed.select(counts.alias("counts"), (F.col("_t") / F.greatest("_n", F.lit(1))).alias("share"))
+    shared = packed.select("p", (F.col("_t") / F.greatest("_n", F.lit(1))).alias("share"))
+    once = lambda trusted: F.transform("p", lambda c: F.when(
+        c["n"] > 0, _ratio(c["t"], c["n"], F.col("share"), F.lit(1.0), trusted, prior)).otherwise(0.0))
+    counts = F.struct(F.transform("p", lambda c: c["n"]).alias("n"), F.transform("p", lambda c: c["t"]).alias("t"),
+                      once(F.lit(False)).alias("fresh"), once(F.lit(True)).alias("known"))
+    return shared.select(counts.alias("counts"), "share")
+
+
+def _ratio(t: Column, n: Column, share: Column, own: Column, trusted: Column, prior: float) -> Column:
+    """Log ratio of a bucket without the document's ``own`` count; a trusted document's is in ``t`` too."""
+    return F.log((F.greatest(t - F.when(trusted, own).otherwise(0.0), F.lit(0.0)) + prior) / ((n - own) * share + prior))
+
+
+def _repeated(buckets: Column) -> Column:
+    """(b, k) for each bucket that stands k > 1 times in the array."""
+    again = let(F.sort_array(buckets), lambda s: F.filter(s, lambda x, i: x == F.get(s, i - 1)))
+
+    def runs(s: Column) -> Column:
+        starts = F.filter(F.transform(s, lambda x, i: F.when(F.coalesce(x != F.get(s, i - 1), F.lit(True)), i)), lambda i: i.isNotNull())
+        return let(starts, lambda p: F.transform(p, lambda i, j: F.struct(
+            F.get(s, i).alias("b"), (F.coalesce(F.get(p, j + 1), F.size(s)) - i + 1).cast("double").alias("k"))))
 
+    return let(again, runs)
 
-def _score(buckets: int, prior: float) -> Column:
-    """Mean log ratio over the words and pairs of a row, whose own ones are taken out of the counts."""
-    def ratio(b: Column, own: Column) -> Column:
-        trusted = F.get(F.col("counts.t"), b) - F.when(F.col("_trusted"), own).otherwise(0)
-        return own * F.log((trusted + prior) / ((F.get(F.col("counts.n"), b) - own) * F.col("share") + prior))
 
-    def total(s: Column) -> Column:
-        starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
-        return let(starts, lambda p: F.aggregate(F.transform(p, lambda i, k: ratio(
-            F.get(s, i), F.coalesce(F.get(p, k + 1), F.size(s)) - i)), F.lit(0.0), lambda a, x: a + x))
+def _moments(buckets: int, prior: float) -> Column:
+    """Sum and sum of squares of the log ratios over the words and pairs of a row, whose own ones are taken out of the counts."""
+    add = lambda terms: F.aggregate(terms, F.lit(0.0), lambda a, x: a + x)
 
-    grams = F.size("_h1") + F.size("_h2")
-    return F.when(grams > 0, let(F.sort_array(_buckets(buckets)), total) / grams).otherwise(0.0)
+    def exact(x: Column) -> Column:
+        return _ratio(F.get(F.col("counts.t"), x["b"]), F.get(F.col("counts.n"), x["b"]), F.col("share"), x["k"], F.col("_trusted"), prior)
 
+    def over(table: Column, grams: Column) -> Column:
+        changes = F.transform(_repeated(grams), lambda x: F.struct(
+            x["k"].alias("k"), exact(x).alias("r"), F.get(table, x["b"]).alias("once")))
+        return let(changes, lambda c: let(F.transform(grams, lambda b: F.get(table, b)), lambda v: F.struct(
+            (add(v) + add(F.transform(c, lambda x: x["k"] * (x["r"] - x["once"])))).alias("s"),
+            (add(F.transform(v, lambda x: x * x)) + add(F.transform(c, lambda x: x["k"] * (x["r"] * x["r"] - x["once"] * x["once"])))).alias("q"))))
 
-def sampling_limit(scores: DataFrame) -> DataFrame:
-    """One row: ``limit``, three sampling errors below the median of ``llr``; null without rows."""
-    bins = scores.groupBy(F.floor(F.col("llr") * 1000).alias("_bin")).agg(F.count(F.lit(1)).alias("_n"))  # few thousands
-    at = bins.agg(F.percentile("_bin", F.lit(0.5), F.col("_n")).alias("mid"), F.percentile("_bin", F.lit(0.16), F.col("_n")).alias("low"))
-    return at.select(((F.col("mid") - 3 * (F.col("mid") - F.col("low"))) / 1000).alias("limit"))
+    table = F.when(F.col("_trusted"), F.col("counts.known")).otherwise(F.col("counts.fresh"))
+    return let(table, lambda t: let(_buckets(buckets), lambda g: over(t, g)))
+
+
+def with_scores(hashed: DataFrame, counts: DataFrame, buckets: int, prior: float) -> DataFrame:
+    """``hashed`` with ``llr``, the mean log ratio, and ``_error``, the square of that mean's error."""
+    both = hashed.join(F.broadcast(counts)).withColumn("_m", _moments(buckets, prior))  # one row of ``buckets`` numbers, four times
+    grams = (F.size("_h1") + F.size("_h2")).cast("double")
+    mean = F.when(grams > 0, F.col("_m.s") / grams).otherwise(0.0)
+    out = both.withColumn("llr", mean).withColumn(
+        "_error", F.when(grams > 0, F.greatest(F.col("_m.q") / grams - F.col("llr") * F.col("llr"), F.lit(0.0)) / grams).otherwise(0.0))
+    return out.drop("counts", "share", "_m")
+
+
+def trusted_spread(scores: DataFrame, least_words: int = LEAST_WORDS, least_trusted: int = LEAST_TRUSTED) -> DataFrame:
+    """One row: ``middle``, the median of the trusted documents' scores, and ``spread``, the square of what they differ by beyond
+    their own errors; null with too few documents."""
+    fit = F.size("_h1") >= least_words  # no filter, which would be pushed below the join and read all texts
+    bins = scores.groupBy(F.when(fit, F.floor(F.col("llr") * 10_000)).alias("_bin")).agg(  # bounded by the range of the score
+        F.count(F.lit(1)).alias("_n"), F.sum("_error").alias("_e")).where("_bin IS NOT NULL")
+    at = bins.agg(F.percentile("_bin", F.lit(0.5), F.col("_n")).alias("mid"), F.percentile("_bin", F.lit(0.16), F.col("_n")).alias("low"),
+                  F.sum("_n").alias("n"), (F.sum("_e") / F.sum("_n")).alias("e"))
+    enough, wide = F.col("n") >= least_trusted, (F.col("mid") - F.col("low")) / 10_000
+    return at.select(F.when(enough, F.col("mid") / 10_000).alias("middle"),
+                     F.when(enough, F.greatest(wide * wide - F.col("e"), F.lit(1e-8))).alias("spread"))
 
 
 def _judged(rows: DataFrame, trusted_ids: DataFrame, buckets: int = BUCKETS, prior: float = PRIOR,
-            least_score: float = LEAST_SCORE) -> DataFrame:
-    """``rows`` (``_id``, ``_text`` and maybe ``_row``) with the base figures, ``base_failed``, ``llr`` and ``kept``."""
+            most_errors: float = MOST_ERRORS) -> DataFrame:
+    """``rows`` (``_id``, ``_text`` and maybe ``_row``) with the base figures, ``base_failed``, ``llr``, ``errors`` and ``kept``."""
     ids = with_known_size(trusted_ids.where("_id IS NOT NULL").distinct().withColumn("_trusted", F.lit(True)))
     flagged = rows.join(ids, "_id", "left").withColumn("_trusted", F.coalesce("_trusted", F.lit(False)))
-    counts = materialize(expectations(flagged, buckets))
-
-    def scored(part: DataFrame) -> DataFrame:
-        both = with_hashes(part, "_text").join(F.broadcast(counts))  # one row of ``buckets`` numbers, twice
-        return both.withColumn("llr", _score(buckets, prior)).drop("counts", "share")
-
-    trusted = rows.select("_id", "_text").join(ids, "_id").where(F.size(words_of(F.col("_text"))) >= LEAST_WORDS)
-    limit = materialize(sampling_limit(scored(trusted)))
-    out = with_base(scored(flagged), "_text").join(F.broadcast(limit))  # one row
-    least = F.least(F.lit(least_score), F.col("limit"))
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= least)).drop("_h1", "_h2", "_trusted", "limit")
+    counts = materialize(expectations(flagged, buckets, prior))
+    trusted = with_hashes(rows.select("_id", "_text").join(ids, "_id"), "_text")
+    spread = materialize(trusted_spread(with_scores(trusted, counts, buckets, prior)))
+    scored = with_scores(with_hashes(flagged, "_text"), counts, buckets, prior)
+    out = with_base(scored, "_text").join(F.broadcast(spread))  # one row
+    errors = (F.col("llr") - F.col("middle")) / F.sqrt(F.col("_error") + F.col("spread"))
+    out = out.withColumn("errors", F.coalesce(errors, F.lit(0.0)))
+    return out.withColumn("kept", ~F.col("base_failed") & (F.col("errors") >= -most_errors)).drop(
+        "_h1", "_h2", "_trusted", "_error", "middle", "spread")
 
 
 def judge(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text: str = "text", **more) -> DataFrame:
-    """Id, base figures, ``base_failed``, ``llr`` and ``kept`` of each row; ``trusted_ids`` has the column ``id_col``."""
+    """Id, base figures, ``base_failed``, ``llr``, ``errors`` (of the score, from the trusted median) and ``kept`` of each row;
+    ``trusted_ids`` has the column ``id_col``."""
     rows = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text}`").alias("_text"))
     judged = _judged(rows, trusted_ids.select(F.col(id_col).alias("_id")), **more)
-    return judged.select(F.col("_id").alias(id_col), *BASE, "base_failed", "llr", "kept")
+    return judged.select(F.col("_id").alias(id_col), *BASE, "base_failed", "llr", "errors", "kept")
 
 
 def kept_rows(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text: str = "text", **more) -> DataFrame:
