@@ -50,13 +50,25 @@ def shared_folder(spark: SparkSession, tag: str) -> str:
     return f"{ensure_checkpoint_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
+WRITTEN: list[str] = []  # folders of the tables that ``written`` has made
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """Write to the shared folder and read back: survives lost executors, and readers prune its columns."""
     path = shared_folder(df.sparkSession, tag)
+    WRITTEN.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dropped(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables of ``written`` that nothing reads any more."""
+    for path in paths:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        WRITTEN.remove(path)
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, or with underscores before it where ``df`` has such a column already."""
     taken = {c.lower() for c in df.columns}

@@ -12,12 +12,12 @@ Extra columns pass through ``keep_best``; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from .base import text_of, without_blanks
+from ..session import materialize
+from .base import text_of, with_known_size, without_blanks, written
 
 PREFIX = 64  # characters of the normalised text in the second level's hash
-SALTS = 64  # parts of a group in the first of two keep-first windows
 
 
 def _levels(docs: DataFrame, text: str, also: dict[str, Column]) -> DataFrame:
@@ -60,20 +60,32 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text"
 def keep_best(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without its duplicates, columns unchanged.
 
-    Rows with a unique (length, prefix) pass at once; the full hash is taken for the others, which are ordered first
-    inside salted parts of a group and then across the parts' winners, so a group of a third of all rows is split.
+    Rows are compared by narrow keys: id, length, prefix hash and a hash of the text as it is.  The full hash is taken only
+    for rows whose (length, prefix) is shared.  Winners are minima, combined before the shuffle, so a group may hold any
+    share of the rows.  Whole rows are joined once, with the keys of those that go.
     """
-    columns = docs.columns
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"),
-                         F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text}`").alias("_text"))
-    keys = shared_prefixes(_levels(packed.select("_text"), "_text", {}))
-    marked = _levels(packed, "_text", {}).join(keys.withColumn("_shared", F.lit(True)), ["_len", "_prefix"], "left")
-    unique = marked.where("_shared IS NULL").select("_row")
-    rows = marked.where("_shared").select(
-        "_row", "_id", "_points", F.sha2(without_blanks(text_of("_text")), 256).alias("_sha"))
-    rows = rows.withColumn("_salt", F.pmod(F.xxhash64("_id", "_points"), F.lit(SALTS)))
-    order = [F.desc("_points"), F.asc_nulls_last("_id")]
-    for keys_of in (["_sha", "_salt"], ["_sha"]):
-        first = Window.partitionBy(*keys_of).orderBy(*order)
-        rows = rows.withColumn("_nth", F.row_number().over(first)).where("_nth = 1").drop("_nth")
-    return unique.unionByName(rows.select("_row")).select("_row.*")
+    def keyed(rows: DataFrame) -> DataFrame:
+        return rows.withColumns({"_none": F.col(f"`{id_col}`").isNull(), "_name": F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")),
+                                 "_at": F.xxhash64(text_of(f"`{text}`"))})
+
+    key = ["_none", "_name", "_at"]
+    pairs = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text}`"))
+    narrow = written(_levels(keyed(pairs), f"`{text}`", {}).drop(text), "levels")
+    shared = narrow.join(with_known_size(shared_prefixes(narrow)), ["_len", "_prefix"], "left_semi")
+    shared = materialize(shared.groupBy(*key, F.col(f"`{id_col}`").alias("_id"), "_points").agg(F.count(F.lit(1)).alias("_times")))
+    content = keyed(pairs).join(with_known_size(shared.select("_at").distinct()), "_at", "left_semi")
+    shas = content.groupBy("_at").agg(F.first(F.sha2(without_blanks(text_of(f"`{text}`")), 256)).alias("_sha"))
+    rows = materialize(shared.join(shas, "_at"))
+    best = rows.groupBy("_sha").agg(F.min(F.struct(-F.col("_points"), F.col("_none"), "_id", "_name", "_at")).alias("_best"))
+    stay = materialize(best.select("_best._none", "_best._name", "_best._at"))
+    gone = rows.join(stay, key, "left_anti").select(*key)
+    twice = materialize(rows.where("_times > 1").join(stay, key, "left_semi").select(*key))  # repeated rows, of which one stays
+    out = keyed(_packed(docs, id_col, text))
+    rest = out.join(with_known_size(materialize(gone.union(twice))), key, "left_anti")
+    once = out.join(with_known_size(twice), key, "left_semi").dropDuplicates(key)
+    return rest.select("_row").unionByName(once.select("_row")).select("_row.*")
+
+
+def _packed(docs: DataFrame, id_col: str, text: str) -> DataFrame:
+    """Whole rows as ``_row`` beside their id and text."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{id_col}`"), F.col(f"`{text}`"))

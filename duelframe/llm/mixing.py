@@ -17,7 +17,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .base import n_words, running_sums, text_of
+from ..session import materialize
+from .base import n_words, running_sums, text_of, with_known_size
 
 WEIGHTS = (5, 2, 1)  # by rank of the source, repeating
 MAX_RATE = 3
@@ -56,7 +57,7 @@ def with_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sou
                 weights: tuple[int, ...] = WEIGHTS, max_rate: int = MAX_RATE, seed: str = SEED) -> DataFrame:
     """``docs`` (columns of its own) with ``_size``, ``source_size``, ``target`` and ``_copies``."""
     sized = docs.withColumn("_size", n_words(text_of(text))).withColumn("_u", uniform(id_col, text, seed))
-    targets = source_targets(sized, source, "_size", weights, max_rate)
+    targets = with_known_size(materialize(source_targets(sized, source, "_size", weights, max_rate)))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     keyed = sized.withColumns({"_no_source": F.col(source).isNull(), "_source": F.coalesce(source, F.lit(""))})
     return keyed.join(targets, ["_no_source", "_source"]).withColumn(
