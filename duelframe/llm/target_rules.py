@@ -12,9 +12,6 @@ and of what trusted documents differ by beyond that, from the distance of their
 some wrong labels don't move it).  Little trusted text differs more, and long documents have smaller errors, so one limit
 in these units serves every size.
 
-The ratios of buckets that a document has once are looked up; only for buckets that it has several times are they made
-from the counts.
-
 Base rules: at least ``least_words`` words, and at most ``most_repeated`` percent of the words inside 8-word windows
 that occur twice or more.  Windows are compared by 64-bit hashes of their words, inside one document only.
 
@@ -25,10 +22,12 @@ Extra columns pass through ``kept_rows``; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import materialize
-from .base import let, text_of, with_known_size, without_blanks, words_of
+from .base import let, text_of, with_known_size, words_of, written
 
 BUCKETS = 1 << 16
 PRIOR = 20.0
@@ -37,6 +36,7 @@ LEAST_TRUSTED = 20
 LEAST_WORDS = 20
 MOST_REPEATED = 30
 SYMBOLS = "[#*$%&|<>]"
+BLANKS = " \t\n\x0b\x0c\r"
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -72,25 +72,22 @@ def with_base(hashed: DataFrame, text: str, least_words: int = LEAST_WORDS, most
     """Base figures and ``base_failed``; ``hashed`` comes from ``with_hashes``."""
     content = text_of(text)
     lines = F.filter(F.split(content, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    windows = hashed.withColumn("_h8", _pairwise(_pairwise(F.col("_h2"), 2), 4))
-    out = windows.withColumns({
+    halves = hashed.withColumn("_h4", _pairwise(F.col("_h2"), 2))  # a window that occurs twice has a first half that does
+    out = halves.withColumns({
         "n_words": F.size("_h1").cast("long"),
-        "word_chars": F.length(without_blanks(content)).cast("long"),
-        "n_symbols": F.size(F.regexp_extract_all(content, F.lit(SYMBOLS), F.lit(0))).cast("long"),
+        "word_chars": F.length(functools.reduce(lambda t, c: F.replace(t, F.lit(c), F.lit("")), BLANKS, content)).cast("long"),
+        "n_symbols": F.regexp_count(content, F.lit(SYMBOLS)).cast("long"),
         "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
-        "n_repeat_words": F.when(F.size(F.array_distinct("_h8")) == F.size("_h8"), F.lit(0))
-                           .otherwise(_covered(F.col("_h8"))).cast("long"),
-    }).drop("_h8")
+        "n_repeat_words": F.when(F.size(F.array_distinct("_h4")) == F.size("_h4"), F.lit(0))
+                           .otherwise(let(_pairwise(F.col("_h4"), 4), lambda w: _covered(w))).cast("long"),
+    }).drop("_h4")
     return out.withColumn("base_failed", (F.col("n_words") < least_words)
                           | (100 * F.col("n_repeat_words") > most_repeated * F.col("n_words")))
 
 
-def _bucket(h: Column, buckets: int) -> Column:
-    return F.pmod(h, F.lit(buckets)).cast("int")
-
-
 def _buckets(buckets: int) -> Column:
-    return F.transform(F.concat("_h1", "_h2"), lambda h: _bucket(h, buckets))
+    """Buckets of words and pairs; ``buckets`` is a power of two."""
+    return F.transform(F.concat("_h1", "_h2"), lambda h: h.bitwiseAND(F.lit(buckets - 1).cast("long")).cast("int"))
 
 
 def bucket_counts(rows: DataFrame, buckets: int) -> DataFrame:
@@ -99,72 +96,51 @@ def bucket_counts(rows: DataFrame, buckets: int) -> DataFrame:
     return grams.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.count_if("_trusted").alias("trusted"))
 
 
-def expectations(rows: DataFrame, buckets: int = BUCKETS, prior: float = PRIOR) -> DataFrame:
-    """One row: ``counts`` with, for each bucket, its count (``n``), the trusted one (``t``), the log ratio for an untrusted
-    document that has it once (``fresh``) and for a trusted one (``known``); and ``share``, trusted words among all."""
-    counted = materialize(bucket_counts(rows, buckets))  # at most ``buckets`` rows
-    every = rows.sparkSession.range(buckets).withColumnRenamed("id", "bucket").join(counted, "bucket", "left").fillna(0, ["n", "trusted"])
-    entry = F.struct("bucket", F.col("n").cast("double").alias("n"), F.col("trusted").cast("double").alias("t"))
-    packed = every.agg(F.sort_array(F.collect_list(entry)).alias("p"), F.sum("n").alias("_n"), F.sum("trusted").alias("_t"))  # bounded
-    shared = packed.select("p", (F.col("_t") / F.greatest("_n", F.lit(1))).alias("share"))
-    once = lambda trusted: F.transform("p", lambda c: F.when(
-        c["n"] > 0, _ratio(c["t"], c["n"], F.col("share"), F.lit(1.0), trusted, prior)).otherwise(0.0))
-    counts = F.struct(F.transform("p", lambda c: c["n"]).alias("n"), F.transform("p", lambda c: c["t"]).alias("t"),
-                      once(F.lit(False)).alias("fresh"), once(F.lit(True)).alias("known"))
-    return shared.select(counts.alias("counts"), "share")
-
-
-def _ratio(t: Column, n: Column, share: Column, own: Column, trusted: Column, prior: float) -> Column:
-    """Log ratio of a bucket without the document's ``own`` count; a trusted document's is in ``t`` too."""
-    return F.log((F.greatest(t - F.when(trusted, own).otherwise(0.0), F.lit(0.0)) + prior) / ((n - own) * share + prior))
-
-
-def _repeated(buckets: Column) -> Column:
-    """(b, k) for each bucket that stands k > 1 times in the array."""
-    again = let(F.sort_array(buckets), lambda s: F.filter(s, lambda x, i: x == F.get(s, i - 1)))
-
-    def runs(s: Column) -> Column:
-        starts = F.filter(F.transform(s, lambda x, i: F.when(F.coalesce(x != F.get(s, i - 1), F.lit(True)), i)), lambda i: i.isNotNull())
-        return let(starts, lambda p: F.transform(p, lambda i, j: F.struct(
-            F.get(s, i).alias("b"), (F.coalesce(F.get(p, j + 1), F.size(s)) - i + 1).cast("double").alias("k"))))
-
-    return let(again, runs)
-
-
-def _moments(buckets: int, prior: float) -> Column:
-    """Sum and sum of squares of the log ratios over the words and pairs of a row, whose own ones are taken out of the counts."""
-    add = lambda terms: F.aggregate(terms, F.lit(0.0), lambda a, x: a + x)
-
-    def exact(x: Column) -> Column:
-        return _ratio(F.get(F.col("counts.t"), x["b"]), F.get(F.col("counts.n"), x["b"]), F.col("share"), x["k"], F.col("_trusted"), prior)
-
-    def over(table: Column, grams: Column) -> Column:
-        changes = F.transform(_repeated(grams), lambda x: F.struct(
-            x["k"].alias("k"), exact(x).alias("r"), F.get(table, x["b"]).alias("once")))
-        return let(changes, lambda c: let(F.transform(grams, lambda b: F.get(table, b)), lambda v: F.struct(
-            (add(v) + add(F.transform(c, lambda x: x["k"] * (x["r"] - x["once"])))).alias("s"),
-            (add(F.transform(v, lambda x: x * x)) + add(F.transform(c, lambda x: x["k"] * (x["r"] * x["r"] - x["once"] * x["once"])))).alias("q"))))
-
-    table = F.when(F.col("_trusted"), F.col("counts.known")).otherwise(F.col("counts.fresh"))
-    return let(table, lambda t: let(_buckets(buckets), lambda g: over(t, g)))
-
-
-def with_scores(hashed: DataFrame, counts: DataFrame, buckets: int, prior: float) -> DataFrame:
-    """``hashed`` with ``llr``, the mean log ratio, and ``_error``, the square of that mean's error."""
-    both = hashed.join(F.broadcast(counts)).withColumn("_m", _moments(buckets, prior))  # one row of ``buckets`` numbers, four times
-    grams = (F.size("_h1") + F.size("_h2")).cast("double")
-    mean = F.when(grams > 0, F.col("_m.s") / grams).otherwise(0.0)
-    out = both.withColumn("llr", mean).withColumn(
-        "_error", F.when(grams > 0, F.greatest(F.col("_m.q") / grams - F.col("llr") * F.col("llr"), F.lit(0.0)) / grams).otherwise(0.0))
-    return out.drop("counts", "share", "_m")
+def expectations(rows: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """At most ``buckets`` rows: ``bucket``, its count ``n``, the trusted one ``t``, and ``share``, trusted words among all."""
+    counted = materialize(bucket_counts(rows, buckets))
+    whole = counted.agg((F.sum("trusted") / F.greatest(F.sum("n"), F.lit(1))).alias("share"))
+    return materialize(counted.select("bucket", F.col("n").cast("double").alias("n"), F.col("trusted").cast("double").alias("t"))
+                       .join(F.broadcast(whole)))  # one row
+
+
+def _runs(ordered: Column) -> Column:
+    """One number for each bucket of a sorted array: how often it stands there, times 2 to the 32nd, and the bucket."""
+    starts = F.filter(F.transform(ordered, lambda x, i: F.when(F.coalesce(x != F.get(ordered, i - 1), F.lit(True)), i)),
+                      lambda i: i.isNotNull())
+    return let(starts, lambda p: F.transform(p, lambda i, j: F.shiftleft(
+        (F.coalesce(F.get(p, j + 1), F.size(ordered)) - i).cast("long"), 32).bitwiseOR(F.get(ordered, i).cast("long"))))
+
+
+def scored(hashed: DataFrame, counts: DataFrame, columns: list[str], buckets: int, prior: float) -> DataFrame:
+    """``columns`` of each row of ``hashed`` with ``llr``, the mean log ratio, and ``_error``, the square of that mean's error.
+
+    A row's own words are taken out of the counts.  Its buckets, each once, are looked up in the short table of counts and
+    added up again before the shuffle.
+    """
+    ordered = hashed.withColumn("_g", F.sort_array(_buckets(buckets)))
+    narrow = ordered.select(*columns, F.monotonically_increasing_id().alias("_row_number"), F.size("_g").alias("_grams"),
+                            _runs(F.col("_g")).alias("_runs"))
+    each = narrow.select(*columns, "_row_number", "_grams", F.explode_outer("_runs").alias("_run"))
+    each = each.withColumn("bucket", F.col("_run").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int"))
+    found = each.join(F.broadcast(counts), "bucket", "left")  # at most ``buckets`` rows
+    k = F.shiftright("_run", 32).cast("double")
+    known = F.greatest(F.col("t") - F.when(F.col("_trusted"), k).otherwise(0.0), F.lit(0.0))
+    ratio = F.log((known + prior) / ((F.col("n") - k) * F.col("share") + prior))
+    sums = (found.select(*columns, "_row_number", "_grams", k.alias("_k"), ratio.alias("_r"))
+            .groupBy(*columns, "_row_number", "_grams").agg(F.sum(F.col("_k") * F.col("_r")).alias("_s"), F.sum(F.col("_k") * F.col("_r") * F.col("_r")).alias("_q")))
+    mean = F.coalesce(F.col("_s") / F.col("_grams"), F.lit(0.0))
+    error = F.when(F.col("_grams") > 0, F.greatest(F.col("_q") / F.col("_grams") - F.col("llr") * F.col("llr"), F.lit(0.0)) / F.col("_grams"))
+    return sums.withColumn("llr", F.when(F.col("_grams") > 0, mean).otherwise(0.0)).withColumn(
+        "_error", F.coalesce(error, F.lit(0.0))).select(*columns, "llr", "_error")
 
 
 def trusted_spread(scores: DataFrame, least_words: int = LEAST_WORDS, least_trusted: int = LEAST_TRUSTED) -> DataFrame:
     """One row: ``middle``, the median of the trusted documents' scores, and ``spread``, the square of what they differ by beyond
     their own errors; null with too few documents."""
-    fit = F.size("_h1") >= least_words  # no filter, which would be pushed below the join and read all texts
-    bins = scores.groupBy(F.when(fit, F.floor(F.col("llr") * 10_000)).alias("_bin")).agg(  # bounded by the range of the score
-        F.count(F.lit(1)).alias("_n"), F.sum("_error").alias("_e")).where("_bin IS NOT NULL")
+    bins = scores.where((F.col("n_words") >= least_words) & F.col("_trusted")).groupBy(
+        F.floor(F.col("llr") * 10_000).alias("_bin")).agg(  # bounded by the range of the score
+        F.count(F.lit(1)).alias("_n"), F.sum("_error").alias("_e"))
     at = bins.agg(F.percentile("_bin", F.lit(0.5), F.col("_n")).alias("mid"), F.percentile("_bin", F.lit(0.16), F.col("_n")).alias("low"),
                   F.sum("_n").alias("n"), (F.sum("_e") / F.sum("_n")).alias("e"))
     enough, wide = F.col("n") >= least_trusted, (F.col("mid") - F.col("low")) / 10_000
@@ -174,18 +150,17 @@ def trusted_spread(scores: DataFrame, least_words: int = LEAST_WORDS, least_trus
 
 def _judged(rows: DataFrame, trusted_ids: DataFrame, buckets: int = BUCKETS, prior: float = PRIOR,
             most_errors: float = MOST_ERRORS) -> DataFrame:
-    """``rows`` (``_id``, ``_text`` and maybe ``_row``) with the base figures, ``base_failed``, ``llr``, ``errors`` and ``kept``."""
+    """One row per row of ``rows`` (``_id``, ``_text``): ``_id``, ``_at`` (hash of the text), the base figures, ``base_failed``,
+    ``llr``, ``errors`` and ``kept``.  Texts are read twice, for the counts and for the scores, which are written."""
     ids = with_known_size(trusted_ids.where("_id IS NOT NULL").distinct().withColumn("_trusted", F.lit(True)))
     flagged = rows.join(ids, "_id", "left").withColumn("_trusted", F.coalesce("_trusted", F.lit(False)))
-    counts = materialize(expectations(flagged, buckets, prior))
-    trusted = with_hashes(rows.select("_id", "_text").join(ids, "_id"), "_text")
-    spread = materialize(trusted_spread(with_scores(trusted, counts, buckets, prior)))
-    scored = with_scores(with_hashes(flagged, "_text"), counts, buckets, prior)
-    out = with_base(scored, "_text").join(F.broadcast(spread))  # one row
+    counts = expectations(flagged, buckets)
+    based = with_base(with_hashes(flagged, "_text"), "_text").withColumn("_at", F.xxhash64(text_of("_text")))
+    narrow = written(scored(based, counts, ["_id", "_at", "_trusted", *BASE, "base_failed"], buckets, prior), "scores")
     errors = (F.col("llr") - F.col("middle")) / F.sqrt(F.col("_error") + F.col("spread"))
-    out = out.withColumn("errors", F.coalesce(errors, F.lit(0.0)))
+    out = narrow.join(F.broadcast(trusted_spread(narrow))).withColumn("errors", F.coalesce(errors, F.lit(0.0)))  # one row
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("errors") >= -most_errors)).drop(
-        "_h1", "_h2", "_trusted", "_error", "middle", "spread")
+        "_trusted", "_error", "middle", "spread")
 
 
 def judge(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text: str = "text", **more) -> DataFrame:
@@ -197,7 +172,11 @@ def judge(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text:
 
 
 def kept_rows(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text: str = "text", **more) -> DataFrame:
-    """The rows of ``docs`` that are kept, columns unchanged."""
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
-                       F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text}`").alias("_text"))
-    return _judged(rows, trusted_ids.select(F.col(id_col).alias("_id")), **more).where("kept").select("_row.*")
+    """The rows of ``docs`` that are kept, columns unchanged.  Rows with the same id and text have the same verdict."""
+    name, at = F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")), F.xxhash64(text_of(f"`{text}`"))
+    rows = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text}`").alias("_text"))
+    judged = _judged(rows, trusted_ids.select(F.col(id_col).alias("_id")), **more).where("NOT kept")
+    gone = judged.select(F.col("_id").isNull().alias("_none"), F.coalesce(F.col("_id").cast("string"), F.lit("")).alias("_name"), "_at")
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
+                         F.col(f"`{id_col}`").isNull().alias("_none"), name.alias("_name"), at.alias("_at"))
+    return packed.join(with_known_size(materialize(gone.distinct())), ["_none", "_name", "_at"], "left_anti").select("_row.*")
