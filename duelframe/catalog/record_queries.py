@@ -157,13 +157,42 @@ def balanced_tied_groups(spark, sf_dir):
     return records.balanced_groups(records.head_to_head(rated(spark, sf_dir), ["year"]), groups, ["year"])
 
 
-@query("standings_with_tiebreaks", "M20 A10 A11 A12 A13 A14")
+def _refined_sql(k: int) -> str:
+    """One refinement of the tied sets of ``s<k>``; a coin, which only another hash could toss, is left to the side's number."""
+    rules = ["r0", "r1", "conference_wins", "own", "other", "net_points"]
+    whole = "(PARTITION BY year, conference, place)"
+    value = "coalesce(" + ", ".join(f"CASE WHEN min({r}) OVER w <> max({r}) OVER w THEN CAST({r} AS DOUBLE) END" for r in rules) + ")"
+    return f""", t{k} AS MATERIALIZED (SELECT *, count(*) OVER {whole} AS size FROM s{k}),
+ m{k} AS MATERIALIZED (SELECT a.year, a.team, sum(p.wins) AS direct, count(*) AS rivals, min(p.games) AS fewest, max(p.games) AS most
+  FROM t{k} a JOIN t{k} b ON a.year = b.year AND a.conference = b.conference AND a.place = b.place AND a.team <> b.team
+  JOIN pairs p ON p.year = a.year AND p.team = a.team AND p.rival = b.team WHERE a.size > 1 GROUP BY ALL),
+ f{k} AS MATERIALIZED (SELECT t.*, coalesce(direct, 0) AS direct, min(coalesce(rivals, 0)) OVER w = size - 1 AND min(coalesce(fewest, 0)) OVER w = max(coalesce(most, 0)) OVER w
+   AND min(coalesce(fewest, 0)) OVER w > 0 AS even, min(division) OVER w = max(division) OVER w AS same_division
+  FROM t{k} t LEFT JOIN m{k} m ON m.year = t.year AND m.team = t.team WINDOW w AS (PARTITION BY t.year, conference, place)),
+ g{k} AS MATERIALIZED (SELECT *, CASE WHEN size = 2 THEN direct ELSE champ::INT END AS r0, CASE WHEN size = 2 THEN CASE WHEN same_division THEN champ::INT ELSE 0 END
+   ELSE CASE WHEN even THEN direct ELSE 0 END END AS r1 FROM f{k}),
+ v{k} AS MATERIALIZED (SELECT *, {value} AS v FROM g{k} WINDOW w AS {whole}),
+ s{k + 1} AS MATERIALIZED (SELECT year, team, conference, division, wins, losses, champ, conference_wins, own, other, net_points,
+  place + rank() OVER (PARTITION BY year, conference, place ORDER BY v DESC NULLS LAST, CASE WHEN v IS NULL THEN team END) - 1 AS place FROM v{k})"""
+
+
+_STEPS = 8
+STANDINGS_SQL = TOP_SQL.replace(" AS (SELECT", " AS MATERIALIZED (SELECT") + """, vs AS MATERIALIZED (SELECT p.year, p.team, t.conference AS rc, CAST(sum(p.wins) AS BIGINT) AS w
+  FROM pairs p JOIN top t ON p.year = t.year AND p.rival = t.team GROUP BY ALL),
+ s0 AS MATERIALIZED (SELECT tb.year, tb.team, tb.conference, division, wins, losses, wins = max(wins) OVER (PARTITION BY tb.year, tb.conference, division) AS champ,
+  conference_wins, coalesce(o.w, 0) AS own, coalesce(x.w, 0) AS other, net_points, rank() OVER (PARTITION BY tb.year, tb.conference ORDER BY wins DESC) AS place
+  FROM tb LEFT JOIN vs o ON o.year = tb.year AND o.team = tb.team AND o.rc = tb.conference
+  LEFT JOIN (SELECT v.year, v.team, b.conference AS mine, sum(w) AS w FROM vs v JOIN tb b ON b.year = v.year AND b.team = v.team AND b.conference <> v.rc GROUP BY ALL) x
+   ON x.year = tb.year AND x.team = tb.team)""" + "".join(map(_refined_sql, range(_STEPS)))
+
+
+@query("standings_with_tiebreaks", "M20 A10 A11 A12 A13 A14", STANDINGS_SQL + f" SELECT year, conference, team, wins, losses, CAST(place AS INT) AS seed FROM s{_STEPS}")
 def standings_with_tiebreaks(spark, sf_dir):
     return standings.standings(rated(spark, sf_dir), team_dim(spark, sf_dir), ["year"])
 
 
 # the same order when no three sides tie: full two-side rule chain in SQL
-@query("two_team_tiebreaks", "M20", TOP_SQL + """, dw AS (SELECT *, wins = max(wins) OVER (PARTITION BY year, conference, division) AS champ FROM tb),
+@query("two_team_tiebreaks", "M20", (TOP_SQL + """, dw AS (SELECT *, wins = max(wins) OVER (PARTITION BY year, conference, division) AS champ FROM tb),
  vs AS (SELECT p.year, p.team, t.conference AS rc, CAST(sum(p.wins) AS BIGINT) AS w FROM pairs p JOIN top t ON p.year = t.year AND p.rival = t.team GROUP BY ALL),
  two AS (SELECT year, conference, wins FROM tb GROUP BY ALL HAVING count(*) = 2),
  ab AS (SELECT a.year, a.conference, a.wins, a.team AS a, b.team AS b, a.division = b.division AS same_div, a.champ AS ac, b.champ AS bc,
@@ -182,6 +211,6 @@ def standings_with_tiebreaks(spark, sf_dir):
   WHEN acw <> bcw THEN CASE WHEN acw > bcw THEN a ELSE b END
   WHEN own <> 0 THEN CASE WHEN own > 0 THEN a ELSE b END
   WHEN other <> 0 THEN CASE WHEN other > 0 THEN a ELSE b END
-  WHEN apd <> bpd THEN CASE WHEN apd > bpd THEN a ELSE b END END AS first_team FROM k""")
+  WHEN apd <> bpd THEN CASE WHEN apd > bpd THEN a ELSE b END END AS first_team FROM k""").replace(" AS (SELECT", " AS MATERIALIZED (SELECT"))
 def two_team_tiebreaks(spark, sf_dir):
     return standings.two_way_ties(rated(spark, sf_dir), team_dim(spark, sf_dir), ["year"])

@@ -1,14 +1,13 @@
 """Conference order with tie-breaks.
 
-All statistics are distributed aggregates.  Sides with a unique win count need nothing more, two-way ties
-are settled by column expressions, and only ties of three or more reach Python, packed as one short row.
+All statistics are distributed aggregates.  Ties are settled as sets: all tied sets of all keys are split at once, by the
+first rule that separates their members, until every set holds one side.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..session import materialize
@@ -69,7 +68,10 @@ def two_way_ties(games: DataFrame, teams: DataFrame, keys: Sequence[str]) -> Dat
 
 
 def order_tied(members: list[dict]) -> list:
-    """Best-to-worst order of one tied group.  A rule that separates anyone restarts on each part."""
+    """Best-to-worst order of one tied group, plainly; what ``refined`` does for all groups at once is held against it.
+
+    A rule that separates anyone restarts on each part.
+    """
     if len(members) <= 1:
         return [m["team"] for m in members]
     names = [m["team"] for m in members]
@@ -96,36 +98,37 @@ def order_tied(members: list[dict]) -> list:
     return [m["team"] for m in sorted(members, key=lambda m: m["coin"])]
 
 
-def _multi_way(table: DataFrame, pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
-    level = [*keys, "conference", "wins"]
-    tied = table.filter(F.col("tied") > 2)
-    side = tied.select(*level, "team")
-    rival = tied.select(*keys, F.col("conference").alias("rc"), F.col("wins").alias("rw"), F.col("team").alias("rival"))
-    met = (pairs.select(*keys, "team", "rival", F.col("wins").alias("w"), "games")
-           .join(side, [*keys, "team"]).join(rival, [*keys, "rival"])
-           .filter((F.col("conference") == F.col("rc")) & (F.col("wins") == F.col("rw")))
-           .groupBy(*keys, "team").agg(F.collect_list(F.struct("rival", "w", "games")).alias("met")))
-    values = ["team", "division", "division_winner", "conference_wins", "own_wins", "other_wins", "net_points",
-              "coin", "met"]
-    packed = (tied.join(met, [*keys, "team"], "left").groupBy(*level)
-              .agg(F.collect_list(F.struct(*values)).alias("members")))
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}"
-                       for f in packed.schema if f.name in level) + f", team {table.schema['team'].dataType.simpleString()}, place int"
-
-    def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for rec in batch.to_dict("records"):
-                members = []
-                for m in rec["members"]:
-                    member = dict(m)
-                    member["h2h"] = {x["rival"]: x["w"] for x in (m["met"] if m["met"] is not None else [])}
-                    member["games"] = {x["rival"]: x["games"] for x in (m["met"] if m["met"] is not None else [])}
-                    members.append(member)
-                rows += [(*[rec[c] for c in level], t, i + 1) for i, t in enumerate(order_tied(members))]
-            yield pd.DataFrame(rows, columns=[*level, "team", "place"])
-
-    return packed.mapInPandas(settle, schema)
+def refined(state: DataFrame, pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One step of the fixed point: every set of tied sides (one ``place`` in a conference) is split by the first rule that
+    separates any of its members, or by the coin where none does.
+
+    Rules look at the set as it is, so a set that was split starts over with all of them.
+    """
+    group = [*keys, "conference", "place"]
+    whole = W.partitionBy(*group)
+    tied = state.withColumn("size", F.count(F.lit(1)).over(whole))
+    open_sets = tied.filter("size > 1")
+    side = open_sets.select(*group, "team")
+    rival = open_sets.select(*keys, F.col("conference").alias("rc"), F.col("place").alias("rp"), F.col("team").alias("rival"))
+    met = (pairs.select(*keys, "team", "rival", "wins", "games").join(side, [*keys, "team"]).join(rival, [*keys, "rival"])
+           .filter((F.col("conference") == F.col("rc")) & (F.col("place") == F.col("rp"))).groupBy(*group, "team")
+           .agg(F.sum("wins").alias("direct"), F.count(F.lit(1)).alias("rivals"), F.min("games").alias("fewest"), F.max("games").alias("most")))
+    full = tied.join(met, [*group, "team"], "left").fillna(0, ["direct", "rivals", "fewest", "most"])
+    even = ((F.min("rivals").over(whole) == F.col("size") - 1) & (F.min("fewest").over(whole) == F.max("most").over(whole))
+            & (F.min("fewest").over(whole) > 0))
+    same_division = F.min("division").over(whole) == F.max("division").over(whole)
+    winner, direct = F.col("division_winner").cast("int"), F.col("direct")
+    first = F.when(F.col("size") == 2, direct).otherwise(winner)
+    second = F.when(F.col("size") == 2, F.when(same_division, winner).otherwise(0)).otherwise(F.when(even, direct).otherwise(0))
+    rules = [first, second, F.col("conference_wins"), F.col("own_wins"), F.col("other_wins"), F.col("net_points")]
+    names = [f"rule_{k}" for k in range(len(rules))]
+    full = full.withColumns({n: r.cast("double") for n, r in zip(names, rules)})
+    separates = [F.min(n).over(whole) != F.max(n).over(whole) for n in names]
+    full = full.withColumns({f"{n}_splits": s for n, s in zip(names, separates)})
+    value = F.coalesce(*[F.when(F.col(f"{n}_splits"), F.col(n)) for n in names])
+    order = W.partitionBy(*group).orderBy(F.col("value").desc_nulls_last(), F.when(F.col("value").isNull(), F.col("coin")))
+    placed = full.withColumn("value", value).withColumn("step", F.rank().over(order) - 1)
+    return placed.withColumn("place", (F.col("place") + F.col("step")).cast("int")).select(*state.columns)
 
 
 def standings(games: DataFrame, teams: DataFrame, keys: Sequence[str] = ("sim_id",)) -> DataFrame:
@@ -134,14 +137,13 @@ def standings(games: DataFrame, teams: DataFrame, keys: Sequence[str] = ("sim_id
 
 
 def standings_from_pairs(pairs: DataFrame, teams: DataFrame, keys: Sequence[str] = ("sim_id",)) -> DataFrame:
+    """Sets of sides with equal wins, refined until each holds one side: as many steps as the deepest tie needs."""
     keys = list(keys)
-    level = [*keys, "conference", "wins"]
     table, pairs = criteria(pairs, teams, keys)
-    two = _two_way(table, pairs, keys)
-    placed = two.select(*level, F.explode(F.array("team", "rival")).alias("team"), "first_team")
-    placed = placed.select(*level, "team", F.when(F.col("team") == F.col("first_team"), 1).otherwise(2).alias("place"))
-    placed = placed.unionByName(_multi_way(table, pairs, keys)).select(*keys, "team", "place")
     better = W.partitionBy(*keys, "conference").orderBy(F.col("wins").desc())
-    return (table.withColumn("base", F.rank().over(better)).join(placed, [*keys, "team"], "left")
-            .select(*keys, "conference", "team", "wins", "losses",
-                    (F.col("base") + F.coalesce("place", F.lit(1)) - 1).cast("int").alias("seed")))
+    state = table.withColumn("place", F.rank().over(better).cast("int"))
+    ties = state.groupBy(*keys, "conference", "place").count().filter("count > 1")
+    while not ties.isEmpty():
+        state = materialize(refined(state, pairs, keys))
+        ties = state.groupBy(*keys, "conference", "place").count().filter("count > 1")
+    return state.select(*keys, "conference", "team", "wins", "losses", F.col("place").alias("seed"))

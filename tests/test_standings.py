@@ -113,3 +113,43 @@ def test_remaining_schedule(spark):
                                "label string, host string, guest string, wins int, losses int, last_date string").withColumn("last_date", F.to_date("last_date"))
     got = [(r.game_num, r.team, str(r.date)) for r in scenarios.remaining_series_games(df).orderBy("game_num").collect()]
     assert got == [(4, "G", "2024-04-28"), (5, "H", "2024-05-01")]
+
+
+def _seasons(spark, seasons=40, sides=9, seed=5):
+    """Short seasons with small margins, so that ties of many sides are common."""
+    import random
+
+    rng, games = random.Random(seed), []
+    for s in range(seasons):
+        names = [f"{'EW'[k % 2]}{k}" for k in range(sides)]
+        for a, b in itertools.combinations(names, 2):
+            for _ in range(rng.choice([1, 1, 1, 2]) if s % 3 else 1):  # every third season is balanced
+                games.append((s, a, b, float(rng.choice([-2, -1, 1, 2])), 0))
+    teams = [(f"{'EW'[k % 2]}{k}", "EW"[k % 2], f"d{k % 4}") for k in range(sides)]
+    return (spark.createDataFrame(games, "sim_id int, team string, opponent string, margin double, playoff int"),
+            spark.createDataFrame(teams, "team string, conference string, division string"))
+
+
+def test_refined_sets_equal_the_plain_chain(spark):
+    from duelframe.operators import records
+
+    games, teams = _seasons(spark)
+    table, pairs = standings.criteria(records.pair_table(games, ["sim_id"]), teams, ["sim_id"])
+    met = {}
+    for p in pairs.collect():
+        met.setdefault((p.sim_id, p.team), {})[p.rival] = (p.wins, p.games)
+    groups = {}
+    for r in table.collect():
+        m = met.get((r.sim_id, r.team), {})
+        groups.setdefault((r.sim_id, r.conference), {}).setdefault(r.wins, []).append(
+            {**r.asDict(), "h2h": {o: w for o, (w, _) in m.items()}, "games": {o: g for o, (_, g) in m.items()}})
+    expected, sizes = {}, set()
+    for (sim, conference), by_wins in groups.items():
+        order = []
+        for wins in sorted(by_wins, reverse=True):
+            sizes.add(len(by_wins[wins]))
+            order += standings.order_tied(by_wins[wins])
+        expected |= {(sim, conference, t): k for k, t in enumerate(order, 1)}
+    assert {2, 3, 4} <= sizes
+    got = {(r.sim_id, r.conference, r.team): r.seed for r in standings.standings(games, teams).collect()}
+    assert got == expected
