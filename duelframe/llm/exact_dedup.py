@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import materialize
-from .base import text_of, with_known_size, without_blanks, written
+from .base import salted_join, text_of, with_known_size, without_blanks, written
 
 PREFIX = 64  # characters of the normalised text in the second level's hash
 
@@ -75,7 +75,7 @@ def keep_best(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Da
     shared = materialize(shared.groupBy(*key, F.col(f"`{id_col}`").alias("_id"), "_points").agg(F.count(F.lit(1)).alias("_times")))
     content = keyed(pairs).join(with_known_size(shared.select("_at").distinct()), "_at", "left_semi")
     shas = content.groupBy("_at").agg(F.first(F.sha2(without_blanks(text_of(f"`{text}`")), 256)).alias("_sha"))
-    rows = materialize(shared.join(shas, "_at"))
+    rows = materialize(salted_join(shared, shas, ["_at"], ["_name"], how="inner"))  # one text may stand in many rows
     best = rows.groupBy("_sha").agg(F.min(F.struct(-F.col("_points"), F.col("_none"), "_id", "_name", "_at")).alias("_best"))
     stay = materialize(best.select("_best._none", "_best._name", "_best._at"))
     gone = rows.join(stay, key, "left_anti").select(*key)

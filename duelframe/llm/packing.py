@@ -27,7 +27,7 @@ from .base import text_of, written
 
 WINDOW = 4096
 END_ID = 2
-CACHE_BYTES = 120 << 20  # of either table, about
+CACHE_BYTES = 48 << 20  # of either table, about
 MARK = b"\x01"
 PLAIN = re.compile(r"([^\W\d_]+)([.,;:!?#$%&*|]*)")
 BATCH_BYTES = 4 << 20  # of ids handed on at once
