@@ -22,6 +22,7 @@ from duelframe.llm.base import WRITTEN, dropped, table, written
 ORACLE_SQL = None  # hashed n-grams, signatures and tokens can't be expressed in SQL; tests hold the stages against brute force
 
 
+WORD_TABLE = 48 << 20  # bytes of a packing worker's word table
 _LEFT: list[str] = []  # working tables of the stage before
 
 
@@ -65,7 +66,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 @stage
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the packed sequences."""
-    return packing.pack(docs)
+    return packing.pack(docs, cache_bytes=WORD_TABLE)  # workers of the stages before are still there
 
 
 STAGES = [("quality rules", quality_rules), ("exact dedup", exact_copies), ("near dedup", near_copies),

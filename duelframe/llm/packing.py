@@ -27,7 +27,7 @@ from .base import text_of, written
 
 WINDOW = 4096
 END_ID = 2
-CACHE_BYTES = 48 << 20  # of either table, about
+CACHE_BYTES = 120 << 20  # of either table, about
 MARK = b"\x01"
 PLAIN = re.compile(r"([^\W\d_]+)([.,;:!?#$%&*|]*)")
 BATCH_BYTES = 4 << 20  # of ids handed on at once
@@ -58,6 +58,7 @@ class WordIds:
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
         self.held = 0
+        self.most: int | None = None  # bytes of either table, if not CACHE_BYTES
 
     def learn(self, words: list[bytes]) -> None:
         known, older, split, need = self.known, self.older, {}, set()
@@ -91,7 +92,7 @@ class WordIds:
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
     def text(self, text: str) -> bytes:
-        if self.held > CACHE_BYTES:
+        if self.held > (self.most or CACHE_BYTES):
             self.older, self.known, self.held = self.known, {}, 0
         tokens = text.encode("utf-8", "replace").split()
         found = list(map(self.known.get, tokens))
@@ -120,7 +121,7 @@ def default_tokenizer() -> str:
 
 
 def tokenise(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", text: str = "text",
-             end_id: int = END_ID) -> DataFrame:
+             end_id: int = END_ID, cache_bytes: int | None = None) -> DataFrame:
     """Written table: id, ``ids`` (little-endian unsigned 32 bit), ``n``, ``part`` and ``before`` in the partition."""
     path = tokenizer or default_tokenizer()
     end = np.array([end_id], "<u4").tobytes()
@@ -130,6 +131,7 @@ def tokenise(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_i
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words, part, before = word_ids(path), TaskContext.get().partitionId(), 0
+        words.most = cache_bytes
         for batch in batches:
             rows, held = [], 0
             for doc, content in zip(batch["id"], batch["text"]):
@@ -189,7 +191,7 @@ def cut(tokens: DataFrame, id_type: T.DataType, window: int = WINDOW, with_ids:
 
 
 def pack(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", text: str = "text",
-         window: int = WINDOW, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
+         window: int = WINDOW, end_id: int = END_ID, with_ids: bool = False, cache_bytes: int | None = None) -> DataFrame:
     """One row per piece: id, ``start``, ``length``, ``ids_crc32``, ``doc_tokens``, ``sequence_id``, ``offset``."""
-    pieces = cut(tokenise(docs, tokenizer, id_col, text, end_id), docs.schema[id_col].dataType, window, with_ids)
+    pieces = cut(tokenise(docs, tokenizer, id_col, text, end_id, cache_bytes), docs.schema[id_col].dataType, window, with_ids)
     return pieces.withColumnRenamed("id", id_col)
