@@ -35,6 +35,10 @@ BUCKETS = 1 << 18
 DIM = 8
 GRAMS = (3, 4, 5)
 EPOCHS = 6
+STEPS = 800  # least number of steps of a round: few labels are passed over more often
+ROUNDS = 4  # most rounds, each with the rate falling to zero
+DONE = 0.05  # a round whose last epoch's mean loss is below this ends the training
+FALL = 0.9  # and so does one that doesn't bring that loss below this part of the round's before
 RATE = 2.0
 BATCH = 16
 CACHE_WORDS = 600_000
@@ -88,35 +92,48 @@ def document_features(text: str, buckets: int = BUCKETS) -> tuple[np.ndarray, np
 
 
 def train(texts: list[str], labels: np.ndarray, share: float, buckets: int = BUCKETS, dim: int = DIM, epochs: int = EPOCHS,
-          rate: float = RATE, batch: int = BATCH, seed: int = SEED) -> np.ndarray:
-    """The folded table: ``buckets`` numbers and, last, the bias."""
+          rate: float = RATE, batch: int = BATCH, seed: int = SEED, least_steps: int = STEPS) -> np.ndarray:
+    """The folded table: ``buckets`` numbers and, last, the bias.
+
+    A round has ``epochs`` epochs or as many as ``least_steps`` takes; rounds follow until the loss is low or stops falling.
+    """
     rng = np.random.default_rng(seed)
     features = [document_features(text, buckets) for text in texts]
     table = rng.uniform(-1 / dim, 1 / dim, (buckets, dim)).astype(np.float32)
     out, bias = np.zeros((dim, 2), np.float32), np.zeros(2, np.float32)
-    steps, step = epochs * -(-len(texts) // batch), 0
-    for _ in range(epochs):
-        order = rng.permutation(len(texts))
-        for start in range(0, len(order), batch):
-            chosen = [k for k in order[start:start + batch] if len(features[k][0])]
-            lr = rate * (1 - step / steps)
-            step += 1
-            if not chosen:
-                continue
-            ids = np.concatenate([features[k][0] for k in chosen])
-            shares = np.concatenate([features[k][1] for k in chosen])
-            starts = np.concatenate([[0], np.cumsum([len(features[k][0]) for k in chosen])[:-1]])
-            hidden = np.add.reduceat(table[ids] * shares[:, None], starts)
-            logits = hidden @ out + bias
-            p = np.exp(logits - logits.max(1, keepdims=True))
-            p /= p.sum(1, keepdims=True)
-            error = p
-            error[np.arange(len(chosen)), labels[chosen]] -= 1
-            back = lr * (error @ out.T)
-            out -= lr / len(chosen) * hidden.T @ error
-            bias -= lr / len(chosen) * error.sum(0)
-            for b, k in zip(back, chosen):  # a document's buckets are distinct
-                table[features[k][0]] -= features[k][1][:, None] * b
+    steps = -(-len(texts) // batch)  # of an epoch
+    epochs = max(epochs, -(-least_steps // steps))
+    before = np.inf
+    for _ in range(ROUNDS):
+        step = 0
+        for _ in range(epochs):
+            loss = 0.0
+            order = rng.permutation(len(texts))
+            for start in range(0, len(order), batch):
+                chosen = [k for k in order[start:start + batch] if len(features[k][0])]
+                lr = rate * (1 - step / (epochs * steps))
+                step += 1
+                if not chosen:
+                    continue
+                ids = np.concatenate([features[k][0] for k in chosen])
+                shares = np.concatenate([features[k][1] for k in chosen])
+                starts = np.concatenate([[0], np.cumsum([len(features[k][0]) for k in chosen])[:-1]])
+                hidden = np.add.reduceat(table[ids] * shares[:, None], starts)
+                logits = hidden @ out + bias
+                p = np.exp(logits - logits.max(1, keepdims=True))
+                p /= p.sum(1, keepdims=True)
+                own = np.arange(len(chosen)), labels[chosen]
+                loss -= float(np.log(np.maximum(p[own], 1e-12)).sum()) / len(texts)
+                error = p
+                error[own] -= 1
+                back = lr * (error @ out.T)
+                out -= lr / len(chosen) * hidden.T @ error
+                bias -= lr / len(chosen) * error.sum(0)
+                for b, k in zip(back, chosen):  # a document's buckets are distinct
+                    table[features[k][0]] -= features[k][1][:, None] * b
+        if loss < DONE or loss > FALL * before:
+            break
+        before = loss
     sampled = np.bincount(labels, minlength=2) / len(labels)
     shift = np.log(share / (1 - share)) - np.log(sampled[1] / sampled[0])
     return np.append(table @ (out[:, 1] - out[:, 0]), bias[1] - bias[0] + shift).astype(np.float32)
