@@ -104,7 +104,7 @@ SELECT page_id, host, path,
   WHEN h LIKE '%.com' AND path LIKE '/de/%' THEN 'com/de/' WHEN h LIKE '%.org' AND path LIKE '/%' THEN 'org/' END AS rule,
  CASE WHEN h LIKE '%.example.org' AND (path LIKE '/en/1%' OR path LIKE '/es/%') THEN 'block'
   WHEN h LIKE '%.com' AND path LIKE '/fr/%' THEN 'allow' WHEN h LIKE '%.com' AND path LIKE '/de/%' THEN 'block'
-  WHEN h LIKE '%.org' AND path LIKE '/%' THEN 'allow' WHEN upper < {url_reputation.LEAST_GOOD} THEN 'block' ELSE 'allow' END AS verdict
+  WHEN h LIKE '%.org' AND path LIKE '/%' THEN 'allow' WHEN upper < (SELECT mu FROM s1) THEN 'block' ELSE 'allow' END AS verdict
 FROM j"""
 
 OP6_SQL = f"""

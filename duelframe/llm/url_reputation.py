@@ -3,9 +3,10 @@
 Labelled page outcomes (good or not) are counted per host.  The rate of a suffix is shrunk towards the overall rate, a
 registered domain's towards its suffix's and a host's towards its domain's, each through a beta prior whose mean is the
 level above and whose strength is estimated from how much that level's rates vary beyond chance (moments of the
-beta-binomial).  A page is blocked when its host's good rate is below ``least_good`` even at the upper bound of the
-posterior (mean plus ``z`` standard deviations), so an unknown or little known host is allowed unless what is above it
-is bad.  Suffix: the last label of a host; registered domain: the last two.
+beta-binomial).  A page is blocked when its host's good rate is below the corpus's own rate (or ``least_good``, where
+given) even at the upper bound of the posterior (mean plus ``z`` standard deviations; by default nine parts in ten of a
+normal posterior lie below).  So an unknown or little known host is allowed unless what is above it is worse than the
+corpus.  Suffix: the last label of a host; registered domain: the last two.
 
 Rules fit their host and its subdomains where the path starts with the rule's path; the longest fitting rule wins.
 
@@ -18,12 +19,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .base import salted_join
+from .base import salted_join, written
 
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
          ("allow", "com", "/fr/"), ("block", "com", "/de/"))
-LEAST_GOOD = 0.5
-Z = 1.645
+Z = 1.28
 STRENGTHS = (2.0, 1000.0)  # least and most pseudo-counts of a prior
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -62,7 +62,7 @@ def _strength(groups: DataFrame, low: float, high: float) -> DataFrame:
 
 
 def host_bounds(outcomes: DataFrame, z: float = Z, strengths: tuple[float, float] = STRENGTHS) -> DataFrame:
-    """One row per host: labelled pages ``n``, good ones ``k`` and the posterior bound ``upper``.
+    """One row per host: labelled pages ``n``, good ones ``k``, the posterior bound ``upper`` and the corpus's rate ``overall``.
 
     ``outcomes``: columns ``host`` and ``good`` (1, 0, or null for a page without label).
     """
@@ -70,6 +70,7 @@ def host_bounds(outcomes: DataFrame, z: float = Z, strengths: tuple[float, float
     hosts = outcomes.groupBy("host").agg(F.count("good").alias("n"), F.coalesce(F.sum("good"), F.lit(0)).alias("k"))
     hosts = hosts.withColumns({"domain": F.concat_ws(".", F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), 2)),
                                "suffix": F.element_at(labels, -1)})
+    hosts = written(hosts, "hosts")  # read for each level's totals and strength
     domains = hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
 
@@ -85,21 +86,24 @@ def host_bounds(outcomes: DataFrame, z: float = Z, strengths: tuple[float, float
     hosts = shrunk(salted_join(hosts, domains, ["domain"], ["host"], how="inner"), F.col("_above"))
     total = F.col("_strength") + F.col("n")
     sd = F.sqrt(F.col("_mean") * (1 - F.col("_mean")) / (total + 1))
-    return hosts.select("host", "n", "k", (F.col("_mean") + z * sd).alias("upper"))
+    bounds = hosts.select("host", "n", "k", (F.col("_mean") + z * sd).alias("upper"))
+    return bounds.join(overall.withColumnRenamed("_mu", "overall"))
 
 
-def _judged(pages: DataFrame, outcomes: DataFrame, rules, least_good: float, z: float) -> DataFrame:
+def _judged(pages: DataFrame, outcomes: DataFrame, rules, least_good: float | None, z: float) -> DataFrame:
     """``pages`` (``_id``, ``_url`` and maybe ``_row``) with ``host``, ``path``, ``rule`` and ``verdict``."""
     split = pages.withColumns({"host": host_of(F.col("_url")), "path": path_of(F.col("_url"))})
     good = outcomes.where("_id IS NOT NULL AND good IS NOT NULL")
-    bounds = host_bounds(split.select("_id", "host").join(good, "_id", "left"), z).select("host", "upper")
+    bounds = host_bounds(split.select("_id", "host").join(good, "_id", "left"), z)
+    limit = F.col("overall") if least_good is None else F.lit(least_good)
+    bounds = bounds.select("host", (F.col("upper") < limit).alias("_worse"))
     judged = salted_join(split, bounds, ["host"], ["_id", "path"])
     host, path = F.col("host"), F.col("path")
     return judged.withColumns({
         "rule": rule_of(host, path, rules),
         "verdict": F.coalesce(rule_of(host, path, rules, "verdict"),
-                              F.when(F.col("upper") < least_good, F.lit("block")).otherwise(F.lit("allow"))),
-    }).drop("upper")
+                              F.when(F.col("_worse"), F.lit("block")).otherwise(F.lit("allow"))),
+    }).drop("_worse")
 
 
 def _outcomes(outcomes: DataFrame, id_col: str) -> DataFrame:
@@ -107,7 +111,7 @@ def _outcomes(outcomes: DataFrame, id_col: str) -> DataFrame:
 
 
 def judge(pages: DataFrame, outcomes: DataFrame, id_col: str = "page_id", url: str = "url", rules=RULES,
-          least_good: float = LEAST_GOOD, z: float = Z) -> DataFrame:
+          least_good: float | None = None, z: float = Z) -> DataFrame:
     """Id, ``host``, ``path``, ``rule`` and ``verdict`` of each page.  ``outcomes``: ``id_col`` and ``good``."""
     rows = pages.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{url}`").alias("_url"))
     judged = _judged(rows, _outcomes(outcomes, id_col), rules, least_good, z)
@@ -115,7 +119,7 @@ def judge(pages: DataFrame, outcomes: DataFrame, id_col: str = "page_id", url: s
 
 
 def allowed_pages(pages: DataFrame, outcomes: DataFrame, id_col: str = "page_id", url: str = "url", rules=RULES,
-                  least_good: float = LEAST_GOOD, z: float = Z) -> DataFrame:
+                  least_good: float | None = None, z: float = Z) -> DataFrame:
     """The pages that aren't blocked, columns unchanged."""
     rows = pages.select(F.struct(*[F.col(f"`{c}`") for c in pages.columns]).alias("_row"),
                         F.col(f"`{id_col}`").alias("_id"), F.col(f"`{url}`").alias("_url"))
