@@ -80,6 +80,25 @@ def test_a_frequent_text_is_split_over_shards(spark):
     assert len(sizes) == 8 and max(sizes) < 1.1 * min(sizes)
 
 
+def test_equal_texts_share_a_shard_unless_larger_than_one(spark):
+    rng = random.Random(8)
+    rows = [(i, f"text {i} " + "x" * rng.randint(0, 400)) for i in range(3000)]
+    rows += [(5000 + i, f"group {i % 5} " + "y" * 700) for i in range(100)]  # each well over a range, below a shard
+    rows += [(9000, "a long one " * 4000)] + [(None, "repeated")] * 9000 + [(7, rows[7][1])] * 3
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sharding.assign_shards(d, shards=8).collect()
+    size, places, fill = collections.Counter(), collections.defaultdict(set), collections.Counter()
+    for r in got:
+        size[r.text_crc32] += r.size
+        places[r.text_crc32].add(r.shard)
+        fill[r.shard] += r.size
+    shard_size = sum(fill.values()) / 8
+    assert len(got) == len(rows) and all(len(places[k]) == 1 for k in size if size[k] <= shard_size)
+    assert len(places[zlib.crc32(b"repeated")]) > 1 and max(fill.values()) < 1.05 * min(fill.values())
+    again = sharding.assign_shards(d.repartition(5, "text"), shards=8).collect()
+    assert sorted(map(repr, got)) == sorted(map(repr, again))
+
+
 def test_no_rows_no_shards(nothing):
     assert sharding.assign_shards(nothing).count() == 0
 
@@ -209,6 +228,51 @@ def test_bad_hosts_are_blocked_and_little_known_ones_not(spark):
     assert url_reputation.judge(pages.limit(0), good).count() == 0
 
 
+def test_bounds_match_plain_python(spark):
+    rng = random.Random(4)
+    hosts = [f"h{i}.d{i % 6}.{'net' if i % 3 else 'org'}" for i in range(40)] + ["d1.net", "alone", ""]
+    outcomes = [(h, rng.choice([None, 1, 1, int(k % 4 > 0)])) for k, h in enumerate(hosts) for _ in range(rng.randint(1, 30))]
+    domain = lambda h: ".".join(h.split(".")[-2:])
+    suffix = lambda h: h.split(".")[-1]
+
+    def counts(level):
+        out = {}
+        for h, good in outcomes:
+            n, k = out.get(level(h), (0, 0))
+            out[level(h)] = (n + (good is not None), k + (good or 0))
+        return out
+
+    def strength(groups):
+        groups = [(n, k) for n, k in groups.values() if n]
+        n, k, g = sum(x[0] for x in groups), sum(x[1] for x in groups), len(groups)
+        mu = (k + 1) / (n + 2)
+        spread = sum(a * (b / a - mu) ** 2 for a, b in groups)
+        share = (spread - mu * (1 - mu) * (g - 1)) / (mu * (1 - mu) * (n - sum(a * a for a, _ in groups) / n - (g - 1)))
+        return mu, min(1000.0, max(2.0, (1 - share) / share)) if share > 0 else 1000.0
+
+    by = [counts(suffix), counts(domain), counts(lambda h: h)]
+    (mu, m1), (_, m2), (_, m3) = map(strength, by)
+    shrink = lambda m, prior, n, k: (m * prior + k) / (m + n)
+    got = {r.host: r for r in url_reputation.host_bounds(spark.createDataFrame(outcomes, "host string, good long")).collect()}
+    assert set(got) == set(hosts)
+    for h in hosts:
+        above = shrink(m2, shrink(m1, mu, *by[0][suffix(h)]), *by[1][domain(h)])
+        n, k = by[2][h]
+        mean = shrink(m3, above, n, k)
+        assert (got[h].n, got[h].k) == (n, k) and got[h].overall == pytest.approx(mu)
+        assert got[h].upper == pytest.approx(mean + url_reputation.Z * (mean * (1 - mean) / (m3 + n + 1)) ** 0.5)
+
+
+def test_a_host_below_the_corpus_rate_is_blocked(spark):
+    rows = [(i, f"http://h{i % 30}.net/{'x' * (100_000 if i == 5 else 1)}") for i in range(900)] + [(5, "http://h5.net/again")]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    bad = {i for i in range(900) if i % 60 == 7 or i % 11 == 0}  # host 7: about half; all others: about one in eleven
+    good = spark.createDataFrame([(i, int(i not in bad)) for i in range(900)], "page_id long, good int")
+    got = url_reputation.judge(pages, good).collect()
+    assert len(got) == 901 and {r.host for r in got if r.verdict == "block"} == {"h7.net"}
+    assert all(r.verdict == "allow" for r in url_reputation.judge(pages, good, least_good=0.2).collect())
+
+
 # ---- near dedup
 
 def sets_of(t):
@@ -329,6 +393,30 @@ def test_model_separates_held_out_documents(spark):
     assert got[900].score == got[901].score
 
 
+def test_few_labels_are_enough(spark):
+    rng = random.Random(6)
+    junk = lambda t: " ".join(w + rng.choice(["$", "%", ""]) for w in t.split())
+    rows = [(i, junk(sentence(rng, 60)) if i % 9 == 0 else sentence(rng, 60), int(i % 9 > 0)) for i in range(200)]
+    rows += [(500, "river stone " * 20_000, 1)] + rows[:2]  # a very long text, repeated rows
+    d = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    l = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, quality int")
+    got = quality_model.with_scores(d, quality_model.fit(d, l)).collect()
+    label = {r[0]: r[2] for r in rows}
+    held = [(r.predicted, label[r.doc_id]) for r in got if r.held_out]
+    assert len(got) == len(rows) and sum(1 for _, q in held if q == 0) >= 5
+    assert sum(p == 0 for p, q in held if q == 0) >= 0.9 * sum(1 for _, q in held if q == 0)
+    assert sum(p == 1 for p, q in held if q == 1) >= 0.95 * sum(1 for _, q in held if q == 1)
+
+
+def test_scorer_agrees_with_document_features():
+    rng = np.random.default_rng(3)
+    model = np.append(rng.normal(size=quality_model.BUCKETS), 0.25)
+    texts = ["", "one", "a b a b", "gläser ñandú " * 30, "x" * 5000, " \n\t"]
+    for t, got in zip(texts, quality_model.Scorer(model).scores(texts)):
+        found, shares = quality_model.document_features(t)
+        assert got == pytest.approx(1 / (1 + np.exp(-(model[found] @ shares + 0.25))), abs=1e-6)
+
+
 def test_held_out_labels_are_never_read(spark):
     d = spark.createDataFrame([(i, f"word{i % 9} other") for i in range(60)], "doc_id long, text string")
     one = spark.createDataFrame([(i, int(i % 2)) for i in range(60)], "doc_id long, quality int")
