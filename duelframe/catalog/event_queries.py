@@ -59,8 +59,7 @@ def safe_lead_either_side(spark, sf_dir):
 @query("possession_flow", "W9 P21", READ_SQL + """ SELECT game, action_number, owner,
  CAST(sum(CASE WHEN changed THEN 1 ELSE 0 END) OVER (PARTITION BY game ORDER BY action_number) AS BIGINT) AS possessions FROM ch""")
 def possession_flow(spark, sf_dir):
-    # a small block size makes even this log cross block borders
-    out = events.possession_counter(log(spark, sf_dir), block_actions=20)
+    out = events.possession_counter(log(spark, sf_dir))
     return out.select("game", "action_number", "owner", "possessions")
 
 

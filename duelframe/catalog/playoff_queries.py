@@ -214,8 +214,9 @@ def slot_candidates(spark, sf_dir):
 
 @query("slot_document", "K10")
 def slot_document(spark, sf_dir):
-    post = playoffs.post_season_games(rated(spark, sf_dir).filter(F.col("year") == 2000))
-    return simstats.slot_document(results(spark, sf_dir), 2001, playoffs.actual_series(results(spark, sf_dir), post))
+    years = sorted(r.year for r in rated(spark, sf_dir).select("year").distinct().collect())  # seasons
+    found = results(spark, sf_dir)
+    return simstats.slot_document(found, years, playoffs.actual_series(found, post(spark, sf_dir)))
 
 
 @query("scenario_report", "J15 A23 A24 K14", SCEN_SQL + SERIES_SQL.replace(RATED_SQL, "") + ", od AS (SELECT sim_id, round, team FROM sd UNION ALL SELECT sim_id, 'CHAMPION', series_winner FROM rs WHERE round = 'FINALS'), o AS (SELECT team, "
@@ -277,12 +278,12 @@ def trimmed_schedule(spark, sf_dir):
 
 @query("actual_series_on_slots", "J13", SERIES_SQL + POST_SQL.replace(RATED_SQL, "") + """, sc AS (SELECT least(high_seed, low_seed) AS lo, greatest(high_seed, low_seed) AS hi, round, conference, series_label AS slot, count(*) AS c FROM rs GROUP BY ALL),
  best AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY lo, hi ORDER BY c DESC, slot) = 1),
- rl AS (SELECT least(team, opponent) AS lo, greatest(team, opponent) AS hi, CASE WHEN margin > 0 THEN team ELSE opponent END AS w FROM post WHERE year = 2000),
- rw AS (SELECT lo, hi, count(*) FILTER (w = lo) AS lo_wins, count(*) FILTER (w = hi) AS hi_wins FROM rl GROUP BY ALL)
- SELECT round, conference, slot, rw.lo AS team_a, lo_wins, rw.hi AS team_b, hi_wins, CASE WHEN greatest(lo_wins, hi_wins) >= 4 THEN 'complete' ELSE 'in_progress' END AS status
+ rl AS (SELECT least(team, opponent) AS lo, greatest(team, opponent) AS hi, CASE WHEN margin > 0 THEN team ELSE opponent END AS w, year FROM post),
+ rw AS (SELECT year, lo, hi, count(*) FILTER (w = lo) AS lo_wins, count(*) FILTER (w = hi) AS hi_wins FROM rl GROUP BY ALL)
+ SELECT year, round, conference, slot, rw.lo AS team_a, lo_wins, rw.hi AS team_b, hi_wins, CASE WHEN greatest(lo_wins, hi_wins) >= 4 THEN 'complete' ELSE 'in_progress' END AS status
  FROM rw JOIN best ON best.lo = rw.lo AND best.hi = rw.hi""")
 def actual_series_on_slots(spark, sf_dir):
-    return playoffs.actual_series(results(spark, sf_dir), post(spark, sf_dir).filter(F.col("year") == 2000))
+    return playoffs.actual_series(results(spark, sf_dir), post(spark, sf_dir))
 
 
 @query("first_post_season_meetings", "J14", POST_SQL + """, mu AS (SELECT 'M' || CAST(n_nationkey AS VARCHAR) AS label, CAST(n_nationkey AS BIGINT) AS a, CAST((n_nationkey + 3) % 25 AS BIGINT) AS b FROM nation),

@@ -127,9 +127,9 @@ def log(spark, sf_dir) -> DataFrame:
         (F.col("opponent_rating") + shake("opponent")).alias("opponent_rating"))
 
 
-@query("saved_scenario_games", "K8 W14", LOG_SQL + f""" SELECT simulation_id, game_id, {rnd('margin')} AS margin FROM log WHERE simulation_id < 20""")
+@query("saved_scenario_games", "K8 W14", LOG_SQL + f""" SELECT simulation_id, game_id, {rnd('margin')} AS margin FROM log WHERE simulation_id < 1000""")
 def saved_scenario_games(spark, sf_dir):
-    out = simstats.first_sims(log(spark, sf_dir), 20)
+    out = simstats.first_sims(log(spark, sf_dir))
     return out.select("simulation_id", "game_id", r6(F.col("margin")).alias("margin"))
 
 

@@ -11,7 +11,7 @@ from ..operators import history
 from ..session import output_folder
 from ..sinks import writers
 from ..sources import readers
-from .contest import r6, rated
+from .contest import RATED_SQL, r6, rated
 from .registry import CHECKS, QUERIES, query
 
 RUN_DATE = "2001-04-02"
@@ -77,9 +77,9 @@ def year_map_written(spark, sf_dir):
     return readers.read_year_map(spark, path).select("year", r6(F.col("hca")).alias("hca"))
 
 
-@query("slot_document_written", "K10", CHECKS["slot_candidates"])
+@query("slot_document_written", "K10", f"SELECT y.year, c.* FROM ({CHECKS['slot_candidates']}) c CROSS JOIN (WITH {RATED_SQL} SELECT DISTINCT year FROM rated) y")
 def slot_document_written(spark, sf_dir):
-    """The slot document, written, read and taken apart again into its candidates."""
+    """Each season's slot document, written, read and taken apart again into its candidates."""
     return readers.parse_slot_document(_document(spark, sf_dir))
 
 

@@ -13,7 +13,7 @@ from .clean_queries import NAMED_SQL, abbreviated, named
 from .contest import ABBRS, GAMES_SQL, RATED_SQL, games, r6, rated, rnd
 from .event_queries import LOG_SQL, PACE_SQL, box, log
 from .registry import query
-from .scenario_queries import LOG_SQL as SIM_LOG_SQL, log as sim_log
+from .scenario_queries import LOG_SQL as SIM_LOG_SQL, log as sim_log, side_ids
 
 
 def _mixed_dates() -> F.Column:
@@ -49,11 +49,11 @@ def feature_archive_rows(spark, sf_dir):
 
 
 @query("win_total_matrix", "S4", GAMES_SQL + """ SELECT y.year, CAST(i AS VARCHAR) AS team, CASE WHEN (i + y.year) % 5 = 0 THEN NULL ELSE CAST(n AS DOUBLE) END AS total
- FROM (SELECT DISTINCT year FROM games) y CROSS JOIN range(25) r(i) LEFT JOIN (SELECT year, team AS t, count(*) AS n FROM games GROUP BY ALL) c ON c.year = y.year AND c.t = i""")
+ FROM (SELECT DISTINCT year FROM games) y CROSS JOIN (SELECT n_nationkey AS i FROM nation) r LEFT JOIN (SELECT year, team AS t, count(*) AS n FROM games GROUP BY ALL) c ON c.year = y.year AND c.t = i""")
 def win_total_matrix(spark, sf_dir):
     n = games(spark, sf_dir).groupBy("year", "team").agg(F.count(F.lit(1)).alias("n"))
     cell = F.when((F.col("team") + F.col("year")) % 5 == 0, F.lit(" ")).otherwise(F.col("n").cast("string"))
-    wide = n.withColumn("cell", cell).groupBy("year").pivot("team", list(range(25))).agg(F.first("cell"))
+    wide = n.withColumn("cell", cell).groupBy("year").pivot("team", side_ids(spark, sf_dir)).agg(F.first("cell"))
     return readers.unpivot_totals(wide)
 
 

@@ -87,18 +87,18 @@ def trim_decided(future: DataFrame, labelled: DataFrame) -> DataFrame:
 
 
 def actual_series(series: DataFrame, post: DataFrame) -> DataFrame:
-    """Real results placed on the bracket slot where scenarios most often had the same two sides."""
+    """Real results of each season placed on the bracket slot where scenarios most often had the same two sides."""
     pair = S.pair_key(F.col("high_seed"), F.col("low_seed"))
     slots = (series.filter((F.col("round") != "PLAY_IN") & (F.col("high_seed") != F.col("low_seed")))
              .groupBy(pair.alias("pair"), "round", "conference", F.col("series_label").alias("slot"))
              .agg(F.count(F.lit(1)).alias("n")))
     slot = first_per_key(slots, ["pair"], [F.col("n").desc(), F.col("slot")]).drop("n")
     low_won = S.winner(F.col("margin"), F.col("team"), F.col("opponent")) == F.least("team", "opponent")
-    real = (post.filter(F.col("team") != F.col("opponent")).groupBy(S.pair_key(F.col("team"), F.col("opponent")).alias("pair"))
+    real = (post.filter(F.col("team") != F.col("opponent")).groupBy("year", S.pair_key(F.col("team"), F.col("opponent")).alias("pair"))
             .agg(F.count_if(low_won).alias("lo_wins"), F.count_if(~low_won).alias("hi_wins")))
     most = F.greatest("lo_wins", "hi_wins")
     status = F.when(F.col("lo_wins") + F.col("hi_wins") == 0, "not_started").when(most >= 4, "complete").otherwise("in_progress")
-    return real.join(slot, "pair").select("round", "conference", "slot", F.col("pair.lo").alias("team_a"), "lo_wins",
+    return real.join(slot, "pair").select("year", "round", "conference", "slot", F.col("pair.lo").alias("team_a"), "lo_wins",
                                           F.col("pair.hi").alias("team_b"), "hi_wins", status.alias("status"))
 
 

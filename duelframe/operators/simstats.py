@@ -221,30 +221,35 @@ def slot_candidates(results: DataFrame) -> DataFrame:
     return out.filter(F.col("w4") + F.col("w5") + F.col("w6") + F.col("w7") > 0)
 
 
-def slot_document(results: DataFrame, year: int, actual: DataFrame | None = None) -> DataFrame:
-    """One JSON document with all slots; sized by slots times sides."""
+def slot_document(results: DataFrame, years: Sequence[int], actual: DataFrame | None = None) -> DataFrame:
+    """One JSON document per season with all slots; each sized by slots times sides.
+
+    ``actual``: real series with their ``year``; seasons without one hold the candidates alone.
+    """
     wins = F.array("w4", "w5", "w6", "w7")
     total = F.col("w4") + F.col("w5") + F.col("w6") + F.col("w7")
     cand = slot_candidates(results).groupBy("round", "conference", "slot").agg(
         F.sort_array(F.collect_list(F.struct((-total).alias("o"), "team", "seed", wins.alias("wins")))).alias("c"))
+    cand = cand.withColumn("year", F.explode(F.array(*[F.lit(y) for y in years]).cast("array<int>")))
+    slot = ["year", "round", "conference", "slot"]
     if actual is None:
         series = F.struct(F.lit("not_started").alias("status"), F.lit(None).cast("map<string,bigint>").alias("games_won"))
         joined = cand.withColumn("series", series)
     else:
-        known = actual.select("round", "conference", "slot", "status", F.create_map(
+        known = actual.select(*slot, "status", F.create_map(
             F.col("team_a").cast("string"), "lo_wins", F.col("team_b").cast("string"), "hi_wins").alias("games_won"))
         # several real matchups may fall on one slot; the last by its sides is kept
-        known = known.groupBy("round", "conference", "slot").agg(
+        known = known.groupBy(*slot).agg(
             F.max_by(F.struct("status", "games_won"), F.map_keys("games_won")).alias("series"))
         blank = F.struct(F.lit("not_started").alias("status"), F.lit(None).cast("map<string,bigint>").alias("games_won"))
-        joined = cand.join(known, ["round", "conference", "slot"], "left").withColumn("series", F.coalesce("series", blank))
+        joined = cand.join(known, slot, "left").withColumn("series", F.coalesce("series", blank))
     candidates = F.transform("c", lambda x: F.struct(x["team"].alias("team"), x["seed"].alias("seed"), x["wins"].alias("wins")))
-    slots = joined.agg(F.sort_array(F.collect_list(F.struct(
+    slots = joined.groupBy("year").agg(F.sort_array(F.collect_list(F.struct(
         "round", "conference", "slot", candidates.alias("candidates"), F.to_json("series").alias("series")))).alias("slots"))
-    doc = F.struct(F.lit(year).alias("year"), F.col("n_sims"), F.transform("slots", lambda s: F.struct(
+    doc = F.struct("year", "n_sims", F.transform("slots", lambda s: F.struct(
         s["round"].alias("round"), s["conference"].alias("conference"), s["slot"].alias("slot"), s["candidates"].alias("candidates"),
         F.from_json(s["series"], "status string, games_won map<string,bigint>").alias("series"))).alias("slots"))
-    return slots.join(F.broadcast(sim_count(results))).select(F.to_json(doc).alias("document"))  # one row each
+    return slots.join(F.broadcast(sim_count(results))).select("year", F.to_json(doc).alias("document"))  # one row of counts
 
 
 def concentration(odds: DataFrame, keys: Sequence[str], p: str = "p") -> DataFrame:

@@ -86,7 +86,8 @@ def write_playoff_games(flat: DataFrame, path: str) -> None:
 
 
 def write_slot_document(document: DataFrame, path: str) -> None:
-    document.coalesce(1).write.mode("overwrite").text(path)  # one row
+    """One folder per season, each with that season's document as its only file."""
+    document.repartition("year").write.mode("overwrite").partitionBy("year").text(path)
 
 
 def year_map_document(edges: DataFrame) -> DataFrame:

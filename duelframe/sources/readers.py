@@ -102,16 +102,17 @@ def read_year_map(spark: SparkSession, path: str) -> DataFrame:
     return parse_year_map(spark.read.text(path, wholetext=True))
 
 
-SLOT_DOCUMENT = ("slots array<struct<round:string,conference:string,slot:string,"
+SLOT_DOCUMENT = ("year int,slots array<struct<round:string,conference:string,slot:string,"
                  "candidates:array<struct<team:bigint,seed:int,wins:array<bigint>>>>>")
 
 
 def parse_slot_document(texts: DataFrame, column: str = "value") -> DataFrame:
-    """The candidates of a slot document, one row each, with their wins by length of series."""
-    slots = texts.select(F.explode(F.from_json(F.col(column), SLOT_DOCUMENT)["slots"]).alias("s"))
-    rows = slots.select("s.round", "s.conference", "s.slot", F.explode("s.candidates").alias("c"))
+    """The candidates of slot documents, one row each, with their wins by length of series."""
+    documents = texts.select(F.from_json(F.col(column), SLOT_DOCUMENT).alias("d"))
+    slots = documents.select("d.year", F.explode("d.slots").alias("s"))
+    rows = slots.select("year", "s.round", "s.conference", "s.slot", F.explode("s.candidates").alias("c"))
     wins = [F.get("c.wins", F.lit(k)).alias(f"w{k + 4}") for k in range(4)]
-    return rows.select("round", "conference", "slot", "c.team", "c.seed", *wins)
+    return rows.select("year", "round", "conference", "slot", "c.team", "c.seed", *wins)
 
 
 # ---- feeds -------------------------------------------------------------------------------------

@@ -97,12 +97,17 @@ def test_playoff_games_round_trip(spark, sf_dir, tmp_path):
 
 
 def test_slot_document_is_json(spark, sf_dir, tmp_path):
+    from duelframe.catalog.contest import rated
     from duelframe.catalog.playoff_queries import slot_document
 
     doc = slot_document(spark, sf_dir)
     writers.write_slot_document(doc, str(tmp_path / "d"))
-    body = json.loads(spark.read.text(str(tmp_path / "d"), wholetext=True).first()[0])
-    assert body["year"] == 2001 and len(body["slots"]) == 15
+    read = {r.year: json.loads(r.value) for r in spark.read.text(str(tmp_path / "d"), wholetext=True).collect()}
+    seasons = {r.year for r in rated(spark, sf_dir).select("year").distinct().collect()}
+    assert set(read) == seasons and all(body["year"] == y and len(body["slots"]) == 15 for y, body in read.items())
+    played = {y for y, body in read.items() if any(s["series"]["status"] != "not_started" for s in body["slots"])}
+    assert len(played) > 1
+    body = read[2001]
     wins = [sum(c["wins"]) for c in body["slots"][0]["candidates"]]
     assert wins == sorted(wins, reverse=True)
     assert {"status", "games_won"} >= set(body["slots"][0]["series"]) - {"games_won"}

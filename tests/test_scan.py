@@ -66,3 +66,11 @@ def test_a_day_with_all_games_is_many_blocks(spark):
     cells = df.groupBy(day_block(df).alias("b")).count().collect()
     assert max(r["count"] for r in cells) == IDS_PER_BLOCK and len(cells) == 6
     assert game_position(df).where("game_number <> game_id + 1").count() == 0
+
+
+def test_possessions_do_not_depend_on_the_block_size(spark, sf_dir):
+    from duelframe.catalog.event_queries import log
+    from duelframe.operators.events import possession_counter
+
+    small, default = (possession_counter(log(spark, sf_dir), **size) for size in ({"block_actions": 20}, {}))
+    assert small.exceptAll(default).count() == 0 and small.count() == default.count()
