@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from duelframe.functions.stats import exact_percentiles, histogram
+from duelframe.functions.stats import exact_percentiles, histogram, value_buckets
 from duelframe.operators.scan import blocked_scan, first_per_key
 
 
@@ -48,6 +48,21 @@ def test_percentiles_with_one_extreme_value(spark):
     assert np.allclose(list(out), np.percentile(pdf.x, [50, 90, 100, 0]))
 
 
+def test_extreme_values_leave_buckets_even(spark):
+    rng = np.random.default_rng(9)
+    x = np.unique(np.concatenate([rng.normal(0, 1, 20_000), rng.normal(1e6, 1, 10_000), [1e12, -1e300]]))
+    pdf = pd.DataFrame({"k": 0, "v": x, "c": 1})
+    small = pd.DataFrame({"k": 1, "v": np.arange(50.0), "c": 2})
+    for keys in (["k"], []):
+        counts = spark.createDataFrame(pd.concat([pdf, small]) if keys else pdf)
+        got = value_buckets(counts, keys, 64).toPandas()
+        rows = got[got.v.isin(x) & (got.n == len(x))]
+        assert rows.groupby("b").size().max() <= 2 * len(x) / 64 and rows.sort_values("v").b.is_monotonic_increasing
+        assert len(got) == counts.count() and (got[got.n == 100].b == 0).all()
+    out = exact_percentiles(spark.createDataFrame(pdf), ["k"], "v", {"a": 0.25, "b": 0.6667, "c": 0.99995}, buckets=64).first()
+    assert np.allclose([out.a, out.b, out.c], np.percentile(x, [25, 66.67, 99.995]))
+
+
 def test_histogram_single_value(spark):
     df = spark.createDataFrame([(3.0,)] * 4, "x double")
     assert [tuple(r) for r in histogram(df, "x", 10).collect()] == [(0, 4)]
