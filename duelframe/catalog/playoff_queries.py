@@ -338,7 +338,7 @@ def scenario_stats(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     top = seeds.filter(F.col("seed") <= 2)
     e = top.filter("conference = 'E'").select("sim_id", F.col("team").alias("a"))
     w = top.filter("conference = 'W'").select("sim_id", F.col("team").alias("b"))
-    met = e.join(w, "sim_id").withColumns({"x": (F.col("a") * 3 + F.col("b") * 5 + F.col("sim_id")) % 4,
+    met = e.join(w.hint("merge"), "sim_id").withColumns({"x": (F.col("a") * 3 + F.col("b") * 5 + F.col("sim_id")) % 4,
                                            "y": (F.col("a") * 7 + F.col("b") + F.col("sim_id")) % 4})
     both = F.explode(F.array(F.struct(F.col("a").alias("team"), F.col("b").alias("rival"), F.col("x").alias("wins"), F.col("y").alias("losses")),
                              F.struct(F.col("b").alias("team"), F.col("a").alias("rival"), F.col("y").alias("wins"), F.col("x").alias("losses"))))

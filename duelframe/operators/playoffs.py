@@ -173,8 +173,9 @@ def finals_hosts(finals: DataFrame, stats: DataFrame, pairs: DataFrame) -> DataF
     b = stats.select("sim_id", F.col("team").alias("guest"), F.col("wins").alias("bw"), F.col("net_points").alias("bn"))
     met = pairs.select("sim_id", F.col("team").alias("host"), F.col("rival").alias("guest"),
                        (F.col("wins") - F.col("losses")).alias("met"))
-    joined = (finals.join(a, ["sim_id", "host"], "left").join(b, ["sim_id", "guest"], "left")
-              .join(met, ["sim_id", "host", "guest"], "left"))
+    # tables of all scenarios: rows per scenario are made, so file sizes understate them and a broadcast would be chosen
+    joined = (finals.join(a.hint("merge"), ["sim_id", "host"], "left").join(b.hint("merge"), ["sim_id", "guest"], "left")
+              .join(met.hint("merge"), ["sim_id", "host", "guest"], "left"))
     zero = F.lit(0.0)
     steps = [F.col("aw") - F.col("bw"), F.col("met"), F.col("an") - F.col("bn")]
     verdict = F.coalesce(*[F.nullif(F.signum(s.cast("double")), zero) for s in steps],

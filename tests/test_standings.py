@@ -153,3 +153,21 @@ def test_refined_sets_equal_the_plain_chain(spark):
     assert {2, 3, 4} <= sizes
     got = {(r.sim_id, r.conference, r.team): r.seed for r in standings.standings(games, teams).collect()}
     assert got == expected
+
+
+def test_scenario_tables_are_never_broadcast(spark, sf_dir, capsys):
+    """Their rows are made per scenario, so that the driver would have to hold far more than the files' sizes say."""
+    from duelframe.catalog import playoff_queries
+    from duelframe.operators import playoffs
+
+    finals = spark.createDataFrame([(1, 10, 20), (2, 20, 10)], "sim_id bigint, host bigint, guest bigint")
+    stats = spark.createDataFrame([(1, 10, 5, 0.0), (1, 20, 6, 0.0), (2, 20, 4, 1.0), (2, 10, 4, 2.0)],
+                                  "sim_id bigint, team bigint, wins int, net_points double")
+    pairs = spark.createDataFrame([(2, 20, 10, 2, 1), (2, 10, 20, 1, 2)], "sim_id bigint, team bigint, rival bigint, wins int, losses int")
+    out = playoffs.finals_hosts(finals, stats, pairs)
+    assert {r.sim_id: (r.host, r.guest) for r in out.collect()} == {1: (20, 10), 2: (20, 10)}
+    capsys.readouterr()
+    out.explain()
+    assert "Broadcast" not in capsys.readouterr().out
+    playoff_queries.scenario_stats(spark, sf_dir)[1].explain()
+    assert "BroadcastHashJoin [sim_id" not in capsys.readouterr().out
