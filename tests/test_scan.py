@@ -89,3 +89,21 @@ def test_possessions_do_not_depend_on_the_block_size(spark, sf_dir):
 
     small, default = (possession_counter(log(spark, sf_dir), **size) for size in ({"block_actions": 20}, {}))
     assert small.exceptAll(default).count() == 0 and small.count() == default.count()
+
+
+def test_season_edges_leave_the_games_where_they_are(spark, capsys):
+    """Joined by sorting, all games of a season would be read by one task."""
+    from duelframe.operators import history
+
+    games = spark.createDataFrame([(1, 2000, 3.0, 1.0, 0.0), (2, 2001, -2.0, 0.0, 0.0)],
+                                  "game_id int, year int, margin double, team_rating double, opponent_rating double")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        capsys.readouterr()
+        for known in (games.select("year", games["margin"].alias("hca")), games.limit(0).select("year", games["margin"].alias("hca"))):
+            history.with_home_edge(games, known).explain()
+            text = capsys.readouterr().out
+            assert "BroadcastHashJoin [year" in text and "SortMergeJoin" not in text
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
