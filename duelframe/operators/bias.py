@@ -15,8 +15,10 @@ from .scan import blocked_scan, day_block
 
 FILTER_DEFAULTS = {"rho": 0.999, "q": 0.005, "r": 190.0, "init_var": 3.0}
 GRID = {"rho": (1.0, 0.999, 0.995), "q": (0.01, 0.05, 0.1, 0.25), "r": (50.0, 100.0, 150.0), "init_var": (5.0, 10.0, 25.0)}
-BLOCK_GAMES = 100_000
-PARAMS_PER_TASK = 12
+BLOCK_GAMES = (2_048, 32_768)  # least and most; 1,024 a parameter set in between
+PARAMS_PER_TASK = 54
+LANES = 32  # filters that a task steps through together, if its parameter sets are fewer
+SETTLE = 32  # games between two writings-out of the decay
 
 
 def residual_sides(games: DataFrame, pred: str = "pred", keep: Sequence[str] = ("year", "date", "game_id")) -> DataFrame:
@@ -83,52 +85,125 @@ def correct_prediction(games: DataFrame, biases: DataFrame, pred: str = "pred",
 # is summarised by the linear-Gaussian map from its starting state to its end and the information it gives
 # about that start (the associative element of parallel Kalman filtering, Sarkka and Garcia-Fernandez 2021),
 # so that blocks run in parallel, their summaries are chained in order, and each block then filters its own
-# games from the right start.  Parameter sets travel in batches that one task steps through together.
+# games from the right start.  A task steps through its filters together, one lane for each block and parameter set.
 
 
-class _Filter:
-    """States of a batch of filters that differ in parameters and, when asked, the block summary of each."""
+class _Filters:
+    """Filters stepped through together, for every block each parameter set; and, when asked, their blocks' summaries.
 
-    def __init__(self, params: Sequence[dict], sides: int, mean=None, cov=None, summarise=False):
-        column = lambda k: np.array([p[k] for p in params], dtype=float)
+    Covariance, gain and mean stand side by side in one array, since a result takes the same multiple off the rows of all
+    three.  Their decay is kept as factors (covariance = ``alpha`` times the array + ``delta`` on the diagonal, gain and
+    mean = ``g`` times it) and written out every ``SETTLE`` games.  Blocks that end earlier must come later.
+    """
+
+    def __init__(self, params: Sequence[dict], blocks: int, sides: int, mean=None, cov=None, summarise=False):
+        column = lambda k: np.tile(np.array([p[k] for p in params], dtype=float), blocks)
         self.rho, self.q, self.r = column("rho"), column("q"), column("r")
-        p = len(params)
-        self.mean = np.zeros((p, sides)) if mean is None else mean
-        self.cov = np.zeros((p, sides, sides)) if cov is None else cov
-        self.at = np.arange(sides)
+        self.sets, self.sides, lanes = len(params), sides, len(params) * blocks
+        self.x = np.zeros((lanes, sides, (2 if summarise else 1) * sides + 1))
+        self.part = np.empty_like(self.x)
+        if cov is not None:
+            self.x[:, :, :sides], self.x[:, :, -1] = cov, mean
+        self.alpha, self.delta, self.g = np.ones(lanes), np.zeros(lanes), np.ones(lanes)
+        self.lane, self.at = np.arange(lanes), np.arange(sides)
+        self.eager, self.steps = bool((np.abs(self.rho) < 0.5).any()), 0
         self.summarise = summarise
         if summarise:
-            self.gain = np.tile(np.eye(sides), (p, 1, 1))
-            self.info, self.eta = np.zeros((p, sides, sides)), np.zeros((p, sides))
-
-    def predict(self):
-        self.mean *= self.rho[:, None]
-        self.cov *= (self.rho ** 2)[:, None, None]
-        self.cov[:, self.at, self.at] += self.q[:, None]
+            self.x[:, self.at, sides + self.at] = 1
+            self.info, self.eta = np.zeros((lanes, sides, sides)), np.zeros((lanes, sides))
+            self.seen, self.told = np.zeros((lanes, SETTLE, sides)), np.zeros((lanes, SETTLE))
+
+    def settle(self):
+        t = self.sides
+        self.x[:, :, :t] *= self.alpha[:, None, None]
+        self.x[:, self.at, self.at] += self.delta[:, None]
+        self.x[:, :, t:] *= self.g[:, None, None]
+        self.alpha[:], self.delta[:], self.g[:] = 1, 0, 1
+
+    def collect(self):
+        if self.summarise and self.steps:
+            seen = self.seen[:, :self.steps].swapaxes(1, 2)
+            self.info += seen @ self.seen[:, :self.steps]
+            self.eta += (seen @ self.told[:, :self.steps, None])[..., 0]
+            self.seen[:], self.told[:] = 0, 0
+        self.steps = 0
+
+    def step(self, home: np.ndarray, away: np.ndarray, z: np.ndarray):
+        """Decay before one game of each of the first blocks; what is known of it then, by lane: among others both sides'
+        means, the variance of their difference, that of the innovation, and ``z``, the result less the prediction."""
+        n = len(home) * self.sets
+        if len(home) == 1:  # a game for all lanes: no look-up by lane
+            at_h, at_a = (slice(None), int(home[0])), (slice(None), int(away[0]))
+        else:
+            at_h, at_a = ((self.lane[:n], np.repeat(v, self.sets)) for v in (home, away))
+        z = np.repeat(z, self.sets)
+        alpha, delta, g, rho = self.alpha[:n], self.delta[:n], self.g[:n], self.rho[:n]
+        g *= rho
+        alpha *= rho * rho
+        delta *= rho * rho
+        delta += self.q[:n]
+        if self.eager:
+            self.settle()
+        x = self.x[:n]
+        at_home, at_away = x[at_h], x[at_a]
+        row = at_home - at_away
+        shift = delta / alpha
+        row[at_h] += shift
+        row[at_a] -= shift
+        var = alpha * (row[at_h] - row[at_a])
+        s = var + self.r[:n]
+        mh, ma = g * at_home[:, -1], g * at_away[:, -1]
+        return n, row, alpha, g, mh, ma, var, s, z
+
+    def update(self, found, played: np.ndarray):
+        """Take in the results of the step's games that have one; returns the innovations."""
+        n, row, alpha, g, mh, ma, var, s, z = found
+        t, every = self.sides, bool(played.all())
+        weight, nu = alpha / s, z - (mh - ma)
+        row[:, -1] = -nu / g
+        if not every:
+            open_ = np.repeat(~played, self.sets)
+            weight[open_], nu[open_], row[open_, -1] = 0.0, 0.0, 0.0
         if self.summarise:
-            self.gain *= self.rho[:, None, None]
-
-    def update(self, home: int, away: int, z: float):
-        row = self.cov[:, home] - self.cov[:, away]
-        s = row[:, home] - row[:, away] + self.r
-        k = row / s[:, None]
-        nu = z - (self.mean[:, home] - self.mean[:, away])
-        if self.summarise:
-            seen = self.gain[:, home] - self.gain[:, away]
-            self.info += seen[:, :, None] * (seen / s[:, None])[:, None, :]
-            self.eta += seen * (nu / s)[:, None]
-            self.gain -= k[:, :, None] * seen[:, None, :]
-        self.mean += k * nu[:, None]
-        self.cov -= k[:, :, None] * row[:, None, :]
-        return nu, s
+            root = np.sqrt(1 / s)
+            if not every:
+                root[open_] = 0.0
+            self.seen[:n, self.steps] = row[:, t:2 * t] * (g * root)[:, None]
+            self.told[:n, self.steps] = nu * root
+        self.x[:n] -= np.einsum("lt,lw->ltw", row[:, :t] * weight[:, None], row, out=self.part[:n])
+        self.steps += 1
+        if self.steps == SETTLE:
+            self.collect()
+            self.settle()
+        return nu
+
+    def finish(self):
+        self.collect()
+        self.settle()
+
+    @property
+    def cov(self) -> np.ndarray:
+        return self.x[:, :, :self.sides]
+
+    @property
+    def gain(self) -> np.ndarray:
+        return self.x[:, :, self.sides:2 * self.sides]
+
+    @property
+    def mean(self) -> np.ndarray:
+        return self.x[:, :, -1]
 
 
 def _initial(params: Sequence[dict], sides: int) -> np.ndarray:
     return np.eye(sides) * np.array([p["init_var"] for p in params])[:, None, None]
 
 
-def _indexed(games: DataFrame, pred: str, batches: int, block_games: int) -> tuple[DataFrame, DataFrame]:
-    """Games with dense side numbers and their block, one copy per parameter batch; and the number table."""
+def _indexed(games: DataFrame, pred: str, batches: list[list[dict]], block_games: int | None) -> tuple[DataFrame, DataFrame]:
+    """Games with dense side numbers, their block and their group of blocks, one copy per parameter batch; and the number
+    table."""
+    sets = len(batches[0])
+    if block_games is None:
+        block_games = min(max(1_024 * sets, BLOCK_GAMES[0]), BLOCK_GAMES[1])
     names = all_teams(games)
     numbers = names.withColumn("idx", F.row_number().over(W.orderBy("team")) - 1)  # one row per side
     sides = numbers.agg(F.count(F.lit(1)).alias("sides"))
@@ -137,13 +212,18 @@ def _indexed(games: DataFrame, pred: str, batches: int, block_games: int) -> tup
     home = numbers.select("team", F.col("idx").alias("h"))
     away = numbers.select(F.col("team").alias("opponent"), F.col("idx").alias("a"))
     out = (placed.join(home, "team").join(away, "opponent").join(F.broadcast(sides))  # one row
-           .select("year", F.explode(F.array(*[F.lit(i) for i in range(batches)])).alias("batch"),
+           .select("year", F.explode(F.array(*[F.lit(i) for i in range(len(batches))])).alias("batch"),
                    F.expr(f"(seq - 1) div {block_games}").alias("block"), "seq", "game_id", "h", "a", "sides", "pred",
                    F.col("margin").cast("double").alias("margin")))
-    return out, numbers
+    return _grouped(out, batches), numbers
+
+
+def _grouped(df: DataFrame, batches: list[list[dict]]) -> DataFrame:
+    return df.withColumn("part", F.expr(f"block div {max(1, LANES // len(batches[0]))}"))
 
 
 _KEYS = ["year", "batch"]
+_GROUP = [*_KEYS, "part"]
 _STATE = "year int, batch int, block bigint, mean array<double>, cov array<double>"
 
 
@@ -151,8 +231,35 @@ def _split(params: Sequence[dict]) -> list[list[dict]]:
     return [list(params[i:i + PARAMS_PER_TASK]) for i in range(0, len(params), PARAMS_PER_TASK)]
 
 
-def _steps(pdf: pd.DataFrame):
-    return zip(pdf["h"].to_numpy(), pdf["a"].to_numpy(), pdf["pred"].to_numpy(), pdf["margin"].to_numpy())
+def _walk(pdf: pd.DataFrame, params: list[dict], state: pd.DataFrame | None = None, summarise: bool = False, look=None
+          ) -> tuple[_Filters, list]:
+    """Filter the games of some blocks together, each from its row of ``state``, else from the season's start; with
+    ``summarise`` from nothing.  ``look(rows, found, nu)`` sees every step, ``rows`` being places in the sorted ``pdf``."""
+    block, first, size = np.unique(pdf["block"].to_numpy(), return_index=True, return_counts=True)
+    order = np.argsort(-size, kind="stable")
+    block, first, size = block[order], first[order], size[order]
+    t, sets = int(pdf["sides"].iloc[0]), len(params)
+    mean, cov = None, None
+    if not summarise:
+        known = {} if state is None else {b: k for k, b in enumerate(state["block"])}
+        mean, cov = np.zeros((len(block), sets, t)), np.repeat(_initial(params, t)[None], len(block), 0)
+        for k, b in enumerate(block):
+            if b in known:
+                row = state.iloc[known[b]]
+                mean[k], cov[k] = np.reshape(row["mean"], (sets, t)), np.reshape(row["cov"], (sets, t, t))
+        mean, cov = mean.reshape(-1, t), cov.reshape(-1, t, t)
+    f = _Filters(params, len(block), t, mean, cov, summarise)
+    home, away = pdf["h"].to_numpy(np.int64), pdf["a"].to_numpy(np.int64)
+    margin = pdf["margin"].to_numpy(float)
+    z, played = margin - pdf["pred"].to_numpy(float), ~np.isnan(margin)
+    for i in range(int(size[0])):
+        rows = first[:int(np.searchsorted(-size, -i, "left"))] + i  # blocks with more than i games
+        found = f.step(home[rows], away[rows], z[rows])
+        nu = f.update(found, played[rows])
+        if look:
+            look(rows, found, nu)
+    f.finish()
+    return f, block.tolist()
 
 
 def _chain_starts(games: DataFrame, batches: list[list[dict]]) -> DataFrame:
@@ -164,14 +271,11 @@ def _chain_starts(games: DataFrame, batches: list[list[dict]]) -> DataFrame:
     def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("seq")
         first = pdf.iloc[0]
-        f = _Filter(batches[int(first.batch)], int(first.sides), summarise=True)
-        for h, a, guess, actual in _steps(pdf):
-            f.predict()
-            if not np.isnan(actual):
-                f.update(h, a, actual - guess)
-        return pd.DataFrame([{"year": first.year, "batch": first.batch, "block": first.block, "sides": first.sides,
-                              "gain": f.gain.ravel(), "shift": f.mean.ravel(), "cov": f.cov.ravel(),
-                              "info": f.info.ravel(), "eta": f.eta.ravel()}])
+        f, blocks = _walk(pdf, batches[int(first.batch)], summarise=True)
+        lanes = lambda v, k: v[k * f.sets:(k + 1) * f.sets].ravel()
+        return pd.DataFrame([{"year": first.year, "batch": first.batch, "block": b, "sides": first.sides,
+                              "gain": lanes(f.gain, k), "shift": lanes(f.mean, k), "cov": lanes(f.cov, k),
+                              "info": lanes(f.info, k), "eta": lanes(f.eta, k)} for k, b in enumerate(blocks)])
 
     def chain(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, mean, cov = None, None, None
@@ -193,29 +297,20 @@ def _chain_starts(games: DataFrame, batches: list[list[dict]]) -> DataFrame:
                 rows.append((b.year, b.batch, b.block + 1, mean.ravel().copy(), cov.ravel().copy()))
             yield pd.DataFrame(rows, columns=["year", "batch", "block", "mean", "cov"])
 
-    summaries = spread(inner, *_KEYS, "block").groupBy(*_KEYS, "block").applyInPandas(summarise, f"year int, batch int, block bigint, {fields}")
+    summaries = spread(inner, *_GROUP).groupBy(*_GROUP).applyInPandas(summarise, f"year int, batch int, block bigint, {fields}")
     # streamed in order: one state in memory, however many blocks a season has
-    return (summaries.repartition(*_KEYS).sortWithinPartitions(*_KEYS, "block").mapInPandas(chain, _STATE)
-            .toDF("year", "batch", "block", "mean", "cov"))
-
-
-def _start(pdf: pd.DataFrame, state: pd.DataFrame, batches: list[list[dict]]) -> _Filter:
-    first = pdf.iloc[0]
-    t, sets = int(first.sides), batches[int(first.batch)]
-    if state.empty:
-        return _Filter(sets, t, np.zeros((len(sets), t)), _initial(sets, t))
-    row = state.iloc[0]
-    return _Filter(sets, t, np.reshape(row["mean"], (len(sets), t)).copy(), np.reshape(row["cov"], (len(sets), t, t)).copy())
+    return _grouped(summaries.repartition(*_KEYS).sortWithinPartitions(*_KEYS, "block").mapInPandas(chain, _STATE)
+                    .toDF("year", "batch", "block", "mean", "cov"), batches)
 
 
 def kalman_pass(games: DataFrame, pred: str = "pred", params: Sequence[dict] = (FILTER_DEFAULTS,),
-                block_games: int = BLOCK_GAMES) -> DataFrame:
+                block_games: int | None = None) -> DataFrame:
     """Per game and parameter set: biases known before it, corrected prediction, and the innovation afterwards.
 
     Seasons start anew; games without a margin only advance the state.
     """
     batches = _split(params)
-    indexed, _ = _indexed(games, pred, len(batches), block_games)
+    indexed, _ = _indexed(games, pred, batches, block_games)
     starts = _chain_starts(indexed, batches)
     values = ["home_bias", "away_bias", "bias_diff", "bias_diff_var", "pred_final", "innovation", "innovation_var"]
     base = ["year", "game_id", "seq", "pred", "margin"]
@@ -226,31 +321,30 @@ def kalman_pass(games: DataFrame, pred: str = "pred", params: Sequence[dict] = (
         if pdf.empty:
             return pd.DataFrame(columns=[*base, "param_id", *values])
         pdf = pdf.sort_values("seq")
-        f = _start(pdf, state, batches)
-        sets = len(f.rho)
-        out = np.zeros((len(pdf), sets, len(values)))
-        for i, (h, a, guess, actual) in enumerate(_steps(pdf)):
-            f.predict()
-            mh, ma = f.mean[:, h], f.mean[:, a]
-            row = out[i]
-            row[:, 0], row[:, 1], row[:, 2], row[:, 4] = mh, ma, mh - ma, guess + mh - ma
-            row[:, 3] = f.cov[:, h, h] + f.cov[:, a, a] - 2 * f.cov[:, h, a]
-            if not np.isnan(actual):
-                row[:, 5], row[:, 6] = f.update(h, a, actual - guess)
-        res = pdf[base].loc[pdf.index.repeat(sets)].reset_index(drop=True)
         first_id = int(pdf["batch"].iloc[0]) * PARAMS_PER_TASK
+        sets = len(batches[int(pdf["batch"].iloc[0])])
+        out, guess, played = np.zeros((len(pdf), sets, len(values))), pdf["pred"].to_numpy(float), pdf["margin"].notna().to_numpy()
+
+        def look(rows, found, nu):
+            mh, ma, var, s = (v.reshape(-1, sets) for v in found[4:8])
+            has = played[rows][:, None]
+            for k, v in enumerate((mh, ma, mh - ma, var, guess[rows][:, None] + mh - ma, np.where(has, nu.reshape(-1, sets), 0.0), np.where(has, s, 0.0))):
+                out[rows, :, k] = v
+
+        _walk(pdf, batches[int(pdf["batch"].iloc[0])], state, look=look)
+        res = pdf[base].loc[pdf.index.repeat(sets)].reset_index(drop=True)
         res["param_id"] = np.tile(np.arange(first_id, first_id + sets), len(pdf))
         return pd.concat([res, pd.DataFrame(out.reshape(-1, len(values)), columns=values)], axis=1)
 
-    result = spread(indexed, *_KEYS, "block").groupBy(*_KEYS, "block").cogroup(starts.groupBy(*_KEYS, "block")).applyInPandas(run, schema)
+    result = spread(indexed, *_GROUP).groupBy(*_GROUP).cogroup(starts.groupBy(*_GROUP)).applyInPandas(run, schema)
     return result.withColumn("margin", F.nanvl("margin", F.lit(None).cast("double")))
 
 
 def kalman_state(games: DataFrame, pred: str = "pred", params: dict = FILTER_DEFAULTS,
-                 block_games: int = BLOCK_GAMES) -> tuple[DataFrame, DataFrame]:
+                 block_games: int | None = None) -> tuple[DataFrame, DataFrame]:
     """State after each season's completed games, and the side numbers its arrays follow."""
     batches = [[params]]
-    indexed, numbers = _indexed(games, pred, 1, block_games)
+    indexed, numbers = _indexed(games, pred, batches, block_games)
     played = indexed.filter(F.col("margin").isNotNull())
     starts = _chain_starts(played, batches)
     last = played.groupBy(*_KEYS).agg(F.max("block").alias("last_block"))
@@ -260,15 +354,12 @@ def kalman_state(games: DataFrame, pred: str = "pred", params: dict = FILTER_DEF
         if pdf.empty:
             return pd.DataFrame(columns=["year", "batch", "block", "mean", "cov"])
         pdf = pdf.sort_values("seq")
-        f = _start(pdf, state, batches)
-        for h, a, guess, actual in _steps(pdf):
-            f.predict()
-            f.update(h, a, actual - guess)
+        f, blocks = _walk(pdf, batches[0], state)
         first = pdf.iloc[0]
-        return pd.DataFrame([{"year": first.year, "batch": first.batch, "block": first.block, "mean": f.mean.ravel(),
+        return pd.DataFrame([{"year": first.year, "batch": first.batch, "block": blocks[0], "mean": f.mean.ravel(),
                               "cov": f.cov.ravel()}])
 
-    state = spread(tail, *_KEYS, "block").groupBy(*_KEYS, "block").cogroup(starts.groupBy(*_KEYS, "block")).applyInPandas(finish, _STATE)
+    state = spread(tail, *_GROUP).groupBy(*_GROUP).cogroup(starts.groupBy(*_GROUP)).applyInPandas(finish, _STATE)
     return state.select("year", "mean", "cov"), numbers
 
 
@@ -303,15 +394,45 @@ def draw_biases(state: DataFrame, numbers: DataFrame, n_sims: int, seed: int = 0
     return drawn.join(numbers, "idx").select("year", "sim_id", "team", "bias")
 
 
+def _squared_errors(games: DataFrame, pred: str, params: Sequence[dict]) -> DataFrame:
+    """Number and sum of squared errors of ``kalman_pass``, before and after correction, per group of blocks and parameter
+    set: the errors of a game stay in its task."""
+    batches = _split(params)
+    indexed, _ = _indexed(games, pred, batches, None)
+    starts = _chain_starts(indexed, batches)
+    columns = ["param_id", "n", "s", "n_base", "s_base"]
+
+    def run(pdf: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
+        if pdf.empty:
+            return pd.DataFrame(columns=columns)
+        pdf = pdf.sort_values("seq")
+        batch = int(pdf["batch"].iloc[0])
+        sets, error = len(batches[batch]), (pdf["pred"] - pdf["margin"]).to_numpy(float)
+        n, s, base = np.zeros(sets, np.int64), np.zeros(sets), error[~np.isnan(error)]
+
+        def look(rows, found, nu):
+            left = error[rows][:, None] + (found[4] - found[5]).reshape(-1, sets)
+            known = ~np.isnan(left)
+            n[:] += known.sum(0)
+            s[:] += np.where(known, left * left, 0.0).sum(0)
+
+        _walk(pdf, batches[batch], state, look=look)
+        return pd.DataFrame({"param_id": batch * PARAMS_PER_TASK + np.arange(sets), "n": n, "s": s, "n_base": len(base),
+                             "s_base": float((base * base).sum())})[columns]
+
+    return spread(indexed, *_GROUP).groupBy(*_GROUP).cogroup(starts.groupBy(*_GROUP)).applyInPandas(
+        run, "param_id int, n bigint, s double, n_base bigint, s_base double")
+
+
 def grid_search(games: DataFrame, pred: str = "pred", grid: dict = GRID, years: Sequence[int] | None = None) -> DataFrame:
     """Error of every parameter set over the chosen seasons, best first by ``rank``."""
     import itertools
 
     params = [dict(zip(grid, values)) for values in itertools.product(*grid.values())]
     chosen = games.filter(F.col("year").isin(*years)) if years else games
-    scored = kalman_pass(chosen, pred, params).filter(F.col("margin").isNotNull())
-    rmse = lambda c: F.sqrt(F.avg((F.col(c) - F.col("margin")) * (F.col(c) - F.col("margin"))))
-    table = scored.groupBy("param_id").agg(rmse("pred_final").alias("rmse_kalman"), rmse("pred").alias("rmse_base"))
+    sums = _squared_errors(chosen, pred, params).groupBy("param_id").agg(*[F.sum(c).alias(c) for c in ("n", "s", "n_base", "s_base")])
+    rmse = lambda n, s: F.when(F.col(n) > 0, F.sqrt(F.col(s) / F.col(n)))
+    table = sums.select("param_id", rmse("n", "s").alias("rmse_kalman"), rmse("n_base", "s_base").alias("rmse_base"))
     names = F.array(*[F.struct(*[F.lit(float(p[k])).alias(k) for k in grid]) for p in params])
     return (table.withColumn("p", F.get(names, F.col("param_id"))).select("param_id", "p.*", "rmse_kalman", "rmse_base",
             (F.col("rmse_kalman") - F.col("rmse_base")).alias("delta"))

@@ -80,3 +80,30 @@ def test_grid_ranks_by_error(spark):
         done = pdf[pdf.margin.notna()]
         err = [g.pred + want[g.game_id][0] - want[g.game_id][1] - g.margin for g in done.itertuples()]
         assert np.isclose(r.rmse_kalman, np.sqrt(np.mean(np.square(err))))
+
+
+def test_blocks_of_unequal_length_go_together(spark, monkeypatch):
+    """Lanes of one task: blocks and parameter sets, decay written out rarely, none or strong decay."""
+    pdf = _games()
+    for lanes, settle in ((1, 1), (8, 3), (64, 32)):
+        monkeypatch.setattr(bias, "LANES", lanes)
+        monkeypatch.setattr(bias, "SETTLE", settle)
+        sets = [bias.FILTER_DEFAULTS, {"rho": 0.3, "q": 0.2, "r": 50.0, "init_var": 1.0}]
+        got = bias.kalman_pass(_frame(spark, pdf), params=sets, block_games=7).collect()
+        assert len(got) == 2 * len(pdf)
+        for k, p in enumerate(sets):
+            want = _loop(pdf, p["rho"], p["q"], p["r"], p["init_var"])
+            for r in got:
+                if r.param_id == k:
+                    assert np.allclose([r.home_bias, r.away_bias, r.bias_diff_var, r.innovation, r.innovation_var], want[r.game_id], atol=1e-8)
+
+
+def test_a_step_serves_all_lanes():
+    """A block of a season is stepped with its neighbours: as many steps as the longest has games."""
+    rng = np.random.default_rng(5)
+    n = 50
+    pdf = pd.DataFrame({"seq": np.arange(n), "block": np.arange(n) // 20, "sides": 4, "h": rng.integers(0, 2, n), "a": rng.integers(2, 4, n),
+                        "pred": 0.0, "margin": rng.normal(size=n)})
+    seen = []
+    bias._walk(pdf, [bias.FILTER_DEFAULTS], look=lambda rows, found, nu: seen.append(len(rows)))
+    assert seen == [3] * 10 + [2] * 10
