@@ -6,7 +6,8 @@ global start.  Pass two reads the written ids and cuts each document at multiple
 boundary get a piece on either side.  No text or id is shuffled, and only the last sequence is padded.
 
 Tokens of a text are those of its blank-separated words in order: the tokenizer drops white space and never joins across
-it, so a word's ids are looked up in a table that each task fills as it goes and empties when full.
+it, so a word's ids are looked up in a table that each task fills as it goes and empties when full.  A new word of small
+Latin letters alone is one unit to the tokenizer and goes straight to its model; all others go through the whole tokenizer.
 
 Defined results: a null text is empty; every document ends with ``end_id``, so an empty one is that id alone.  Repeated
 rows are packed each for itself; null ids pass through.  Other columns aren't read.  An empty table gives no piece.
@@ -15,6 +16,7 @@ rows are packed each for itself; null ids pass through.  Other columns aren't re
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -30,11 +32,18 @@ END_ID = 2
 CACHE_BYTES = 120 << 20  # of either table, about
 MARK = b"\x01"
 PLAIN = re.compile(r"([^\W\d_]+)([.,;:!?#$%&*|]*)")
+PLAIN_ASCII = re.compile(rb"([A-Za-z]+)([.,;:!?#$%&*|]*)")  # the same for words of ASCII, without decoding
 BATCH_BYTES = 4 << 20  # of ids handed on at once
+PROBES = ("a", "the", "internationalisation", "abcdefghijklmnopqrstuvwxyz", "qqxzzk", "don", "ll", "s", "xn")
 
 
 def word_parts(word: bytes) -> tuple[bytes, ...]:
     """Latin letters in lower case and the punctuation behind them, which the tokenizer takes apart too; else the word."""
+    if word.isascii():
+        found = PLAIN_ASCII.fullmatch(word)
+        if found is None:
+            return (word,)
+        return (found[1].lower(), found[2]) if found[2] else (found[1].lower(),)
     text = word.decode("utf-8", "replace")
     found = PLAIN.fullmatch(text)
     if found is None or max(text) >= "\u0250" or "\u0130" in text:
@@ -43,6 +52,14 @@ def word_parts(word: bytes) -> tuple[bytes, ...]:
     return (stem, found[2].encode()) if found[2] else (stem,)
 
 
+def byte_letters() -> dict[int, str]:
+    """The Latin letters beyond ASCII in the byte alphabet of the models."""
+    from tokenizers.pre_tokenizers import ByteLevel
+
+    level = ByteLevel(add_prefix_space=False, use_regex=False)
+    return {n: level.pre_tokenize_str(chr(n))[0][0] for n in range(128, 0x250) if chr(n).isalpha()}
+
+
 class WordIds:
     """Bytes of a word -> bytes of its ids, little-endian unsigned 32 bit.
 
@@ -55,6 +72,8 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         (self.mark,) = self._ids(MARK.decode())
+        self.model, self.letters = self.tokenizer.model, byte_letters()
+        self.direct = self._agrees()
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
         self.held = 0
@@ -76,7 +95,37 @@ class WordIds:
         known.update((w, b"".join([known[p] for p in parts])) for w, parts in split.items() if parts != (w,))
         self.held += sum(map(len, words)) + 200 * (len(words) + len(need))
 
+    def _agrees(self) -> bool:
+        """Whether the model alone gives the tokenizer's ids: tried on every letter, pairs of letters, and words."""
+        marks = [c for c in map(chr, self.letters) if c == c.lower()]
+        tried = [*PROBES, *marks, *[a + b for a, b in zip(marks, marks[1:])], *[f"a{c}e{c}" for c in marks], "".join(marks)]
+        return all(self._unit(self._letters(w.encode())) == np.array(self._ids(w), "<u4").tobytes() for w in tried)
+
+    def _letters(self, word: bytes) -> str | None:
+        """What the model sees of a word of small Latin letters; None for other words."""
+        if word.isascii():
+            return word.decode() if word.isalpha() and word.islower() else None
+        text = word.decode("utf-8", "replace")
+        if max(text) < "\u0250" and text.isalpha() and text == text.lower():
+            return text.translate(self.letters)
+        return None
+
+    def _unit(self, letters: str) -> bytes:
+        ids = [t.id for t in self.model.tokenize(letters)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def _encode(self, words: list[bytes]) -> None:
+        rest = []
+        for w in words:
+            letters = self._letters(w) if self.direct else None
+            if letters:
+                self.known[w] = self._unit(letters)
+            else:
+                rest.append(w)
+        if rest:
+            self._encode_whole(rest)
+
+    def _encode_whole(self, words: list[bytes]) -> None:
         """All in one text, each followed by a mark that is one id and no part of them; those with the mark alone."""
         plain = [w for w in words if MARK not in w]
         text = f" {MARK.decode()} ".join([*[w.decode("utf-8", "replace") for w in plain], ""])
@@ -91,6 +140,10 @@ class WordIds:
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
+    def forget(self) -> None:
+        """Empty both tables."""
+        self.known, self.older, self.held = {}, {}, 0
+
     def text(self, text: str) -> bytes:
         if self.held > (self.most or CACHE_BYTES):
             self.older, self.known, self.held = self.known, {}, 0
@@ -121,8 +174,12 @@ def default_tokenizer() -> str:
 
 
 def tokenise(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", text: str = "text",
-             end_id: int = END_ID, cache_bytes: int | None = None) -> DataFrame:
-    """Written table: id, ``ids`` (little-endian unsigned 32 bit), ``n``, ``part`` and ``before`` in the partition."""
+             end_id: int = END_ID, cache_bytes: int | None = None, keep_words: bool = True) -> DataFrame:
+    """Written table: id, ``ids`` (little-endian unsigned 32 bit), ``n``, ``part`` and ``before`` in the partition.
+
+    ``keep_words`` leaves a worker's table of words to its next task, which is faster; without it a waiting worker holds
+    the tokenizer alone, and its memory is free for other work.
+    """
     path = tokenizer or default_tokenizer()
     end = np.array([end_id], "<u4").tobytes()
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("ids", T.BinaryType()),
@@ -132,19 +189,23 @@ def tokenise(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_i
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words, part, before = word_ids(path), TaskContext.get().partitionId(), 0
         words.most = cache_bytes
-        for batch in batches:
-            rows, held = [], 0
-            for doc, content in zip(batch["id"], batch["text"]):
-                ids = words.text(content) + end
-                n = len(ids) // 4
-                rows.append((doc, ids, n, part, before))
-                before += n
-                held += len(ids)
-                if held > BATCH_BYTES:
+        try:
+            for batch in batches:
+                rows, held = [], 0
+                for doc, content in zip(batch["id"], batch["text"]):
+                    ids = words.text(content) + end
+                    n = len(ids) // 4
+                    rows.append((doc, ids, n, part, before))
+                    before += n
+                    held += len(ids)
+                    if held > BATCH_BYTES:
+                        yield _frame(rows, schema)
+                        rows, held = [], 0
+                if rows:
                     yield _frame(rows, schema)
-                    rows, held = [], 0
-            if rows:
-                yield _frame(rows, schema)
+        finally:
+            if not keep_words:
+                words.forget()
 
     return written(docs.select(F.col(id_col).alias("id"), text_of(text).alias("text")).mapInPandas(run, schema), "tokens")
 
@@ -191,7 +252,9 @@ def cut(tokens: DataFrame, id_type: T.DataType, window: int = WINDOW, with_ids:
 
 
 def pack(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", text: str = "text",
-         window: int = WINDOW, end_id: int = END_ID, with_ids: bool = False, cache_bytes: int | None = None) -> DataFrame:
+         window: int = WINDOW, end_id: int = END_ID, with_ids: bool = False, cache_bytes: int | None = None,
+         keep_words: bool = True) -> DataFrame:
     """One row per piece: id, ``start``, ``length``, ``ids_crc32``, ``doc_tokens``, ``sequence_id``, ``offset``."""
-    pieces = cut(tokenise(docs, tokenizer, id_col, text, end_id, cache_bytes), docs.schema[id_col].dataType, window, with_ids)
+    tokens = tokenise(docs, tokenizer, id_col, text, end_id, cache_bytes, keep_words)
+    pieces = cut(tokens, docs.schema[id_col].dataType, window, with_ids)
     return pieces.withColumnRenamed("id", id_col)

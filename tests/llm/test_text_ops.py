@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import shutil
 import zlib
 
 import numpy as np
@@ -533,6 +534,42 @@ def test_nothing_to_pack(nothing):
     assert packing.pack(nothing).count() == 0
 
 
+def test_words_of_small_letters_skip_the_whole_tokenizer(monkeypatch):
+    from tokenizers import Tokenizer
+
+    coder, table = Tokenizer.from_file(packing.default_tokenizer()), packing.WordIds(packing.default_tokenizer())
+    expected = lambda w: np.array(coder.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
+    odd = ["Ünïted", "\u0130stanbul", "stra\u00dfe", "na\u00efve,", "e\u0301t\u00e9", "x\u00b2", "\u00bd", "don't", "a\u00aab", "\u01c5ep", "\u212bngstr\u00f6m",
+           "\u0149a", "\u0138\u01bb", "mot\u2019s", "a1b2", "#$%", "\u4f60\u597d", "\ufb01n", "<|endoftext|>", "endoftext"]
+    assert table.text(" ".join(odd)) == b"".join(map(expected, odd))
+    asked = []
+    monkeypatch.setattr(table, "_ids", lambda text: asked.append(text) or coder.encode(text, add_special_tokens=False).ids)
+    plain = ["somewhatunlikely", "Capital", "fa\u00e7ade", "l\u00f8kke", "zzqqj"]
+    assert table.text(" ".join(plain)) == b"".join(map(expected, plain))
+    assert not asked
+
+
+def test_a_model_that_sees_words_otherwise_is_not_asked_alone(monkeypatch):
+    monkeypatch.setattr(packing.WordIds, "_unit", lambda self, letters: b"")
+    table = packing.WordIds(packing.default_tokenizer())
+    assert not table.direct and table.text("the end")
+
+
+@pytest.mark.parametrize("keep", [True, False])
+def test_waiting_workers_hold_words_only_if_told_to(spark, docs, tmp_path, keep):
+    path = str(shutil.copy(packing.default_tokenizer(), tmp_path))  # a table of its own in each worker
+    assert packing.tokenise(docs, path, keep_words=keep).agg({"n": "sum"}).first()[0] > 0
+
+    def held(batches):
+        for batch in batches:
+            found = packing._tables.get(path)
+            batch["id"] = len(found.known) + len(found.older) if found else 0
+            yield batch
+
+    most = spark.range(64).repartition(32).mapInPandas(held, "id long").agg({"id": "max"}).first()[0]
+    assert (most > 0) == keep
+
+
 # ---- target rules
 
 def test_base_figures_equal_brute_force(spark, docs, rows):
