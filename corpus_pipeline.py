@@ -66,7 +66,8 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 @stage
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the packed sequences."""
-    return packing.pack(docs, cache_bytes=WORD_TABLE)  # workers of the stages before are still there
+    # workers of the stages before are still there, and those of this one may be when the next run begins
+    return packing.pack(docs, cache_bytes=WORD_TABLE, keep_words=False)
 
 
 STAGES = [("quality rules", quality_rules), ("exact dedup", exact_copies), ("near dedup", near_copies),

@@ -40,7 +40,7 @@ COORDINATES = 64
 LEAST_MATCHES = 32
 SIMILARITY = (75, 100)
 BLOCK = 256
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000  # about 40 MB of a worker
 SEED = 2024
 
 
