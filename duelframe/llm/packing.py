@@ -6,8 +6,9 @@ global start.  Pass two reads the written ids and cuts each document at multiple
 boundary get a piece on either side.  No text or id is shuffled, and only the last sequence is padded.
 
 Tokens of a text are those of its blank-separated words in order: the tokenizer drops white space and never joins across
-it, so a word's ids are looked up in a table that each task fills as it goes and empties when full.  A new word of small
-Latin letters alone is one unit to the tokenizer and goes straight to its model; all others go through the whole tokenizer.
+it.  A task takes some megabytes of text at once as Arrow columns: their different words are found first, each is looked up
+once in the worker's table, and the ids are gathered by the words' places.  Words not in the table are encoded together;
+stems of small Latin letters are one unit to the tokenizer and go straight to its model, others through all of it.
 
 Defined results: a null text is empty; every document ends with ``end_id``, so an empty one is that id alone.  Repeated
 rows are packed each for itself; null ids pass through.  Other columns aren't read.  An empty table gives no piece.
@@ -15,13 +16,14 @@ rows are packed each for itself; null ids pass through.  Other columns aren't re
 
 from __future__ import annotations
 
-import re
-import struct
+import codecs
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
@@ -30,132 +32,156 @@ from .base import text_of, written
 WINDOW = 4096
 END_ID = 2
 CACHE_BYTES = 120 << 20  # of either table, about
-MARK = b"\x01"
-PLAIN = re.compile(r"([^\W\d_]+)([.,;:!?#$%&*|]*)")
-PLAIN_ASCII = re.compile(rb"([A-Za-z]+)([.,;:!?#$%&*|]*)")  # the same for words of ASCII, without decoding
+MARK = "\x01"
+LETTERS = "A-Za-zÀ-ÖØ-öø-įı-ɏ"  # Latin; U+0130 becomes two characters in lower case
+BEHIND = ".,;:!?#$%&*|"
+PLAIN = rf"^[{LETTERS}]+[{BEHIND}]*$"
+STEM = rf"^[{LETTERS}]+$"
+CHUNK_BYTES = 16 << 20  # of text worked on at once
 BATCH_BYTES = 4 << 20  # of ids handed on at once
 PROBES = ("a", "the", "internationalisation", "abcdefghijklmnopqrstuvwxyz", "qqxzzk", "don", "ll", "s", "xn")
+NO_WORDS, NO_IDS = pa.array([], pa.string()), pa.array([], pa.binary())
 
 
-def word_parts(word: bytes) -> tuple[bytes, ...]:
-    """Latin letters in lower case and the punctuation behind them, which the tokenizer takes apart too; else the word."""
-    if word.isascii():
-        found = PLAIN_ASCII.fullmatch(word)
-        if found is None:
-            return (word,)
-        return (found[1].lower(), found[2]) if found[2] else (found[1].lower(),)
-    text = word.decode("utf-8", "replace")
-    found = PLAIN.fullmatch(text)
-    if found is None or max(text) >= "\u0250" or "\u0130" in text:
-        return (word,)
-    stem = found[1].lower().encode()
-    return (stem, found[2].encode()) if found[2] else (stem,)
+def byte_letters() -> str:
+    """What the models see for each byte of a text of Latin letters and blanks; not a character elsewhere."""
+    from tokenizers.pre_tokenizers import ByteLevel
 
+    level, seen = ByteLevel(add_prefix_space=False, use_regex=False), ["\ufffe"] * 256
+    for n in (0x20, *range(ord("a"), ord("z") + 1)):
+        seen[n] = chr(n)
+    for n in range(0xC0, 0x250):
+        for byte, letter in zip(chr(n).encode(), level.pre_tokenize_str(chr(n))[0][0]):
+            seen[byte] = letter
+    return "".join(seen)
 
-def byte_letters() -> dict[int, str]:
-    """The Latin letters beyond ASCII in the byte alphabet of the models."""
-    from tokenizers.pre_tokenizers import ByteLevel
 
-    level = ByteLevel(add_prefix_space=False, use_regex=False)
-    return {n: level.pre_tokenize_str(chr(n))[0][0] for n in range(128, 0x250) if chr(n).isalpha()}
+def joined_every(flat: pa.BinaryArray, bounds: np.ndarray) -> pa.BinaryArray:
+    """The values of ``flat`` between bounds run together, without a copy."""
+    offsets = np.frombuffer(flat.buffers()[1], "<i4")[bounds]
+    data = flat.buffers()[2] or pa.py_buffer(b"")
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(offsets), data])
 
 
 class WordIds:
-    """Bytes of a word -> bytes of its ids, little-endian unsigned 32 bit.
+    """Ids of whole texts, little-endian unsigned 32 bit, from a table of the words met.
 
-    Words not met yet are encoded together, stems and punctuation each once.  When the table is full it becomes the older one, from which words in use are
-    taken over, and a new one begins.
+    Words not met yet are encoded together, stems and punctuation each once.  When the table is full it becomes the older
+    one, from which words in use are taken over, and a new one begins.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import CharDelimiterSplit
 
         self.tokenizer = Tokenizer.from_file(path)
-        (self.mark,) = self._ids(MARK.decode())
-        self.model, self.letters = self.tokenizer.model, byte_letters()
-        self.direct = self._agrees()
-        self.known: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
-        self.held = 0
+        (self.mark,) = self._ids(MARK)
+        self.letters = byte_letters()
+        self.units = Tokenizer(self.tokenizer.model)
+        self.units.pre_tokenizer = CharDelimiterSplit(" ")
+        suffix, vocab = getattr(self.tokenizer.model, "end_of_word_suffix", None), self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocab.values()) + 1, bool)  # ids that end a word
+        self.last[[k for word, k in vocab.items() if suffix and word.endswith(suffix)]] = True
+        self.direct = bool(suffix) and self._agrees()
         self.most: int | None = None  # bytes of either table, if not CACHE_BYTES
+        self.forget()
 
-    def learn(self, words: list[bytes]) -> None:
-        known, older, split, need = self.known, self.older, {}, set()
-        for w in words:
-            if w in older:
-                known[w] = older[w]
-                continue
-            split[w] = parts = word_parts(w)
-            for p in parts:
-                if p in older:
-                    known[p] = older[p]
-                elif p not in known:
-                    need.add(p)
-        self._encode(list(need))
-        known.update((w, b"".join([known[p] for p in parts])) for w, parts in split.items() if parts != (w,))
-        self.held += sum(map(len, words)) + 200 * (len(words) + len(need))
+    def forget(self) -> None:
+        """Empty both tables."""
+        self.known, self.older, self.known_ids, self.older_ids, self.held = NO_WORDS, NO_WORDS, NO_IDS, NO_IDS, 0
+        pa.default_memory_pool().release_unused()
+
+    def text(self, text: str) -> bytes:
+        return self.texts(pa.array([text], pa.string()))[0].as_py()
+
+    def texts(self, column: pa.StringArray, end: bytes = b"") -> pa.BinaryArray:
+        """Ids of each text, ``end`` behind them."""
+        split = pc.ascii_split_whitespace(column)
+        coded = split.flatten().dictionary_encode()
+        stops = split.offsets.to_numpy() - split.offsets[0].as_py()
+        ids = pa.concat_arrays([self.words(coded.dictionary), pa.array([end], pa.binary())])
+        order = np.insert(coded.indices.to_numpy(), stops[1:], len(ids) - 1)
+        return joined_every(ids.take(pa.array(order)), stops + np.arange(len(stops)))
+
+    def words(self, words: pa.StringArray) -> pa.BinaryArray:
+        """Ids of different words: of Latin letters in lower case and the punctuation behind them, which the tokenizer
+        takes apart too; else of the word as it is."""
+        plain = pc.match_substring_regex(words, PLAIN)
+        stems = pc.if_else(plain, pc.utf8_rtrim(words, characters=BEHIND), words)
+        offsets = np.frombuffer(words.buffers()[1], "<i4")[words.offset:words.offset + len(words) + 1]
+        bounds = np.empty(2 * len(words) + 1, "<i4")
+        bounds[::2] = offsets
+        bounds[1::2] = offsets[:-1] + pc.binary_length(stems).to_numpy()
+        data = words.buffers()[2] or pa.py_buffer(b"")
+        parts = pa.Array.from_buffers(pa.string(), len(bounds) - 1, [None, pa.py_buffer(bounds), data])
+        twice = pa.array(np.repeat(plain.to_numpy(zero_copy_only=False), 2))
+        coded = pc.if_else(twice, pc.utf8_lower(parts), parts).dictionary_encode()
+        return joined_every(self._parts(coded.dictionary).take(coded.indices), np.arange(0, len(bounds), 2))
+
+    def _parts(self, parts: pa.StringArray) -> pa.BinaryArray:
+        """Ids of different parts, those not known yet learned."""
+        if self.held > (self.most or CACHE_BYTES):
+            self.older, self.older_ids, self.known, self.known_ids, self.held = self.known, self.known_ids, NO_WORDS, NO_IDS, 0
+        place, known = pc.index_in(parts, value_set=self.known), len(self.known)
+        gaps = place.is_null()
+        new = parts.filter(gaps)
+        if len(new):
+            self.known = pa.concat_arrays([self.known, new])
+            self.known_ids = pa.concat_arrays([self.known_ids, self._learned(new)])
+            self.held += pc.sum(pc.binary_length(new)).as_py() + 200 * len(new)
+            place = pc.replace_with_mask(place, gaps, pa.array(np.arange(known, known + len(new), dtype="<i4")))
+        return self.known_ids.take(place)
+
+    def _learned(self, new: pa.StringArray) -> pa.BinaryArray:
+        """Ids of parts that aren't known: from the older table, the model alone, or the whole tokenizer."""
+        place = pc.index_in(new, value_set=self.older)
+        rest = new.filter(place.is_null())
+        alone = pc.match_substring_regex(rest, STEM) if self.direct else pa.array(np.zeros(len(rest), bool))
+        stems = self._units(rest.filter(alone))
+        whole = pa.array(self._whole(rest.filter(pc.invert(alone)).to_pylist()), pa.binary())
+        at, met = np.flatnonzero(place.is_null()), np.flatnonzero(place.is_valid())
+        order = np.concatenate([met, at[np.flatnonzero(alone)], at[np.flatnonzero(pc.invert(alone))]])
+        return pa.concat_arrays([self.older_ids.take(place.drop_null()), stems, whole]).take(pa.array(np.argsort(order)))
 
     def _agrees(self) -> bool:
         """Whether the model alone gives the tokenizer's ids: tried on every letter, pairs of letters, and words."""
-        marks = [c for c in map(chr, self.letters) if c == c.lower()]
+        marks = [c for c in map(chr, range(0xC0, 0x250)) if c.isalpha() and c == c.lower()]
         tried = [*PROBES, *marks, *[a + b for a, b in zip(marks, marks[1:])], *[f"a{c}e{c}" for c in marks], "".join(marks)]
         return all(self._unit(self._letters(w.encode())) == np.array(self._ids(w), "<u4").tobytes() for w in tried)
 
-    def _letters(self, word: bytes) -> str | None:
-        """What the model sees of a word of small Latin letters; None for other words."""
-        if word.isascii():
-            return word.decode() if word.isalpha() and word.islower() else None
-        text = word.decode("utf-8", "replace")
-        if max(text) < "\u0250" and text.isalpha() and text == text.lower():
-            return text.translate(self.letters)
-        return None
+    def _letters(self, words: bytes) -> str:
+        """What the model sees of words of small Latin letters."""
+        return codecs.charmap_decode(words, "strict", self.letters)[0]
 
     def _unit(self, letters: str) -> bytes:
-        ids = [t.id for t in self.model.tokenize(letters)]
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def _encode(self, words: list[bytes]) -> None:
-        rest = []
-        for w in words:
-            letters = self._letters(w) if self.direct else None
-            if letters:
-                self.known[w] = self._unit(letters)
-            else:
-                rest.append(w)
-        if rest:
-            self._encode_whole(rest)
-
-    def _encode_whole(self, words: list[bytes]) -> None:
+        """Ids that the model alone gives for units between blanks."""
+        return np.array(self.units.encode_batch_fast([letters], add_special_tokens=False)[0].ids, "<u4").tobytes()
+
+    def _units(self, stems: pa.StringArray) -> pa.BinaryArray:
+        if not len(stems):
+            return NO_IDS
+        text = pc.binary_join(pa.ListArray.from_arrays([0, len(stems)], stems), " ")[0].as_buffer().to_pybytes()
+        data = self._unit(self._letters(text))
+        ends = 1 + np.flatnonzero(self.last[np.frombuffer(data, "<u4")])
+        if len(ends) != len(stems):
+            raise ValueError(f"{len(stems)} words have {len(ends)} last ids")
+        offsets = np.concatenate([[0], 4 * ends]).astype("<i4")
+        return pa.Array.from_buffers(pa.binary(), len(stems), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+    def _whole(self, words: list[str]) -> list[bytes]:
         """All in one text, each followed by a mark that is one id and no part of them; those with the mark alone."""
-        plain = [w for w in words if MARK not in w]
-        text = f" {MARK.decode()} ".join([*[w.decode("utf-8", "replace") for w in plain], ""])
-        ids = np.array(self._ids(text), "<u4")
-        ends = np.flatnonzero(ids == self.mark)
-        data, starts = ids.tobytes(), [0, *(4 * (ends[:-1] + 1)).tolist()]
-        self.known.update(zip(plain, (data[x:y] for x, y in zip(starts, (4 * ends).tolist()))))
-        for w in words:
-            if MARK in w:
-                self.known[w] = np.array(self._ids(w.decode("utf-8", "replace")), "<u4").tobytes()
+        plain, found = [w for w in words if w and MARK not in w], {"": b""}
+        if plain:
+            ids = np.array(self._ids(f" {MARK} ".join([*plain, ""])), "<u4")
+            ends = np.flatnonzero(ids == self.mark)
+            data, starts = ids.tobytes(), [0, *(4 * (ends[:-1] + 1)).tolist()]
+            found.update(zip(plain, (data[x:y] for x, y in zip(starts, (4 * ends).tolist()))))
+        found.update((w, np.array(self._ids(w), "<u4").tobytes()) for w in words if MARK in w)
+        return [found[w] for w in words]
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
-    def forget(self) -> None:
-        """Empty both tables."""
-        self.known, self.older, self.held = {}, {}, 0
-
-    def text(self, text: str) -> bytes:
-        if self.held > (self.most or CACHE_BYTES):
-            self.older, self.known, self.held = self.known, {}, 0
-        tokens = text.encode("utf-8", "replace").split()
-        found = list(map(self.known.get, tokens))
-        if None in found:
-            gaps = [k for k, ids in enumerate(found) if ids is None]
-            self.learn(list(dict.fromkeys([tokens[k] for k in gaps])))
-            for k in gaps:
-                found[k] = self.known[tokens[k]]
-        return b"".join(found)
-
 
 _tables: dict[str, WordIds] = {}
 
@@ -186,28 +212,43 @@ def tokenise(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_i
                            T.StructField("n", T.LongType()), T.StructField("part", T.IntegerType()),
                            T.StructField("before", T.LongType())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, part, before = word_ids(path), TaskContext.get().partitionId(), 0
         words.most = cache_bytes
         try:
-            for batch in batches:
-                rows, held = [], 0
-                for doc, content in zip(batch["id"], batch["text"]):
-                    ids = words.text(content) + end
-                    n = len(ids) // 4
-                    rows.append((doc, ids, n, part, before))
-                    before += n
-                    held += len(ids)
-                    if held > BATCH_BYTES:
-                        yield _frame(rows, schema)
-                        rows, held = [], 0
-                if rows:
-                    yield _frame(rows, schema)
+            for rows in _chunks(batches):
+                ids = words.texts(rows.column("text").cast(pa.string()), end)
+                n = pc.binary_length(ids).to_numpy().astype("<i8") // 4
+                at = before + np.cumsum(n)
+                out = [rows.column("id"), ids, pa.array(n), pa.array(np.full(len(n), part, "<i4")), pa.array(at - n)]
+                yield from _slices(pa.RecordBatch.from_arrays(out, names=schema.names), "ids", BATCH_BYTES)
+                before = int(at[-1])
         finally:
             if not keep_words:
                 words.forget()
 
-    return written(docs.select(F.col(id_col).alias("id"), text_of(text).alias("text")).mapInPandas(run, schema), "tokens")
+    return written(docs.select(F.col(id_col).alias("id"), text_of(text).alias("text")).mapInArrow(run, schema), "tokens")
+
+
+def _slices(rows: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """Runs of rows with about ``most`` bytes in a column."""
+    group = np.cumsum(pc.binary_length(rows.column(column)).to_numpy().astype("<i8")) // most
+    bounds = [0, *(1 + np.flatnonzero(np.diff(group))).tolist(), len(group)]
+    return (rows.slice(x, y - x) for x, y in zip(bounds, bounds[1:]) if y > x)
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with about ``CHUNK_BYTES`` of text at once, however long the batches are."""
+    waiting, held = [], 0
+    for batch in batches:
+        for rows in _slices(batch, "text", CHUNK_BYTES):
+            waiting.append(rows)
+            held += pc.sum(pc.binary_length(rows.column("text"))).as_py()
+            if held >= CHUNK_BYTES // 2:
+                yield pa.concat_batches(waiting)
+                waiting, held = [], 0
+    if waiting:
+        yield pa.concat_batches(waiting)
 
 
 def _frame(rows: list[tuple], schema: T.StructType) -> pd.DataFrame:

@@ -549,6 +549,30 @@ def test_words_of_small_letters_skip_the_whole_tokenizer(monkeypatch):
     assert not asked
 
 
+def test_new_words_are_encoded_together():
+    table, asked = packing.WordIds(packing.default_tokenizer()), []
+    unit, rng = table._unit, random.Random(3)
+    table._unit = lambda letters: asked.append(letters) or unit(letters)
+    text = " ".join("".join(rng.choices("abcdefghij\u00e9", k=9)) + rng.choice(["", ",", "***"]) for _ in range(500))
+    for _ in range(2):
+        assert np.frombuffer(table.text(text), "<u4").tolist() == table.tokenizer.encode(text, add_special_tokens=False).ids
+    assert len(asked) == 1
+
+
+@pytest.mark.parametrize("most", [None, 500])
+def test_texts_taken_together_have_the_ids_of_each(most):
+    import pyarrow as pa
+
+    table, rng = packing.WordIds(packing.default_tokenizer()), random.Random(2)
+    table.most = most  # the second table is soon full
+    odd = ["", " ", " \t\x0b\x0c\r\n a", "a ", "\u023abc \u0181x! \u0130i? \u0345a", "it's don't, 'll", "!!! a!!!b!!!", "x\x1cy \x01", "e\u0301 \u00e9"]
+    for k in range(8):
+        texts = [sentence(rng, rng.randrange(40)) + rng.choice(odd) for _ in range(30)] + odd
+        got = table.texts(pa.array(["cut off", *texts, "too"], pa.string()).slice(1, len(texts)), b"\2\0\0\0").to_pylist()
+        for text, ids in zip(texts, got, strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == [*table.tokenizer.encode(text, add_special_tokens=False).ids, 2]
+
+
 def test_a_model_that_sees_words_otherwise_is_not_asked_alone(monkeypatch):
     monkeypatch.setattr(packing.WordIds, "_unit", lambda self, letters: b"")
     table = packing.WordIds(packing.default_tokenizer())
