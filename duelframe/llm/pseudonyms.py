@@ -34,9 +34,11 @@ ROUNDS = 8
 CYCLE_DAYS, FIRST_DAY = 146_097, "1800-01-01"  # 400 Gregorian years, 189 * 773 days
 
 # In order of precedence; no pattern can match the empty text, and none tries again inside a word it has refused.
+# Runs of any length are possessive (``+`` behind the count): what follows them never needs a part back, and Java's other
+# loops over groups or over characters of two widths take a stack frame a turn, which ends the executor on a long run.
 KINDS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9][A-Za-z0-9-]{0,62}\.){1,8}[A-Za-z]{2,24}",
-    "secret": r"(?i:password|passwd|secret|token|api_key)[ ]?[=:][ ]?(?:\"[^\s\"]{8,}\"?|'[^\s']{8,}'?|[^\s\"']{8,})",  # to its closing quote or blank
+    "secret": r"(?i:password|passwd|secret|token|api_key)[ ]?[=:][ ]?(?:\"[^\s\"]{8,}+\"?|'[^\s']{8,}+'?|[^\s\"']{8,}+)",  # to its closing quote or blank
     "access": r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b",
     "ipv4": r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\d|\.\d)",
     "iso_date": r"(?<![\d-])\d{4}-\d{2}-\d{2}(?![\d-])",
@@ -46,7 +48,7 @@ KINDS = {
              r"|(?<![\d(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\d-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])",
     # a run of digit groups of any length, up to a blank before a value of another kind; _card looks for cards inside
     "card": r"(?<!\d)\d(?:-?\d|[ ](?!\d{3}-\d{2}-\d{4}(?![\d-])|\d{4}-\d{2}-\d{2}(?![\d-])|\d{3}-\d{3}-\d{4}(?![\d-])"
-            r"|\d{1,3}\.\d|\d{1,2}/\d)\d){12,}(?!\d)",
+            r"|\d{1,3}\.\d|\d{1,2}/\d)\d){12,}+(?!\d)",
 }
 FINDER = "|".join(f"(?:{p})" for p in KINDS.values())
 HINT = r"[0-9@]|(?i:password|passwd|secret|token|api_key)"
@@ -76,24 +78,27 @@ def permuted_number(l: Column, r: Column, a: int, b: int, tag: str, done, key: s
 def permuted_string(s: Column, tag: str, key: str = KEY) -> Column:
     """Letters and digits permuted, the kind of each place kept; a secret of 16 or more of 0-9a-f stays of these."""
     digits16 = "0123456789abcdef"
-    is_hex = s.rlike("^[0-9a-f]{16,}$") if tag == "secret" else F.lit(False)
 
-    def shifted(c: Column, by: Column) -> Column:
+    def shifted(c: Column, by: Column, is_hex: Column) -> Column:
         code = F.ascii(c)
         place = lambda base, size: F.char(base + F.pmod(code - base + by, F.lit(size)))
         return (F.when(is_hex, F.substring(F.lit(digits16), F.pmod(F.instr(F.lit(digits16), c) - 1 + by, F.lit(16)) + 1, F.lit(1)))
                 .when(c.rlike("^[0-9]$"), place(48, 10)).when(c.rlike("^[a-z]$"), place(97, 26))
                 .when(c.rlike("^[A-Z]$"), place(65, 26)).otherwise(c))
 
-    def step(half: Column, other: Column, k: Column, side: str) -> Column:
-        return let(_drawn(key, tag, k, other, 512), lambda stream: F.array_join(F.transform(
-            F.split(half, ""),
-            lambda c, i: shifted(c, F.conv(F.substring(stream, (2 * i) % 126 + 1, F.lit(2)), 16, 10).cast("int"))), ""))
+    def rounds(is_hex: Column) -> Column:
+        def step(half: Column, other: Column, k: Column, side: str) -> Column:
+            return let(_drawn(key, tag, k, other, 512), lambda stream: F.array_join(F.transform(
+                F.split(half, ""),
+                lambda c, i: shifted(c, F.conv(F.substring(stream, (2 * i) % 126 + 1, F.lit(2)), 16, 10).cast("int"), is_hex)), ""))
+
+        size = F.length(s)
+        cut = F.floor(size / 2).cast("int")
+        start = F.struct(F.substring(s, F.lit(1), cut).alias("l"), F.substring(s, cut + 1, size).alias("r"))
+        return _rounds(start, step, key, lambda x: F.concat(x["l"], x["r"]))
 
-    size = F.length(s)
-    cut = F.floor(size / 2).cast("int")
-    start = F.struct(F.substring(s, F.lit(1), cut).alias("l"), F.substring(s, cut + 1, size).alias("r"))
-    return _rounds(start, step, key, lambda x: F.concat(x["l"], x["r"]))
+    # looked up once a value, not once a place
+    return let(s.rlike("^[0-9a-f]{16,}$"), rounds) if tag == "secret" else rounds(F.lit(False))
 
 
 def luhn_digit(payload: Column) -> Column:
@@ -107,10 +112,9 @@ def luhn_digit(payload: Column) -> Column:
 
 
 def refilled(written: Column, digits: Column) -> Column:
-    """``written`` with its digits replaced in order."""
-    nth = lambda i: F.length(F.regexp_replace(F.substring(written, F.lit(1), i + 1), r"\D", ""))
-    return F.array_join(F.transform(F.split(written, ""), lambda c, i: F.when(
-        c.rlike(r"^\d$"), F.substring(digits, nth(i), F.lit(1))).otherwise(c)), "")
+    """``written`` with its digits replaced in order by as many ``digits``."""
+    return let(F.split(written, r"\d", -1), lambda between: F.concat(between[0], F.array_join(
+        F.transform(F.split(digits, ""), lambda c, i: F.concat(c, F.get(between, i + 1))), "")))
 
 
 def _new_card(d: Column, key: str) -> Column:

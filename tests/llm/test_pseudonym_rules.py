@@ -75,3 +75,22 @@ def test_cards_are_found_in_every_form_and_key_matters(spark):
 
 def test_an_empty_table(spark):
     assert pseudonyms.pseudonymise(spark.createDataFrame([], "text string, finds string"), finds="found").count() == 0
+
+
+def test_runs_of_any_length(spark):
+    """A run of digits or of characters of two widths takes no stack frame a turn, and a value costs a look a place."""
+    n = 20_000
+    value = "aB3\U0001F600" * (n // 4) + "z"
+    texts = ["1" * n, "12 " * n, "1-" * n + "1", "4111 1111 1111 1111 " * 50, f'password="{value}" end', "token=" + "0f" * (n // 2)]
+    got = [r.text for r in pseudonyms.pseudonymise(spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)).collect()]
+    assert got[:3] == texts[:3]
+    assert got[3] != texts[3] and set(got[3].split(" ")[3::4]) == {got[3][15:19]} and len(got[3]) == len(texts[3])
+    assert got[4] == f'password="{plain_string(value, "secret", pseudonyms.KEY)}" end'
+    assert got[5] != texts[5] and set(got[5][6:]) <= set("0123456789abcdef") and len(got[5]) == len(texts[5])
+
+
+def test_digits_go_back_to_their_places(spark):
+    rows = [("+49 (171) 456-78", "1234567890"), ("12", "98"), ("a1", "7"), ("1", "5")]
+    d = spark.createDataFrame(rows, "w string, d string")
+    got = [r[0] for r in d.select(pseudonyms.refilled(F.col("w"), F.col("d"))).collect()]
+    assert got == ["+12 (345) 678-90", "98", "a7", "5"]
